@@ -1,11 +1,13 @@
 """Toxicity by weak supervision.
 
-1. Voters. A general lexicon of insults, patterns of shouting, and words and word beginnings mined
-   from labelled rows: those whose presence in toxic rows exceeds what chance explains (G squared).
-2. Label model. A two-class generative model over the votes, fitted by expectation maximisation:
-   each voter's rates of firing in toxic and clean texts are its accuracies. Correlations between
-   voters, beyond what the class explains, are estimated from the residuals, and a voter's evidence
-   is divided by the number of voters that it repeats.
+1. Voters. Words of a general lexicon of insults, patterns of shouting, and words and word
+   beginnings mined from labelled rows: those whose presence in toxic rows exceeds what chance
+   explains (G squared), after several different words, so that copies of one toxic text don't
+   make its rare words voters.
+2. Label model. A two-class generative model over the votes, fitted by expectation maximisation
+   that starts from the labels: each voter's rates of firing in toxic and clean texts are its
+   accuracies. Correlations between voters, beyond what the class explains, are estimated from the
+   residuals; voters tied by them form groups, and of a group only the strongest vote counts.
 3. A linear classifier over the votes' counts is trained on the posterior labels, and scores every
    text.
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .hashing import spans, word_hashes
 
-MOST_ROWS, MOST_MINED, LEAST_G2, CUT = 20_000, 1500, 20.0, 0.7
+MOST_ROWS, MOST_MINED, LEAST_G2, LEAST_PURE, CUT, TIED, LEAST_ODDS, LEAST_CONTEXTS = 20_000, 1500, 20.0, 0.995, 0.7, 0.3, 3.0, 5
 #: Lengths, in bytes, of the word beginnings that can become voters.
 BEGINNINGS = (4, 5, 6)
 #: Common insults of four languages.
@@ -51,15 +53,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def text_features(texts: list[str]):
-    """(text, hash) of all words and word beginnings."""
+    """(text, hash, hash of the word before) of all words and word beginnings."""
     data = SPLIT[np.frombuffer("\n".join(t.lower() for t in texts).encode(), np.uint8)]
     limits = np.cumsum([len(t.lower().encode()) + 1 for t in texts])
     starts, ends = spans(data)
     owner = np.searchsorted(limits, starts, "right")
-    yield owner, word_hashes(data, starts, ends)
+    words = word_hashes(data, starts, ends)
+    before = np.concatenate((np.zeros(1, np.uint64), words))[: len(words)]
+    yield owner, words, before
     for k in BEGINNINGS:
         long = np.flatnonzero(ends - starts > k)
-        yield owner[long], word_hashes(data, starts[long], starts[long] + k) ^ np.uint64(k << 32)
+        yield owner[long], word_hashes(data, starts[long], starts[long] + k) ^ np.uint64(k << 32), before[long]
 
 
 def word_key(word: str) -> int:
@@ -81,12 +85,14 @@ def groups(texts: list[str | None], least: int = 1 << 20):
 
 @dataclass
 class Model:
-    """keys: sorted hashes; voter: of each key; weights: of log(1 + votes) by voter, then of 'any'."""
+    """keys: sorted hashes; voter: of each key; weights: of log(1 + votes) by voter, then of 'any
+    strong voter'."""
 
     keys: np.ndarray
     voter: np.ndarray
     weights: np.ndarray
     bias: float
+    strong: np.ndarray
 
     @property
     def n(self) -> int:
@@ -95,16 +101,16 @@ class Model:
     def votes(self, texts: list[str]) -> np.ndarray:
         """Times that each voter fires in each text; the last two voters are the patterns."""
         out = np.zeros((len(texts), self.n), np.float32)
-        for owner, hashes in text_features(texts):
+        for owner, hashes, _ in text_features(texts):
             if len(self.keys) and len(hashes):
                 at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
                 hit = np.flatnonzero(self.keys[at] == hashes)
                 np.add.at(out, (owner[hit], self.voter[at[hit]]), 1)
-        out[:, -2:] = [patterns(t) for t in texts]
+        out[:, -2:] = np.array([patterns(t) for t in texts], np.float32).reshape(-1, 2)
         return out
 
     def inputs(self, votes: np.ndarray) -> np.ndarray:
-        return np.column_stack((np.log1p(votes), (votes[:, :-2] > 0).any(1)))
+        return np.column_stack((np.log1p(votes), (votes[:, self.strong] > 0).any(1)))
 
     def scores(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.inputs(votes) @ self.weights + self.bias, -30, 30)))
@@ -125,45 +131,57 @@ def mined(sample: DataFrame) -> list[tuple[int, int, int]]:
             at = 0
             for part in groups(texts):
                 y, at = toxic[at : at + len(part)], at + len(part)
-                pairs = [np.unique(np.stack((o.astype(np.uint64), h)), axis=1) for o, h in text_features(part)]
-                owner, keys = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-                distinct, inverse = np.unique(keys, return_inverse=True)
-                hits, n = np.bincount(inverse, y[owner.astype(np.int64)], len(distinct)), np.bincount(inverse, minlength=len(distinct))
-                yield pa.record_batch({"f": pa.array(distinct.view(np.int64)), "p": pa.array(hits.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+                owner, keys, before = (np.concatenate(x) for x in zip(*text_features(part), strict=True))
+                order = np.lexsort((owner, keys))
+                owner, keys, bit = owner[order], keys[order], np.left_shift(np.uint64(1), before[order] % np.uint64(63)) * y[owner[order]].astype(np.uint64)
+                new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool))
+                if not len(new):
+                    continue
+                once = np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))).astype(np.int64)
+                yield pa.record_batch({"f": pa.array(keys[new].view(np.int64)), "p": pa.array(np.add.reduceat(once * y[owner], new)), "n": pa.array(np.add.reduceat(once, new)), "c": pa.array(np.bitwise_or.reduceat(bit, new).view(np.int64))})
 
     total = sample.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).collect()[0]
     if not total["p"] or total["p"] == total["n"]:
         return []
     rate = total["p"] / total["n"]
-    by = sample.select("text", "toxic").mapInArrow(run, "f long, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    by = sample.select("text", "toxic").mapInArrow(run, "f long, p long, n long, c long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.bit_count(F.bit_or("c")).alias("contexts"))
     part = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(0.0)
     clean = F.col("n") - F.col("p")
     by = by.withColumn("g2", 2 * (part(F.col("p"), F.col("n") * rate) + part(clean, F.col("n") * (1 - rate))))
-    top = by.where((F.col("g2") >= LEAST_G2) & (F.col("p") >= 0.8 * F.col("n"))).orderBy(F.desc("g2"), "f").limit(MOST_MINED)
+    top = by.where((F.col("g2") >= LEAST_G2) & (F.col("p") >= LEAST_PURE * F.col("n")) & (F.col("contexts") >= LEAST_CONTEXTS)).orderBy(F.desc("g2"), "f").limit(MOST_MINED)
     return [(r["f"], r["p"], r["n"] - r["p"]) for r in top.collect()]
 
 
-def label_model(fired: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
-    """Posterior of class 1 for each row of 0/1 votes."""
-    n, m = fired.shape
-    some = fired.any(1)
-    post = np.where(some, 0.9, 0.02)
-    share = np.ones(m)
+def label_model(fired: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of class 1 for each row of 0/1 votes, and each voter's log odds. A voter that doesn't fire abstains, which
+    says nothing; that no strong one fires is a vote of its own."""
+    votes = np.column_stack((fired, ~fired.any(1))).astype(np.float64)
+    odds = None
+    post, prior = np.where(labels > 0, 0.95, 0.02), float(np.clip(labels.mean(), 0.01, 0.99))
+    group = np.arange(votes.shape[1])
     for r in range(rounds):
         one, zero = post.sum(), (1 - post).sum()
-        a = np.clip((post @ fired + 0.5) / (one + 1), 1e-4, 1 - 1e-4)
-        b = np.clip(((1 - post) @ fired + 0.05) / (zero + 1), 1e-5, 1 - 1e-4)
+        if odds is not None:
+            votes[:, -1] = ~fired[:, odds[:-1] > LEAST_ODDS].any(1)
+        a = np.clip((post @ votes + 0.5) / (one + 1), 1e-4, 1 - 1e-4)
+        b = np.clip(((1 - post) @ votes + 0.05) / (zero + 1), 1e-5, 1 - 1e-4)
         if r == 5:
             # Correlation of the votes left over once the class is known.
-            rest = fired - post[:, None] * a - (1 - post)[:, None] * b
+            rest = votes - post[:, None] * a - (1 - post)[:, None] * b
             sd = np.sqrt((rest * rest).mean(0)) + 1e-9
-            share = 1 / (1 + (np.clip((rest.T @ rest) / n / np.outer(sd, sd), 0, 1) ** 2).sum(1) - 1).clip(1)
-        fires, silent = np.log(a / b) * share, np.log((1 - a) / (1 - b)) * share
-        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + fired @ fires + (1 - fired) @ silent, -30, 30)))
+            tied = (rest.T @ rest) / len(votes) / np.outer(sd, sd) > TIED
+            for _ in range(len(group)):
+                low = np.where(tied, group[None, :], len(group)).min(1)
+                if (np.minimum(low, group) == group).all():
+                    break
+                group = np.minimum(low, group)
+        odds = np.log(a / b)
+        evidence = sum(np.where(votes[:, group == g] > 0, odds[group == g], -np.inf).max(1).clip(-20) * (votes[:, group == g] > 0).any(1) for g in np.unique(group))
+        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence, -30, 30)))
         if np.abs(new - post).max() < 1e-6:
             break
         post = new
-    return post
+    return post, odds[:-1]
 
 
 def classifier(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
@@ -186,8 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # most_rows rows of 12 bytes
     found = mined(sample)
-    names: dict[int, str] = {word_key(w): g for g, ws in LEXICON.items() for w in ws}
-    order = list(LEXICON)
+    order = sorted({w for ws in LEXICON.values() for w in ws})
+    names: dict[int, str] = {word_key(w): w for w in order}
     # Each strong feature votes alone; the many weaker ones share voters by their strength.
     for rank, (f, p, _) in enumerate(found):
         name = f"mined-{rank}" if rank < 96 else f"mined-rest-{min(9, int(np.log2(p)))}"
@@ -196,9 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
             order.append(name)
     keys = np.array(sorted(names), np.uint64)
     order += ["shouting", "exclaiming"]
-    model = Model(keys, np.array([order.index(names[int(k)]) for k in keys], np.int64), np.zeros(len(order) + 1), 0.0)
+    model = Model(keys, np.array([order.index(names[int(k)]) for k in keys], np.int64), np.zeros(len(order) + 1), 0.0, np.arange(len(order)) < len(order) - 2)
     if not found:
-        model.weights[: len(LEXICON)], model.weights[-1], model.bias = 1.0, 3.0, -3.0
+        model.weights[:-3], model.weights[-1], model.bias = 1.0, 3.0, -3.0
         return model
 
     def run(batches):
@@ -210,9 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
 
     rows = sample.select("text", "toxic").mapInArrow(run, "v binary, toxic long").collect()
     votes = np.frombuffer(b"".join(r["v"] for r in rows), np.uint8).reshape(len(rows), -1).astype(np.float64)
-    votes = votes[np.lexsort(votes.T)]
-    prior = float(np.clip(np.mean([r["toxic"] for r in rows]), 0.01, 0.99))
-    post = label_model((votes > 0).astype(np.float64), prior)
+    toxic = np.array([r["toxic"] for r in rows], np.int64)
+    order_ = np.lexsort((toxic, *votes.T))  # so that sums don't depend on the order of arrival
+    votes, toxic = votes[order_], toxic[order_]
+    post, odds = label_model(votes > 0, toxic)
+    model.strong = odds > LEAST_ODDS
     w = classifier(model.inputs(votes), post)
     model.weights, model.bias = w[:-1], float(w[-1])
     return model
