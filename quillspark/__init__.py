@@ -1 +1,21 @@
 """quillspark: bibliographic and citation analytics as Spark DataFrame plans."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+
+def attach(spark):
+    """Ships this package to the session's Python workers, once a context; gives the session."""
+    context = spark.sparkContext
+    if not getattr(context, "_quillspark", False):
+        top = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="quillspark-")) / "quillspark.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        context.addPyFile(str(path))
+        context._quillspark = True
+    return spark
