@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,10 @@ class Blocks:
         mb = min(16, max(BLOCK_MB, (size / 2**20 / 1024) ** 0.5))
         self.n = max(LEAST, -(-size // int(mb * 2**20)))
         self.carry = list(carry)
-        self.docs = docs.select("doc_id", "text", *self.carry, F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(self.n)).alias("block"))
+        rows = docs.select("doc_id", "text", *self.carry, F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(self.n)).alias("block"))
+        self.kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        #: Rows move in packs: those of a batch for one block, compressed together.
+        self.docs = rows.mapInArrow(packs, "block long, pack binary")
 
     def send(self, make) -> DataFrame:
         """Slices of make(block's texts), which gives sorted distinct uint64 and per-slice bytes."""
@@ -43,8 +47,6 @@ class Blocks:
         n, edges = self.n, bounds(self.n)
 
         def run(table: pa.Table, found: pa.Table) -> pa.Table:
-            if not table.num_rows:
-                return sliced(n, edges, 0, np.empty(0, np.uint64), None)
             return sliced(n, edges, int(table["block"][0].as_py()), *make(Texts(table), Answers(found, edges)))
 
         return self.docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SLICE)
@@ -52,21 +54,37 @@ class Blocks:
     def finish(self, answers: DataFrame, make, schema: str) -> DataFrame:
         """make(texts, answers) gives the result's columns for each block."""
         edges, out, carry = bounds(self.n), arrow_schema(schema), self.carry
-        kinds = {f.name: f.dataType.simpleString() for f in self.docs.schema}
+        kinds = self.kinds
         schema += "".join(f", {c} {kinds[c]}" for c in carry)
 
         def run(table: pa.Table, found: pa.Table) -> pa.Table:
-            if not table.num_rows:
-                return pa.table({f.name: pa.array([], f.type) for f in out} | {c: table[c] for c in carry})
             texts = Texts(table)
             made = pa.table(make(texts, Answers(found, edges)), schema=out)
             for c in carry:
-                made = made.append_column(c, table[c].take(texts.order))
+                made = made.append_column(c, texts.table[c].take(texts.order))
             return made
 
         return self.docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
+def packs(batches):
+    """Each batch's rows by block, as a compressed Arrow stream a block."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        rows = batch.drop_columns(["block"])
+        edge = np.flatnonzero(np.diff(blocks[order], prepend=-1)) if len(order) else []
+        out = []
+        for a, b in zip(edge, [*edge[1:], len(order)], strict=True):
+            sink = pa.BufferOutputStream()
+            part = rows.take(pa.array(order[a:b]))
+            with pa.ipc.new_stream(sink, part.schema, options=options) as w:
+                w.write_batch(part)
+            out.append(sink.getvalue().to_pybytes())
+        yield pa.record_batch({"block": pa.array(blocks[order][edge] if len(order) else [], pa.int64()), "pack": pa.array(out, pa.binary())})
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(","))])
@@ -98,7 +116,9 @@ class Texts:
     """A block's rows in the order of doc_id and text, the same whatever order they arrive in.
     A null id comes last and counts as greater than all others."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, packs: pa.Table):
+        # Answers come from blocks with texts alone, so no block is without packs.
+        table = self.table = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in packs["pack"].to_pylist()])
         ids, texts = table["doc_id"].to_pylist(), [x or b"" for x in table["text"].cast(pa.binary()).to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
         self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
