@@ -107,7 +107,7 @@ def answer(slices: DataFrame, work) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         got = work(table["payload"].to_pylist(), table["n"].to_pylist())
         keep = [k for k, x in enumerate(got) if x is not None]
-        return table.select(["bucket", "block", "n"]).take(keep).append_column("payload", pa.array([got[k] for k in keep], pa.binary()))
+        return table.select(["bucket", "block", "n"]).take(pa.array(keep, pa.int64())).append_column("payload", pa.array([got[k] for k in keep], pa.binary()))
 
     return slices.groupBy("bucket").applyInArrow(run, SLICE)
 

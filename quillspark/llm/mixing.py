@@ -28,14 +28,15 @@ RANGES = 1024
 
 def sized(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", "source", (F.size(F.split(text, SPACE)) - F.when(text.rlike(rf"^{SPACE}"), 1).otherwise(0) - F.when(text.rlike(rf"{SPACE}$") | (text == ""), 1).otherwise(0) + F.when(text.rlike(rf"^{SPACE}$"), 1).otherwise(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", (F.size(F.split(text, SPACE)) - F.when(text.rlike(rf"^{SPACE}"), 1).otherwise(0) - F.when(text.rlike(rf"{SPACE}$") | (text == ""), 1).otherwise(0)).cast("long").alias("size"))
 
 
 def targets(rows: DataFrame, total=1.5, most=2.0, weights=WEIGHTS) -> DataFrame:
     """One row a source: src, source, source_size, target.
 
     The level l with sum(min(most * size, l * weight)) = total is exact: in ascending order of
-    most * size / weight the sources before some place are full and the others share the rest."""
+    most * size / weight the sources before some place are full and the others share the rest. Past
+    that place the same quotient, which takes too many for full, only falls: the largest holds."""
     by = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("src") - 1) % len(weights) + 1).cast("int"))
@@ -45,7 +46,7 @@ def targets(rows: DataFrame, total=1.5, most=2.0, weights=WEIGHTS) -> DataFrame:
     every = Window.partitionBy()
     by = by.withColumn("fill", F.col("cap") / F.col("weight"))
     by = by.withColumn("level", (F.sum("source_size").over(every) * F.lit(total) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    by = by.withColumn("level", F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(every))
+    by = by.withColumn("level", F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(every))
     return by.select("src", "source", "source_size", F.when(F.col("fill") <= F.col("level"), F.col("cap")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
@@ -108,7 +109,7 @@ s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS src, source_s
 s2 AS (SELECT *, ([5, 2, 1])[(src - 1) % 3 + 1]::DOUBLE AS weight FROM s1),
 s3 AS (SELECT *, cap / weight AS fill FROM s2),
 s4 AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY fill, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY fill, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM s3),
-s5 AS (SELECT *, min(CASE WHEN l <= fill THEN l END) OVER () AS level FROM s4),
+s5 AS (SELECT *, max(CASE WHEN l <= fill THEN l END) OVER () AS level FROM s4),
 by_source AS (SELECT src, source, source_size, CASE WHEN fill <= level THEN cap ELSE level * weight END AS target FROM s5),
 size_of AS (SELECT greatest(1, least(4096, floor(round(sum(target) * 2) / 2 / 65536)))::BIGINT AS block, round(sum(target) * 2) / 2 AS words FROM by_source),
 slots AS (SELECT unnest(generate_series(1, floor(words / block)::BIGINT)) AS slot FROM size_of),
