@@ -31,9 +31,9 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes its words, to the nearest whole number of times."""
-    rows = mixing.mix(docs).where("taken > 0").select("doc_id", "source", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).where("times > 0")
-    same = docs["doc_id"].eqNullSafe(rows["doc_id"])
-    return docs.join(rows.drop("source"), same).where("times > 0").select(*[docs[c] for c in COLUMNS], F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select(*COLUMNS)
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    rows = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(times).alias("times")).where("times > 0")
+    return docs.join(rows, docs["doc_id"].eqNullSafe(rows["doc_id"])).select(*[docs[c] for c in COLUMNS], F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
