@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .hashing import spans, word_hashes
 
-MOST_ROWS, MOST_MINED, LEAST_G2, LEAST_PURE, CUT, TIED, LEAST_ODDS, LEAST_CONTEXTS = 20_000, 1500, 20.0, 0.995, 0.7, 0.3, 3.0, 5
+MOST_ROWS, MOST_MINED, LEAST_G2, LEAST_PURE, CUT, TIED, LEAST_ODDS, LEAST_CONTEXTS, MOST_CANDIDATES = 20_000, 1500, 20.0, 0.995, 0.7, 0.3, 3.0, 5, 20_000
 #: Lengths, in bytes, of the word beginnings that can become voters.
 BEGINNINGS = (4, 5, 6)
 #: Common insults of four languages.
@@ -123,33 +124,49 @@ def patterns(text: str) -> tuple[bool, bool]:
 
 def mined(sample: DataFrame) -> list[tuple[int, int, int]]:
     """(hash, toxic rows, clean rows) of the features most tied to toxic rows of sample(text, toxic).
-    Rows of features are summed inside each batch before they move."""
+    Toxic rows alone give candidates; all rows are then searched for these and no others."""
 
-    def run(batches):
+    def candidates(batches):
         for batch in batches:
-            toxic, texts = np.array(batch.column("toxic").to_pylist(), np.int64), batch.column("text").to_pylist()
-            at = 0
-            for part in groups(texts):
-                y, at = toxic[at : at + len(part)], at + len(part)
+            for part in groups(batch.column("text").to_pylist()):
                 owner, keys, before = (np.concatenate(x) for x in zip(*text_features(part), strict=True))
                 order = np.lexsort((owner, keys))
-                owner, keys, bit = owner[order], keys[order], np.left_shift(np.uint64(1), before[order] % np.uint64(63)) * y[owner[order]].astype(np.uint64)
-                new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool))
-                if not len(new):
+                owner, keys, bit = owner[order], keys[order], np.left_shift(np.uint64(1), before[order] % np.uint64(63))
+                if not len(keys):
                     continue
+                new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
                 once = np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))).astype(np.int64)
-                yield pa.record_batch({"f": pa.array(keys[new].view(np.int64)), "p": pa.array(np.add.reduceat(once * y[owner], new)), "n": pa.array(np.add.reduceat(once, new)), "c": pa.array(np.bitwise_or.reduceat(bit, new).view(np.int64))})
+                yield pa.record_batch({"f": pa.array(keys[new].view(np.int64)), "p": pa.array(np.add.reduceat(once, new)), "c": pa.array(np.bitwise_or.reduceat(bit, new).view(np.int64))})
 
     total = sample.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).collect()[0]
     if not total["p"] or total["p"] == total["n"]:
         return []
+    by = sample.where("toxic = 1").select("text").mapInArrow(candidates, "f long, p long, c long").groupBy("f").agg(F.sum("p").alias("p"), F.bit_count(F.bit_or("c")).alias("contexts"))
+    rows = by.where((F.col("p") >= 3) & (F.col("contexts") >= LEAST_CONTEXTS)).orderBy(F.desc("p"), "f").limit(MOST_CANDIDATES).select("f", "p").collect()
+    toxic = {int(np.int64(r["f"]).view(np.uint64)): r["p"] for r in rows}
+    keys = np.array(sorted(toxic), np.uint64)
+    if not len(keys):
+        return []
+
+    def search(batches):
+        n = np.zeros(len(keys), np.int64)
+        for batch in batches:
+            for part in groups(batch.column("text").to_pylist()):
+                for owner, hashes, _ in text_features(part):
+                    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                    hit = keys[at] == hashes
+                    n += np.bincount(np.unique(owner[hit] * len(keys) + at[hit]) % len(keys), minlength=len(keys)).astype(np.int64)
+        some = np.flatnonzero(n)
+        yield pa.record_batch({"k": pa.array(some), "n": pa.array(n[some])})
+
+    clean = {r["k"]: r["n"] for r in sample.where("toxic = 0").select("text").mapInArrow(search, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    p, q = np.array([toxic[int(k)] for k in keys], float), np.array([clean.get(k, 0) for k in range(len(keys))], float)
     rate = total["p"] / total["n"]
-    by = sample.select("text", "toxic").mapInArrow(run, "f long, p long, n long, c long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.bit_count(F.bit_or("c")).alias("contexts"))
-    part = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(0.0)
-    clean = F.col("n") - F.col("p")
-    by = by.withColumn("g2", 2 * (part(F.col("p"), F.col("n") * rate) + part(clean, F.col("n") * (1 - rate))))
-    top = by.where((F.col("g2") >= LEAST_G2) & (F.col("p") >= LEAST_PURE * F.col("n")) & (F.col("contexts") >= LEAST_CONTEXTS)).orderBy(F.desc("g2"), "f").limit(MOST_MINED)
-    return [(r["f"], r["p"], r["n"] - r["p"]) for r in top.collect()]
+    part = lambda k, of: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / of), 0.0)
+    g2 = 2 * (part(p, (p + q) * rate) + part(q, (p + q) * (1 - rate)))
+    good = np.flatnonzero((g2 >= LEAST_G2) & (p >= LEAST_PURE * (p + q)))
+    good = good[np.lexsort((keys[good], -g2[good]))][:MOST_MINED]
+    return [(int(keys[k].view(np.int64)), int(p[k]), int(q[k])) for k in good]
 
 
 def label_model(fired: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +219,8 @@ def classifier(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int =
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # most_rows rows of 12 bytes
+    # The broadcast has most_rows rows of 12 bytes; the sample is read three times, the corpus once.
+    sample = Scratch(docs.sparkSession, "toxicity").put(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "sample")
     found = mined(sample)
     order = sorted({w for ws in LEXICON.values() for w in ws})
     names: dict[int, str] = {word_key(w): w for w in order}
