@@ -16,6 +16,8 @@ import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 BLOCK_MB, LEAST = 2, 64
 SLICE = "bucket long, block long, n long, payload binary"
 LAST_ID = 2**63 - 1
@@ -117,6 +119,7 @@ class Texts:
     A null id comes last and counts as greater than all others."""
 
     def __init__(self, packs: pa.Table):
+        release()
         # Answers come from blocks with texts alone, so no block is without packs.
         table = self.table = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in packs["pack"].to_pylist()])
         ids, texts = table["doc_id"].to_pylist(), [x or b"" for x in table["text"].cast(pa.binary()).to_pylist()]

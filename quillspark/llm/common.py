@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -29,6 +30,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """make()'s result, kept in this Python worker for its next tasks; only the latest key's."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Frees what earlier operators' tasks have kept in this worker."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+
+
 class Scratch:
     """Tables of one operator call. They cut the lineage: a lost executor costs the rereading of a
     file, not the recomputation of every step before. The result's own table stays, since the

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release
 from .hashing import spans, word_hashes
 
 MOST_ROWS, MOST_MINED, LEAST_G2, LEAST_PURE, CUT, TIED, LEAST_ODDS, LEAST_CONTEXTS, MOST_CANDIDATES = 20_000, 1500, 20.0, 0.995, 0.7, 0.3, 3.0, 5, 20_000
@@ -73,6 +73,7 @@ def word_key(word: str) -> int:
 
 
 def groups(texts: list[str | None], least: int = 1 << 20):
+    release()
     part, size = [], 0
     for t in texts:
         part.append(t or "")
