@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, kept
 from .hashing import mix
 
-END_ID, MAGIC, MOST_CHUNKS = 1, b"QTOKIDS1", 1 << 18
+END_ID, MAGIC, MOST_CHUNKS = 1, b"QTOKIDS1", 1 << 20
 MANIFEST = "shard long, path string, n_docs long, n_ids long, first_id long, last_id long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, place long"
 
@@ -150,7 +150,11 @@ def file_system(path: str):
 
 class Encoder:
     """Ids of texts by the tokenizers library. Its pieces never cross a space, tab or line end, so
-    each chunk between those is encoded once and kept."""
+    each chunk between those is encoded once and kept. A chunk of letters is one piece, whose last
+    token alone is marked as a word's end; so many such chunks are encoded in one call. Sentence
+    marks after letters are a piece of their own."""
+
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -158,27 +162,55 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if len(vocabulary) <= 1 << 16 else 4
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
+    def whole(self, chunks: list[str]) -> None:
+        for got, chunk in zip(self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), chunks, strict=True):
+            self.known[chunk] = np.array(got.ids, f"<u{self.width}").tobytes()
+
+    def letters(self, chunks: list[str], step: int = 512) -> None:
+        """Chunks of letters alone."""
+        groups = [chunks[k : k + step] for k in range(0, len(chunks), step)]
+        for got, group in zip(self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), groups, strict=True):
+            ids = np.array(got.ids, f"<u{self.width}")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * self.width
+            if len(ends) != len(group):
+                self.whole(group)
+                continue
+            data = ids.tobytes()
+            self.known.update(zip(group, (data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as words of `width` bytes."""
         chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > MOST_CHUNKS:
             self.known.clear()
-        new = sorted(set().union(*chunks).difference(self.known))
-        for got, chunk in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new, strict=True):
-            self.known[chunk] = np.array(got.ids, f"<u{self.width}").tobytes()
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
-
-
-_encoders: dict[str, Encoder] = {}
+        new = set().union(*chunks).difference(self.known)
+        marked, cores, others = [], set(), set()
+        for c in new:
+            core = c.rstrip(self.MARKS)
+            if not core.isalpha():
+                others.add(c)
+                continue
+            low = core.lower() if core.isascii() else core
+            cores.add(low)
+            if low != c:
+                marked.append((c, low, c[len(core) :]))
+                others.add(c[len(core) :])
+        self.letters(sorted(cores.difference(self.known)))
+        self.whole(sorted(others.difference(self.known)))
+        known = self.known
+        known.update({c: known[low] + known[tail] for c, low, tail in marked})
+        return [b"".join(map(known.__getitem__, c)) for c in chunks]
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One a Python worker."""
+    return kept(("token_ids", path), lambda: Encoder(path))
 
 
 def groups(batches, least: int = 1 << 20):
