@@ -11,8 +11,8 @@ their Jaccard similarity says (b = 1.001).
 3. Each member of a bucket is compared with the bucket's smallest (a star, so a bucket costs its
    size): by set sizes, by the likelihood of their registers, then on the full sets.
 4. A bucket whose members have not all come together through these links may hide links between
-   others. There, members outside the component of the smallest are compared with every member of
-   another component, behind a popcount test on the registers' last bits.
+   others. There, members of different components are compared with one another, in blocks of two
+   chunks of the bucket: registers first, then full sets, likeliest first, until linked.
 5. Components of all confirmed links.
 
 Hot buckets: sizes never matter in 2 and 3 beyond their sum, and joins on bucket keys can be split
@@ -32,17 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, release
 from .hashing import LOWER, inside, mix, spans, window_hashes, word_hashes
 
 SHINGLE, REGISTERS, ROWS = 5, 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: Pairs of a lower estimate are not compared on full sets. Its standard error at 0.75 is 0.038.
 LEAST_ESTIMATE = 0.55
-#: Of 128 last bits, a pair of similarity 0.75 differs in 16 on average, with a deviation of 3.7.
-MOST_BITS = 38
+#: Registers, of 128, that agree in a pair compared on full sets in a shared bucket: at similarity
+#: 0.75 it is 96 on average, with a deviation of 4.9.
+LEAST_SAME = 72
+#: Members of a chunk: a block of two has some MB.
+CHUNK = 1024
 SEEDS = np.random.default_rng(5).integers(0, 2**32, (REGISTERS, 2), dtype=np.uint32) | np.uint32(1)
-SKETCH = "doc_id long, n long, s1 long, s2 long, bands array<long>, b1 long, b2 long"
+SKETCH = "doc_id long, n long, s1 long, s2 long, bands array<long>"
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -99,6 +102,7 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
 
 
 def text_groups(batches, least: int = 1 << 20):
+    release()
     ids, texts, size = [], [], 0
     for batch in batches:
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -120,15 +124,13 @@ def sketches(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(texts)
             full = [k for k, s in enumerate(sets) if len(s)]
             bands = np.zeros((len(sets), REGISTERS // ROWS), np.int64)
-            bits = np.zeros((len(sets), 2), np.int64)
             if full:
                 r = registers([sets[k] for k in full])
                 bands[full] = r.view(np.int64)
-                bits[full] = np.packbits((r & 1).astype(np.uint8), axis=1).view(np.int64)
             total = lambda c: pa.array(np.array([mix(s ^ np.uint64(c)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64))  # noqa: B023, E731
             yield pa.record_batch({
                 "doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "s1": total(0x51ED270B), "s2": total(0xC2B2AE3D27D4EB4F),
-                "bands": pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), REGISTERS // ROWS).cast(pa.list_(pa.int64())), "b1": pa.array(bits[:, 0]), "b2": pa.array(bits[:, 1]),
+                "bands": pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), REGISTERS // ROWS).cast(pa.list_(pa.int64())),
             })
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
@@ -167,12 +169,81 @@ def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where("100 * both >= 75 * (na + nb - both)").select("a", "b")
 
 
+def cross_links(placed: DataFrame, odd: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components that share an odd bucket.
+
+    A bucket's members are dealt to chunks, and each two chunks meet in a block of bounded size. A
+    block compares registers as arrays and gives confirmed links alone, never pairs; a pair that
+    shares several bands is looked at in the first of them; likely pairs come first, and pairs that
+    links found in the block already connect are skipped."""
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside_ = placed.select("band", "key", "rep", "part").join(odd, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    met = inside_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    met = met.select("band", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "part")
+    full = met.join(reps.select("rep", "bands"), "rep").join(sets, "rep")
+    keys = ["band", "key", "i", "j"]
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            k = np.stack([t[c].to_numpy() for c in keys], 1)
+            cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist()]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                yield block_links(t.slice(a, b - a))
+            rest = t.slice(cut[-1])
+        if rest is not None:
+            yield block_links(rest)
+
+    return full.repartition(n, *keys).sortWithinPartitions(*keys, "rep").select(*keys, "chunk", "rep", "part", "bands", "h").mapInArrow(run, "a long, b long")
+
+
+def block_links(t: pa.Table) -> pa.RecordBatch:
+    t = t.combine_chunks()
+    rep, part, chunk, band = t["rep"].to_numpy(), t["part"].to_numpy(), t["chunk"].to_numpy(), t["band"][0].as_py()
+    bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+    hashes, regs = [x.values.to_numpy() for x in t["h"].combine_chunks()], bands.view(np.uint16).reshape(len(rep), -1)
+    size = np.array([len(x) for x in hashes])
+    left, right = np.flatnonzero(chunk == t["i"][0].as_py()), np.flatnonzero(chunk == t["j"][0].as_py())
+    xs, ys, score = [], [], []
+    for x in left:
+        y = right[right > x] if t["i"][0].as_py() == t["j"][0].as_py() else right
+        y = y[(part[y] != part[x]) & (100 * np.minimum(size[y], size[x]) >= 75 * np.maximum(size[y], size[x]))]
+        y = y[(bands[y] == bands[x]).argmax(1) == band]
+        same = (regs[y] == regs[x]).sum(1)
+        y, same = y[same >= LEAST_SAME], same[same >= LEAST_SAME]
+        xs.append(np.full(len(y), x))
+        ys.append(y)
+        score.append(same)
+    out, parent = [], {}
+
+    def root(p):
+        while p in parent:
+            p = parent[p]
+        return p
+
+    if xs:
+        xs, ys, score = np.concatenate(xs), np.concatenate(ys), np.concatenate(score)
+        for k in np.argsort(-score, kind="stable"):
+            x, y = xs[k], ys[k]
+            p, q = root(part[x]), root(part[y])
+            if p == q:
+                continue
+            both = len(np.intersect1d(hashes[x], hashes[y], assume_unique=True))
+            if 100 * both >= 75 * (size[x] + size[y] - both):
+                parent[max(p, q)] = min(p, q)
+                out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+    return pa.record_batch({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "near-dup")
     rows = scratch.put(sketches(docs), "rows")
     real = rows.where("n > 0 and doc_id is not null")
-    reps = scratch.put(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", "b1", "b2")]), "reps")
+    reps = scratch.put(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), *[F.first("bands").alias("bands")]), "reps")
 
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     lead = banded.groupBy("band", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -189,17 +260,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     part = lambda c: F.coalesce(F.col(c), F.col(c.replace("part_", "")))
     by = lambda s: parts.select(F.col("node").alias(s), F.col("component").alias(f"part_{s}"))
     placed = members.join(by("rep"), "rep", "left").join(by("lead"), "lead", "left").select("band", "key", "rep", part("part_rep").alias("part"), part("part_lead").alias("main"))
-    odd = scratch.put(placed.where("part <> main"), "odd")
+    odd = placed.groupBy("band", "key").agg(F.count("*").alias("c"), F.max((F.col("part") != F.col("main")).cast("int")).alias("odd")).where("odd = 1")
+    odd = scratch.put(odd.select("band", "key", F.ceil(F.col("c") / CHUNK).alias("chunks")), "odd")
     more = None
     if odd.limit(1).count():
-        bits = reps.select("rep", F.col("n").alias("size"), "b1", "b2")
-        side = lambda d, s: d.join(bits, "rep").select("band", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "part", "size", "b1", "b2")])
-        same = placed.join(odd.select("band", "key").distinct(), ["band", "key"], "left_semi")
-        near = "part_x <> part_y and 100 * least(size_x, size_y) >= 75 * greatest(size_x, size_y)"
-        near += f" and bit_count(b1_x ^ b1_y) + bit_count(b2_x ^ b2_y) <= {MOST_BITS}"
-        pairs = side(odd, "x").join(side(same, "y"), ["band", "key"]).where(near)
-        pairs = pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        more = scratch.put(confirmed(pairs, reps, sets), "more")
+        more = scratch.put(cross_links(placed, odd, reps, sets).distinct(), "more")
     # Rows of one id with several sets are one node too, through that id.
     own = reps.select("s1", "s2", "n", "rep")
     classes = real.select("doc_id", "s1", "s2", "n").join(own, ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
