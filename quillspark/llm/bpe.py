@@ -16,14 +16,18 @@ of any length are encoded piece by piece, in linear time; an empty table gives n
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MOST_STATES, MOST_PIECES = 1 << 18, 1 << 18
+from .common import kept
+
+MOST_STATES, MOST_PIECES = 1 << 17, 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,19 +49,29 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         #: Tokens that the merges make of their own bytes; others come out only as whole pieces.
-        self.own = {t for t in ranks if len(self.merged(t)) == 1}
+        self.pair: dict[tuple[bytes, bytes], int] = {}
+        self.halves: dict[bytes, tuple[bytes, bytes]] = {}
+        for t in ranks:
+            parts = self.merged(t, 2) if len(t) > 1 else [t]
+            if len(parts) == 2:
+                self.halves[t] = left, right = parts[0], parts[1]
+                self.pair[left, right] = ranks[t]
+        self.own = {t for t in ranks if len(t) == 1} | set(self.halves)
         self.heads = {t[:k] for t in self.own for k in range(1, len(t))}
         self.fit: dict[tuple[bytes, bytes], bool] = {}
         self.clear()
 
     def clear(self) -> None:
+        for s in getattr(self, "states", {}).values():
+            s.moves.clear()  # states refer to one another in circles
         self.states: dict[tuple, State] = {}
         self.start = self.state(None, b"", {0: ()})
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """The merges applied in order of rank to a short string, by definition."""
+    def merged(self, data: bytes, stop: int = 1) -> list[bytes]:
+        """The merges applied in order of rank to a short string, by definition, down to `stop`
+        parts; a last step that leads to one part must make the string's own token."""
         parts = [data[k : k + 1] for k in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > stop:
             rank, at = min((self.ranks.get(a + b, 1 << 60), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
             if rank == 1 << 60:
                 break
@@ -65,13 +79,32 @@ class Transducer:
         return parts
 
     def fits(self, left: bytes | None, right: bytes) -> bool:
+        """Whether left and right stay two tokens side by side. They don't if some merge across
+        their limit comes before the merge that closes it off: the parts at the limit are taken
+        apart in reverse order of rank, and at each step the pair that meets there is looked up."""
         if left is None:
             return True
         known = self.fit.get((left, right))
-        if known is None:
-            if len(self.fit) >= 4 * MOST_STATES:
-                self.fit.clear()
-            known = self.fit[left, right] = self.merged(left + right) == [left, right]
+        if known is not None:
+            return known
+        ranks, halves, a, b, before = self.ranks, self.halves, left, right, 1 << 60
+        while True:
+            met = self.pair.get((a, b))
+            if met is not None and met < before:
+                known = False
+                break
+            ra, rb = ranks[a] if a in halves else -1, ranks[b] if b in halves else -1
+            if ra < 0 and rb < 0:
+                known = True
+                break
+            # A merge of equal rank goes to the leftmost place, so the left token's comes first.
+            if ra > rb:
+                before, a = ra, halves[a][1]
+            else:
+                before, b = rb + 1, halves[b][0]
+        if len(self.fit) >= 2 * MOST_STATES:
+            self.fit.clear()
+        self.fit[left, right] = known
         return known
 
     def state(self, last, pending, ends) -> State:
@@ -82,25 +115,38 @@ class Transducer:
 
     def move(self, s: State, byte: int) -> tuple[tuple[bytes, ...], State]:
         pending = s.pending + bytes((byte,))
-        n, tokens = len(pending), None
-        for k in sorted(s.ends):
-            t, before = pending[k:], s.ends[k]
-            if t in self.own and self.fits(before[-1] if before else s.last, t):
-                tokens = (*before, t)
-                break
+        own, heads, fit, last = self.own, self.heads, self.fit, s.last
+        tokens, ends = None, {}
+        for k, before in s.ends.items():  # places ascend
+            t = pending[k:]
+            if tokens is None and t in own:
+                left = before[-1] if before else last
+                fits = left is None or fit.get((left, t))
+                if fits or (fits is None and self.fits(left, t)):
+                    tokens = (*before, t)
+            if t in heads:
+                ends[k] = before
         if tokens is None:
             raise ValueError("the vocabulary lacks a byte")
-        ends = {k: x for k, x in s.ends.items() if pending[k:] in self.heads}
-        ends[n] = tokens
-        paths = list(ends.values())
         common = 0
-        while all(len(p) > common for p in paths) and len({p[common] for p in paths}) == 1:
-            common += 1
+        for t in tokens:
+            for path in ends.values():
+                if len(path) <= common or path[common] != t:
+                    break
+            else:
+                common += 1
+                continue
+            break
+        if not common:
+            ends[len(pending)] = tokens
+            made = s.moves[byte] = (), self.state(last, pending, ends)
+            return made
         # Equal tokens up to here start at equal places, so they are the same prefix.
         out = tokens[:common]
         cut = sum(map(len, out))
-        after = self.state(out[-1] if out else s.last, pending[cut:], {k - cut: x[common:] for k, x in ends.items()})
-        s.moves[byte] = made = (out, after)
+        after = {k - cut: x[common:] for k, x in ends.items()}
+        after[len(pending) - cut] = tokens[common:]
+        made = s.moves[byte] = out, self.state(out[-1], pending[cut:], after)
         return made
 
     def encode(self, piece: bytes) -> list[bytes]:
@@ -186,14 +232,21 @@ class Utf8Stream:
         return left
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+@contextmanager
+def without_collector():
+    """The tables hold many small objects and no garbage in circles: cycle searches only cost."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def codec(path: str, pattern: str) -> Codec:
     """One a Python worker."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return kept(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -211,7 +264,8 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None =
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
-            ids = [c.encode(t or "") for t in batch.column("text").to_pylist()]
+            with without_collector():
+                ids = [c.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array([b"".join(c.decode(x)) for x in ids], pa.binary())})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
@@ -226,13 +280,14 @@ def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         c = codec(path, pattern)
         for batch in batches:
             sizes, of_ids, of_text = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids, h = c.encode(text or ""), hashlib.sha256()
-                for part in c.decode(ids):
-                    h.update(part)
-                sizes.append(len(ids) // 4)
-                of_ids.append(hashlib.sha256(ids).hexdigest())
-                of_text.append(h.hexdigest())
+            with without_collector():
+                for text in batch.column("text").to_pylist():
+                    ids, h = c.encode(text or ""), hashlib.sha256()
+                    for part in c.decode(ids):
+                        h.update(part)
+                    sizes.append(len(ids) // 4)
+                    of_ids.append(hashlib.sha256(ids).hexdigest())
+                    of_text.append(h.hexdigest())
             yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
