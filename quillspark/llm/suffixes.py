@@ -7,8 +7,8 @@ The suffixes are sorted to that depth, blockwise, with a difference cover:
    string of length - 20 bytes. Only sampled places, 5 of 21, are sorted corpus-wide, by
    fingerprints; each gets its class, or none if no other document holds its string.
 2. Only suffixes within 20 bytes before a sampled place with a class can have an equal elsewhere.
-   They are dealt to buckets, and one bucket at a time is sorted in a task of bounded memory, with
-   the smallest document of each class carried along. A tie is resolved by the fingerprint of all
+   They are dealt to buckets, a share of the buckets after another, and one bucket at a time is
+   sorted in a task of bounded memory, with the smallest document of each class carried along. A tie is resolved by the fingerprint of all
    `length` bytes, not byte by byte, since the result asks for equality alone and not for order.
 3. Each block of texts marks the bytes that such suffixes cover.
 
@@ -19,17 +19,21 @@ rows; other columns are not read. Matches never cross documents.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Answers, Blocks, Texts, answer, packed, repeated
+from .blocks import Answers, Blocks, Texts, answer, bounds, packed, repeated
 from .common import Scratch
 from .hashing import BASE, TABLE, covered, mix, powers
 
 LENGTH, PERIOD, COVER = 50, 21, (0, 1, 4, 14, 16)
 #: Bytes of a sampled string's fingerprint. Chance agreement only adds candidates to step 2.
 SHORT = 6
+#: Shares of the suffixes that are sorted one after another.
+ROUNDS = 3
 
 
 class Places:
@@ -76,11 +80,27 @@ def suffixes(p: Places, found: Answers, length: int):
     return near, p.hashes(near, length)
 
 
+def with_documents(keys: np.ndarray, docs: np.ndarray) -> bytes:
+    """A slice: the keys, and their documents as differences from the least, in as few bytes as
+    hold them all. The head has that least one and the width."""
+    least = int(docs.min())
+    width = max(1, -(-(int(docs.max()) - least).bit_length() // 8))
+    low = (docs.view(np.uint64) - np.uint64(least % 2**64)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return struct.pack("<qB", least, width) + keys.astype("<u8").tobytes() + low.tobytes()
+
+
+def numbers(payload: bytes, n: int, at: int) -> np.ndarray:
+    least, width = struct.unpack_from("<qB", payload)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(payload, np.uint8, n * width, at).reshape(n, width)
+    return (out.reshape(-1).view("<u8") + np.uint64(least % 2**64)).view(np.int64)
+
+
 def smallest(payloads: list[bytes], sizes: list[int]) -> list[bytes | None]:
     """A bucket's sort: for each slice, bits of the suffixes that a smaller document holds, then
     the smallest documents of those."""
-    keys = np.concatenate([np.frombuffer(p, "<u8", n) for p, n in zip(payloads, sizes, strict=True)])
-    docs = np.concatenate([np.frombuffer(p, "<i8", n, 8 * n) for p, n in zip(payloads, sizes, strict=True)])
+    keys = np.concatenate([np.frombuffer(p, "<u8", n, 9) for p, n in zip(payloads, sizes, strict=True)])
+    docs = np.concatenate([numbers(p, n, 9 + 8 * n) for p, n in zip(payloads, sizes, strict=True)])
     order = np.lexsort((docs, keys))
     ranked = keys[order]
     first = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.empty(0, bool)
@@ -109,12 +129,19 @@ def remove_earlier(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         distinct = keys[edge]
         return distinct, lambda a, b: packed(distinct[a:b], SHORT) + np.packbits(several[a:b]).tobytes()
 
-    def send(block: Texts, found: Answers):
-        p = Places(block)
-        at, hashes = suffixes(p, found, length)
-        keys, first = np.unique(hashes, return_index=True)
-        low = block.numbers[p.owner[at[first]]] if len(at) else np.empty(0, np.int64)
-        return keys, lambda a, b: keys[a:b].astype("<u8").tobytes() + low[a:b].astype("<i8").tobytes()
+    def sender(low: int, high: int):
+        """Sends the suffixes with fingerprints from low to high."""
+
+        def send(block: Texts, found: Answers):
+            p = Places(block)
+            at, hashes = suffixes(p, found, length)
+            mine = np.flatnonzero((hashes >= np.uint64(low)) & (hashes <= np.uint64(high)))
+            at, hashes = at[mine], hashes[mine]
+            keys, first = np.unique(hashes, return_index=True)
+            docs_ = block.numbers[p.owner[at[first]]] if len(at) else np.empty(0, np.int64)
+            return keys, lambda a, b: with_documents(keys[a:b], docs_[a:b])
+
+        return send
 
     def finish(block: Texts, tagged: Answers):
         found, low_of = Answers(_none(), tagged.edges), Answers(_none(), tagged.edges)
@@ -142,7 +169,12 @@ def remove_earlier(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return {"doc_id": block.ids, "n_bytes": np.diff(p.limits), "n_removed": n_removed, "n_spans": n_spans, "spans": runs, "kept": kept}
 
     classes = scratch.put(answer(blocks.send(sample), lambda p, n: repeated(p, n, SHORT)), "classes")
-    lows = scratch.put(answer(blocks.send_with(classes, send), smallest), "lows")
+    # A share of the buckets at a time, so that no more of the suffixes lie on disks at once.
+    edges, lows = [*bounds(blocks.n).tolist(), 1 << 64], None
+    cuts = [edges[k * blocks.n // ROUNDS] for k in range(ROUNDS + 1)]
+    for k in range(ROUNDS):
+        got = scratch.put(answer(blocks.send_with(classes, sender(cuts[k], cuts[k + 1] - 1)), smallest), f"lows{k}")
+        lows = got if lows is None else lows.union(got)
     both = classes.union(lows.withColumn("bucket", -1 - F.col("bucket")))
     return blocks.finish(both, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, spans string, kept binary")
 
