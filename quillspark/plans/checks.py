@@ -61,7 +61,7 @@ def bounded(text: str, inner: str, trail: str = "") -> str:
     """Matches of [A-Za-z][inner]+ between word limits. Letters outside ASCII become a mark that
     belongs to words; runs with it hold no match."""
     runs = rf"regexp_extract_all(regexp_replace({text}, '[^\x00-\x7F]', chr(1), 'g'), '[A-Za-z0-9_{inner}' || chr(1) || '-]+')"
-    return rf"list_filter(list_transform({runs}, lambda x: regexp_replace(regexp_replace(x, '^[^A-Za-z]*[^A-Za-z0-9_]', ''), '[{inner}-]+$', '')), lambda x: regexp_full_match(x, '[A-Za-z][A-Za-z0-9{inner}-]+'))"
+    return rf"list_filter(list_transform({runs}, lambda x: regexp_replace(regexp_replace(x, '^([0-9_][A-Za-z0-9_]*)?[-/]+', ''), '[{inner}-]+$', '')), lambda x: regexp_full_match(x, '[A-Za-z][A-Za-z0-9{inner}-]+'))"
 
 
 def ordered(list_sql: str) -> str:
