@@ -7,9 +7,11 @@
    compared with one another; what beats the worst of a list enters it. A list whose every entry
    passes the threshold is saturated, and is enlarged for the next round. Rounds end when few
    entries change.
-4. Entries that pass the threshold are links. Their components hold every link of their members
-   that lists of bounded length may lack, so inside each component all members are compared with
-   all, block by block: the number of links is exact there, however dense the component.
+4. Lists guide the search but are no source of links: each set of nodes that was compared, in runs
+   and in the descent, gives a spanning forest of its pairs that pass the threshold, so no pair that
+   was ever compared is lost to a list's length. Inside each component of the forests' edges all
+   members are compared with all, block by block: the number of links is exact there, however dense
+   the component.
 5. Recall is audited: a fixed number of probes is compared with all rows by brute force. Where it
    is under the aim, 2 to 4 run again over other orders with longer lists.
 
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 
 THRESHOLD, NEIGHBOURS, LEAF, ORDERS, BLOCK, PROBES, AIM, ROUNDS = 0.9, 6, 128, 3, 256, 64, 0.98, 4
-EDGE = "a long, b long, sim double"
+#: Bits of a code.
+BITS = 30
+#: entry: of a list; else an edge of a forest.
+EDGE = "a long, b long, sim double, entry boolean"
 
 
 def matrix(column) -> np.ndarray:
@@ -77,24 +82,49 @@ def nearest(ids: np.ndarray, x: np.ndarray, k: np.ndarray | int, floor: np.ndarr
     return np.repeat(ids, keep.sum(1)), ids[top[keep]], got[keep]
 
 
-def entries(parts) -> pa.RecordBatch:
-    a, b, s = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(s, pa.float64())})
+def forest(ids: np.ndarray, sims: np.ndarray, threshold: float):
+    """Edges (a, b, sim) of a spanning forest of the pairs among the given nodes that pass."""
+    hit = sims >= threshold
+    np.fill_diagonal(hit, False)
+    left, a, b = hit.any(1), [], []
+    while left.any():
+        front = np.array([np.argmax(left)])
+        left[front] = False
+        while len(front):
+            reach = hit[front]
+            new = np.flatnonzero(reach.any(0) & left)
+            a.append(front[reach[:, new].argmax(0)])
+            b.append(new)
+            left[new] = False
+            front = new
+    if not a:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    a, b = np.concatenate(a), np.concatenate(b)
+    return ids[a], ids[b], sims[a, b]
+
 
+def entries(parts, forests) -> pa.RecordBatch:
+    a, b, s = (np.concatenate([p[i] for p in [*parts, *forests]]) for i in range(3))
+    entry = np.arange(len(a)) < sum(len(p[0]) for p in parts)
+    return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(s, pa.float64()), "entry": pa.array(entry)})
 
-def first_lists(nodes: DataFrame, parts: int, k: int, seed: int) -> DataFrame:
-    """k nearest in each run of LEAF nodes of ORDERS random orders."""
+
+def first_lists(scratch: Scratch, nodes: DataFrame, parts: int, k: int, go: int, many: int, threshold: float) -> DataFrame:
+    """k nearest, and forests, in each run of LEAF nodes of `many` random orders."""
 
     def coded(s: int):
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
-                    p = matrix(batch.column("x")) @ np.random.default_rng(s).standard_normal((len(batch.column("x")[0]), 13))
-                    code = ((p[:, :12] > 0) << np.arange(12)).sum(1)
-                    yield batch.append_column("place", pa.array(code + 1 / (1 + np.exp(-4 * p[:, 12])), pa.float64()))
+                    p = matrix(batch.column("x")) @ np.random.default_rng(s).standard_normal((len(batch.column("x")[0]), BITS + 1))
+                    code = ((p[:, :BITS] > 0) << np.arange(BITS)).sum(1)
+                    yield batch.append_column("place", pa.array(code + 1 / (1 + np.exp(-4 * p[:, BITS])), pa.float64()))
 
         return nodes.select("rep", "x").mapInArrow(run, "rep long, x array<double>, place double")
 
+    def leaf(ids, x):
+        return entries([nearest(ids, x, k)], [forest(ids, x @ x.T, threshold)])
+
     def leaves(batches):
         ids, x = np.empty(0, np.int64), None
         for batch in batches:
@@ -103,15 +133,16 @@ def first_lists(nodes: DataFrame, parts: int, k: int, seed: int) -> DataFrame:
             new = matrix(batch.column("x"))
             ids, x = np.concatenate((ids, batch.column("rep").to_numpy())), new if x is None else np.concatenate((x, new))
             while len(ids) >= 2 * LEAF:
-                yield entries([nearest(ids[:LEAF], x[:LEAF], k)])
+                yield leaf(ids[:LEAF], x[:LEAF])
                 ids, x = ids[LEAF:], x[LEAF:]
         if len(ids) > 1:
-            yield entries([nearest(ids, x, k)])
+            yield leaf(ids, x)
 
     out = None
-    for t in range(ORDERS):
-        sorted_ = coded(seed * 1000 + t).repartitionByRange(parts, "place").sortWithinPartitions("place")
-        got = sorted_.mapInArrow(leaves, EDGE)
+    for t in range(many):
+        # Written one by one, so that the disk holds the shuffle of one order at a time.
+        sorted_ = coded(go * 1000 + t).repartitionByRange(parts, "place").sortWithinPartitions("place")
+        got = scratch.put(sorted_.mapInArrow(leaves, EDGE), f"order{go}-{t}")
         out = got if out is None else out.union(got)
     return out
 
@@ -125,8 +156,8 @@ def best(edges: DataFrame, wanted: DataFrame | None, k: int) -> DataFrame:
     return edges.join(wanted, "a", "left").withColumn("r", rank).where(F.col("r") <= F.coalesce("wants", F.lit(k))).drop("r", "wants")
 
 
-def descend(nodes: DataFrame, lists: DataFrame, wanted: DataFrame, parts: int, k: int, seed: int) -> DataFrame:
-    """Entries better than the lists', from comparing each node's neighbours with one another."""
+def descend(nodes: DataFrame, lists: DataFrame, wanted: DataFrame, parts: int, k: int, seed: int, threshold: float) -> DataFrame:
+    """Entries better than the lists', and forests, from comparing each node's neighbours with one another."""
     draw = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(seed))))
     back = lists.withColumn("d", draw).where(F.col("d") <= k).select(F.col("b").alias("m"), F.col("a").alias("v"))
     own = lists.withColumn("d", F.row_number().over(Window.partitionBy("a").orderBy(F.col("sim").desc(), "b"))).where(F.col("d") <= k).select(F.col("a").alias("m"), F.col("b").alias("v"))
@@ -151,7 +182,8 @@ def descend(nodes: DataFrame, lists: DataFrame, wanted: DataFrame, parts: int, k
     def compared(t: pa.Table) -> pa.RecordBatch:
         m, v, x, wants, worst = t["m"].to_numpy(), t["v"].to_numpy(), matrix(t["x"]), t["wants"].to_numpy(), t["worst"].to_numpy()
         edge = np.concatenate((np.flatnonzero(np.diff(m, prepend=m[0] - 1)), [len(m)]))
-        return entries([nearest(v[a:b], x[a:b], wants[a:b], worst[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)])
+        cuts = list(zip(edge[:-1], edge[1:], strict=True))
+        return entries([nearest(v[a:b], x[a:b], wants[a:b], worst[a:b]) for a, b in cuts], [forest(v[a:b], x[a:b] @ x[a:b].T, threshold) for a, b in cuts])
 
     return met.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(run, EDGE)
 
@@ -230,24 +262,26 @@ def embedding_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int =
     nodes = scratch.put(normalised(classes), "nodes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
 
+    n = nodes.count()
     links, truth = None, None
     for go in range(3):
         k_now = k * 2**go
-        lists = scratch.put(best(first_lists(nodes, parts, k_now, go), None, k_now), f"lists{go}-0")
+        first = first_lists(scratch, nodes, parts, k_now, go, ORDERS, threshold)
+        lists = scratch.put(best(first.where("entry"), None, k_now), f"lists{go}-0")
+        raw = first if links is None else first.union(links)
         for r in range(ROUNDS):
             full = F.when((F.min("sim") >= threshold) & (F.count("*") >= k_now), F.lit(2 * k_now)).otherwise(k_now)
             wanted = lists.groupBy("a").agg(full.alias("wants"), F.when(F.count("*") >= full, F.min("sim")).otherwise(-1.0).alias("worst"))
-            found = scratch.put(descend(nodes, lists, wanted, parts, k_now, r), f"found{go}-{r}")
-            new = found.count()
-            n = nodes.count()
+            found = scratch.put(descend(nodes, lists, wanted, parts, k_now, r, threshold), f"found{go}-{r}")
+            raw = raw.union(found)
+            new = found.where("entry").count()
             if not new:
                 break
-            lists = scratch.put(best(lists.union(found), wanted.select("a", "wants"), k_now), f"lists{go}-{r + 1}")
+            lists = scratch.put(best(lists.union(found.where("entry").drop("entry")), wanted.select("a", "wants"), k_now), f"lists{go}-{r + 1}")
             if new < 0.02 * n * k_now:
                 break
-        passed = lists.where(F.col("sim") >= threshold).select("a", "b")
-        links = scratch.put(passed if links is None else links.union(passed).distinct(), f"links{go}")
-        groups = scratch.put(components(scratch, links), f"groups{go}")
+        links = scratch.put(raw.where("not entry").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1.0).alias("sim"), "entry").distinct(), f"links{go}")
+        groups = scratch.put(components(scratch, links.select("a", "b")), f"groups{go}")
         counts = scratch.put(link_counts(nodes, groups, threshold, parts), f"counts{go}")
         if truth is None:
             truth, _ = true_links(nodes, threshold, PROBES)

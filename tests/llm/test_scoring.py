@@ -89,3 +89,25 @@ def test_lists_hold_the_nearest(n):
         sims = x @ x[i]
         sims[i] = -np.inf
         assert sorted(s[a == i], reverse=True) == pytest.approx(sorted(sims, reverse=True)[: min(3, n - 1)])
+
+
+def run_embeddings(spark, x):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    return {r.vec_id: r for r in embedding.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+
+
+def near(r, base, cosine):
+    """A vector at this cosine to base."""
+    base = base / np.linalg.norm(base)
+    side = r.standard_normal(len(base))
+    side -= side @ base * base
+    return cosine * base + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+
+
+def test_tight_subgroups_with_cross_links(spark):
+    r = np.random.default_rng(5)
+    a = r.standard_normal(64)
+    b = near(r, a, 0.95)
+    x = np.array([near(r, base, 0.998) for base in (a, b) for _ in range(100)])
+    got = run_embeddings(spark, x)
+    assert all(v.n_links == 199 and v.component_id == 0 for v in got.values()) and sum(v.kept for v in got.values()) == 1
