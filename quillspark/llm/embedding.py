@@ -1,8 +1,9 @@
 """Embedding near-dedup by NN-descent (Dong et al., 2011).
 
 1. Vectors are normalised in double precision; equal ones become one node with a multiplicity.
-2. First lists: a few orders by random hyperplane codes, each cut into runs of `leaf` nodes, in
-   which all are compared and each keeps its k nearest.
+2. First lists: orders by random hyperplane codes, each cut into runs of LEAF nodes, in which all
+   are compared and each keeps its k nearest. Their number grows with the table, so that a pair at
+   the threshold is likely to share a run however many nodes there are (`orders`).
 3. Descent: at each node the nodes on its list, and a bounded draw of those that list it, are
    compared with one another; what beats the worst of a list enters it. A list whose every entry
    passes the threshold is saturated, and is enlarged for the next round. Rounds end when few
@@ -12,8 +13,11 @@
    was ever compared is lost to a list's length. Inside each component of the forests' edges all
    members are compared with all, block by block: the number of links is exact there, however dense
    the component.
-5. Recall is audited: a fixed number of probes is compared with all rows by brute force. Where it
-   is under the aim, 2 to 4 run again over other orders with longer lists.
+5. Recall is audited: probes are compared with all rows by brute force, more and more of them until
+   enough have few links. A probe's recall counts once, whatever the number of its links, and the
+   probes with few links and those with many must each reach the aim. Where they don't, 2 to 4 run
+   again over other orders with longer lists; after the last go, or where too few probes have links
+   for an audit, all nodes are compared with all in blocks.
 
 Results for odd rows: null and empty vectors, zero vectors and those with null or non-finite
 components have no links and a component of their own; vectors of another length than most are
@@ -29,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components
 
-THRESHOLD, NEIGHBOURS, LEAF, ORDERS, BLOCK, PROBES, AIM, ROUNDS = 0.9, 6, 128, 3, 256, 64, 0.98, 4
-#: Bits of a code.
-BITS = 30
+THRESHOLD, NEIGHBOURS, LEAF, ORDERS, BLOCK, AIM, ROUNDS, GOES = 0.9, 6, 128, 3, 256, 0.98, 4, 3
+#: Bits of a code; numbers of probes, the probes of each kind that an audit wants, the links that are few; nodes in a block of the exact search.
+BITS, PROBES, LINKED, FEW, EXACT = 30, (1024, 4096, 16384), 128, 8, 1024
 #: entry: of a list; else an edge of a forest.
 EDGE = "a long, b long, sim double, entry boolean"
 
@@ -109,6 +113,13 @@ def entries(parts, forests) -> pa.RecordBatch:
     return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(s, pa.float64()), "entry": pa.array(entry)})
 
 
+def orders(n: int, threshold: float, miss: float = 0.01) -> int:
+    """Orders after which a pair at the threshold has shared no run with probability `miss`: it
+    shares the code's first bits, as many as part n nodes into runs, and a run's ends part some."""
+    same = 0.7 * (1 - np.arccos(threshold) / np.pi) ** max(0.0, np.log2(max(n, 1) / LEAF))
+    return max(ORDERS, int(np.ceil(np.log(miss) / np.log(1 - same))))
+
+
 def first_lists(scratch: Scratch, nodes: DataFrame, parts: int, k: int, go: int, many: int, threshold: float) -> DataFrame:
     """k nearest, and forests, in each run of LEAF nodes of `many` random orders."""
 
@@ -229,24 +240,73 @@ def link_counts(nodes: DataFrame, parts: DataFrame, threshold: float, n: int) ->
     return met.mapInArrow(run, "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
-def true_links(nodes: DataFrame, threshold: float, probes: int) -> tuple[dict[int, int], int]:
-    """Links of a fixed number of probes by brute force over all nodes."""
-    rows = nodes.orderBy(F.xxhash64("rep")).limit(probes).select("rep", "x").collect()
+def exact_links(nodes: DataFrame, threshold: float, total: int, n: int) -> DataFrame:
+    """Forest edges (a, b) from comparing all nodes with all, two blocks of EXACT nodes at a time."""
+    chunks = -(-total // EXACT)
+    chunk = F.pmod(F.xxhash64("rep"), F.lit(chunks))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
+    met = nodes.select("rep", "x", chunk.alias("c"), each.alias("o")).select(F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "x")
+
+    def run(batches):
+        key, ids, xs = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.stack([batch.column(c).to_numpy() for c in "ij"], 1)
+            rep, x = batch.column("rep").to_numpy(), matrix(batch.column("x"))
+            cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if tuple(k[a]) != key and ids:
+                    yield whole(ids, xs)
+                    ids, xs = [], []
+                key = tuple(k[a])
+                ids.append(rep[a:b])
+                xs.append(x[a:b])
+        if ids:
+            yield whole(ids, xs)
+
+    def whole(ids, xs) -> pa.RecordBatch:
+        x = np.concatenate(xs)
+        return entries([], [forest(np.concatenate(ids), x @ x.T, threshold)])
+
+    return met.repartition(n, "i", "j").sortWithinPartitions("i", "j").mapInArrow(run, EDGE).select("a", "b")
+
+
+def true_links(nodes: DataFrame, threshold: float, probes: int) -> dict[int, int]:
+    """Links of a number of probes by brute force over all nodes."""
+    rows = nodes.orderBy(F.xxhash64("rep"), "rep").limit(probes).select("rep", "x").collect()
     if not rows:
-        return {}, 0
+        return {}
     ids, q = np.array([r["rep"] for r in rows]), np.array([r["x"] for r in rows])
 
     def run(batches):
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
             if batch.num_rows:
-                rep = batch.column("rep").to_numpy()
-                hit = (matrix(batch.column("x")) @ q.T >= threshold) & (rep[:, None] != ids[None, :])
-                total += batch.column("many").to_numpy() @ hit
-        yield pa.record_batch({"rep": pa.array(ids), "n": pa.array(total)})
+                rep, x, many = batch.column("rep").to_numpy(), matrix(batch.column("x")), batch.column("many").to_numpy().astype(np.float64)
+                for a in range(0, len(ids), 512):
+                    hit = (x @ q[a : a + 512].T >= threshold) & (rep[:, None] != ids[None, a : a + 512])
+                    total[a : a + 512] += (many @ hit).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.record_batch({"rep": pa.array(ids[some]), "n": pa.array(total[some])})
 
     got = nodes.mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).collect()
-    return {r["rep"]: r["n"] for r in got}, len(rows)
+    return dict.fromkeys(ids.tolist(), 0) | {r["rep"]: r["n"] for r in got}
+
+
+def probed(nodes: DataFrame, threshold: float, total: int) -> dict[int, int] | None:
+    """True links of the linked ones of enough probes; None where too few have any for an audit."""
+    for probes in PROBES:
+        truth = {i: n for i, n in true_links(nodes, threshold, probes).items() if n}
+        if total <= probes or sum(n < FEW for n in truth.values()) >= LINKED:
+            return truth
+    return truth if len(truth) >= LINKED else None
+
+
+def reached(truth: dict[int, int], have: dict[int, int]) -> bool:
+    """Whether the probes with few links, and those with many, have their links found."""
+    kinds = ([have.get(i, 0) / n for i, n in truth.items() if (n < FEW) == few] for few in (True, False))
+    return all(not k or np.mean(k) >= AIM for k in kinds)
 
 
 def embedding_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
@@ -263,10 +323,10 @@ def embedding_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int =
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
 
     n = nodes.count()
-    links, truth = None, None
-    for go in range(3):
+    truth, links, good_enough = probed(nodes, threshold, n), None, False
+    for go in range(GOES if truth is not None else 0):
         k_now = k * 2**go
-        first = first_lists(scratch, nodes, parts, k_now, go, ORDERS, threshold)
+        first = first_lists(scratch, nodes, parts, k_now, go, orders(n, threshold), threshold)
         lists = scratch.put(best(first.where("entry"), None, k_now), f"lists{go}-0")
         raw = first if links is None else first.union(links)
         for r in range(ROUNDS):
@@ -283,11 +343,13 @@ def embedding_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int =
         links = scratch.put(raw.where("not entry").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1.0).alias("sim"), "entry").distinct(), f"links{go}")
         groups = scratch.put(components(scratch, links.select("a", "b")), f"groups{go}")
         counts = scratch.put(link_counts(nodes, groups, threshold, parts), f"counts{go}")
-        if truth is None:
-            truth, _ = true_links(nodes, threshold, PROBES)
-        have = {r["rep"]: r["linked"] for r in counts.where(F.col("rep").isin(list(truth))).collect()} if truth else {}
-        if sum(have.get(i, 0) for i in truth) >= AIM * sum(truth.values()):
+        have = {r["rep"]: r["linked"] for r in counts.join(F.broadcast(spark.createDataFrame([(i,) for i in truth], "rep long")), "rep", "left_semi").collect()}
+        good_enough = reached(truth, have)
+        if good_enough:
             break
+    if not good_enough:
+        groups = scratch.put(components(scratch, scratch.put(exact_links(nodes, threshold, n, parts), "exact")), "groups")
+        counts = scratch.put(link_counts(nodes, groups, threshold, parts), "counts")
     own = classes.select("embedding", "rep", "many").join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
     own = own.select("embedding", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("linked", F.lit(0)) + F.col("many") - 1).alias("n_links"))
     out = rows.join(own, "embedding", "left")

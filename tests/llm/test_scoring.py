@@ -104,6 +104,15 @@ def near(r, base, cosine):
     return cosine * base + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
 
 
+def test_pairs_beside_a_dense_component(spark):
+    r = np.random.default_rng(3)
+    middle, clutter = r.standard_normal(64), r.standard_normal((4000, 64))
+    x = np.array([near(r, middle, 0.97) for _ in range(2000)] + list(clutter) + [near(r, c, 0.905) for c in clutter[:400]])
+    got = run_embeddings(spark, x)
+    found = [got[2000 + i].n_links >= 1 and got[2000 + i].component_id == got[6000 + i].component_id for i in range(400)]
+    assert np.mean(found) >= 0.97
+
+
 def test_tight_subgroups_with_cross_links(spark):
     r = np.random.default_rng(5)
     a = r.standard_normal(64)
@@ -111,3 +120,18 @@ def test_tight_subgroups_with_cross_links(spark):
     x = np.array([near(r, base, 0.998) for base in (a, b) for _ in range(100)])
     got = run_embeddings(spark, x)
     assert all(v.n_links == 199 and v.component_id == 0 for v in got.values()) and sum(v.kept for v in got.values()) == 1
+
+
+def test_audit_counts_each_linked_probe_once():
+    truth = {0: 5000, 1: 4000, 2: 1, 3: 2}
+    assert embedding.reached(truth, truth) and not embedding.reached(truth, {0: 5000, 1: 4000, 2: 0, 3: 2}) and not embedding.reached(truth, {2: 1, 3: 2})
+
+
+def test_exact_search_where_the_aim_is_missed(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "reached", lambda truth, have: False)
+    monkeypatch.setattr(embedding, "GOES", 1)
+    monkeypatch.setattr(embedding, "EXACT", 50)
+    x = np.array(vectors())
+    got = run_embeddings(spark, x)
+    m = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [got[i].n_links for i in range(len(x))] == ((m @ m.T >= 0.9).sum(1) - 1).tolist()
