@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, release
 from .hashing import spans, word_hashes
 
-MOST_ROWS, MOST_MINED, LEAST_G2, LEAST_PURE, CUT, TIED, LEAST_ODDS, LEAST_CONTEXTS, MOST_CANDIDATES = 20_000, 1500, 20.0, 0.995, 0.7, 0.3, 3.0, 5, 20_000
+MOST_ROWS, MOST_MINED, LEAST_G2, LEAST_PURE, CUT, TIED, LEAST_ODDS, LEAST_CONTEXTS = 20_000, 1500, 20.0, 0.995, 0.7, 0.3, 3.0, 5
 #: Lengths, in bytes, of the word beginnings that can become voters.
 BEGINNINGS = (4, 5, 6)
 #: Common insults of four languages.
@@ -125,11 +125,13 @@ def patterns(text: str) -> tuple[bool, bool]:
 
 def mined(sample: DataFrame) -> list[tuple[int, int, int]]:
     """(hash, toxic rows, clean rows) of the features most tied to toxic rows of sample(text, toxic).
-    Toxic rows alone give candidates; all rows are then searched for these and no others."""
+    All features are counted and tested where they are; only those that stay reach the driver."""
 
-    def candidates(batches):
+    def counted(batches):
         for batch in batches:
-            for part in groups(batch.column("text").to_pylist()):
+            toxic = batch.column("toxic").to_numpy() == 1
+            texts = batch.column("text").to_pylist()
+            for part, bad in [(p, b) for b in (True, False) for p in groups([t for t, x in zip(texts, toxic, strict=True) if x == b])]:
                 owner, keys, before = (np.concatenate(x) for x in zip(*text_features(part), strict=True))
                 order = np.lexsort((owner, keys))
                 owner, keys, bit = owner[order], keys[order], np.left_shift(np.uint64(1), before[order] % np.uint64(63))
@@ -137,37 +139,19 @@ def mined(sample: DataFrame) -> list[tuple[int, int, int]]:
                     continue
                 new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
                 once = np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))).astype(np.int64)
-                yield pa.record_batch({"f": pa.array(keys[new].view(np.int64)), "p": pa.array(np.add.reduceat(once, new)), "c": pa.array(np.bitwise_or.reduceat(bit, new).view(np.int64))})
+                n, contexts = np.add.reduceat(once, new), np.bitwise_or.reduceat(bit, new).view(np.int64)
+                yield pa.record_batch({"f": pa.array(keys[new].view(np.int64)), "p": pa.array(n * bad), "q": pa.array(n * (not bad)), "c": pa.array(contexts * bad)})
 
     total = sample.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).collect()[0]
     if not total["p"] or total["p"] == total["n"]:
         return []
-    by = sample.where("toxic = 1").select("text").mapInArrow(candidates, "f long, p long, c long").groupBy("f").agg(F.sum("p").alias("p"), F.bit_count(F.bit_or("c")).alias("contexts"))
-    rows = by.where((F.col("p") >= 3) & (F.col("contexts") >= LEAST_CONTEXTS)).orderBy(F.desc("p"), "f").limit(MOST_CANDIDATES).select("f", "p").collect()
-    toxic = {int(np.int64(r["f"]).view(np.uint64)): r["p"] for r in rows}
-    keys = np.array(sorted(toxic), np.uint64)
-    if not len(keys):
-        return []
-
-    def search(batches):
-        n = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for part in groups(batch.column("text").to_pylist()):
-                for owner, hashes, _ in text_features(part):
-                    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                    hit = keys[at] == hashes
-                    n += np.bincount(np.unique(owner[hit] * len(keys) + at[hit]) % len(keys), minlength=len(keys)).astype(np.int64)
-        some = np.flatnonzero(n)
-        yield pa.record_batch({"k": pa.array(some), "n": pa.array(n[some])})
-
-    clean = {r["k"]: r["n"] for r in sample.where("toxic = 0").select("text").mapInArrow(search, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    p, q = np.array([toxic[int(k)] for k in keys], float), np.array([clean.get(k, 0) for k in range(len(keys))], float)
+    by = sample.select("text", "toxic").mapInArrow(counted, "f long, p long, q long, c long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.bit_count(F.bit_or("c")).alias("contexts"))
     rate = total["p"] / total["n"]
-    part = lambda k, of: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / of), 0.0)
-    g2 = 2 * (part(p, (p + q) * rate) + part(q, (p + q) * (1 - rate)))
-    good = np.flatnonzero((g2 >= LEAST_G2) & (p >= LEAST_PURE * (p + q)))
-    good = good[np.lexsort((keys[good], -g2[good]))][:MOST_MINED]
-    return [(int(keys[k].view(np.int64)), int(p[k]), int(q[k])) for k in good]
+    p, q = F.col("p"), F.col("q")
+    part = lambda k, share: F.when(k > 0, k * F.log(k / ((p + q) * F.lit(share)))).otherwise(0.0)
+    good = by.where((p >= 3) & (F.col("contexts") >= LEAST_CONTEXTS)).withColumn("g2", 2 * (part(p, rate) + part(q, 1 - rate)))
+    good = good.where((F.col("g2") >= LEAST_G2) & (p >= LEAST_PURE * (p + q))).orderBy(F.desc("g2"), "f").limit(MOST_MINED)
+    return [(r["f"], r["p"], r["q"]) for r in good.collect()]
 
 
 def label_model(fired: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:

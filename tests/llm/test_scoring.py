@@ -135,3 +135,20 @@ def test_exact_search_where_the_aim_is_missed(spark, monkeypatch):
     got = run_embeddings(spark, x)
     m = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert [got[i].n_links for i in range(len(x))] == ((m @ m.T >= 0.9).sum(1) - 1).tolist()
+
+
+def sample_with(spark, toxic, clean):
+    """Rows of frequent words; `zorg` in the first so many toxic and clean rows of 150 and 600."""
+    r = np.random.default_rng(8)
+    rows = []
+    for bad, n, some in ((1, 150, toxic), (0, 600, clean)):
+        for i in range(n):
+            words = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}word" for k in r.integers(0, 300, 40)]
+            rows.append((" ".join(words[:20] + ["zorg"] * (i < some) + words[20:]), bad))
+    return spark.createDataFrame(rows, "text string, toxic int")
+
+
+def test_rare_words_of_toxic_rows_are_mined_among_many_frequent_ones(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_CANDIDATES", 50, raising=False)
+    found = {f: (p, q) for f, p, q in toxicity.mined(sample_with(spark, 12, 0))}
+    assert found[int(np.uint64(toxicity.word_key("zorg")).view(np.int64))] == (12, 0)
