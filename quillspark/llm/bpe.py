@@ -10,7 +10,8 @@ token and the bytes after it. This pair is the state; states and transitions are
 first asks for them, and dropped together when the table has grown to its limit.
 
 Results for odd rows: null and empty texts have no ids; repeated rows are encoded row by row; texts
-of any length are encoded piece by piece, in linear time; an empty table gives no rows.
+of any length are encoded piece by piece, in linear time; an empty table gives no rows; a null doc_id
+stays null; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import base64
 import gc
 import hashlib
 from contextlib import contextmanager
-from itertools import islice
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,12 @@ from pyspark.sql import DataFrame
 
 from .common import kept
 
-MOST_STATES, MOST_PIECES = 1 << 17, 1 << 19
+#: States of a transducer; bytes that a worker's table of encoded pieces, and that of runs, may take.
+MOST_STATES, MOST_BYTES = 1 << 16, (48 << 20, 160 << 20)
+#: Bytes that run through the open places at most before transitions are made for them.
+MOST_REST = 256
+#: Of the pattern's pieces none crosses a space that follows a character other than white space.
+SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,36 +42,52 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class State:
-    """last: the token emitted last; pending: bytes after it. ends: for each open place of pending,
-    the tokens that lead there. moves: what each byte emits and the state after it."""
+    """last: the token emitted last, -1 at the start; pending: bytes after it. ends: for each open
+    place of pending its node of the token trie and the tokens that lead there, the last place being
+    pending's end. moves: what each byte emits and the state after it."""
 
     __slots__ = ("ends", "last", "moves", "pending")
 
-    def __init__(self, last, pending: bytes, ends: dict[int, tuple]):
+    def __init__(self, last: int, pending: bytes, ends: tuple):
         self.last, self.pending, self.ends, self.moves = last, pending, ends, {}
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        #: Tokens that the merges make of their own bytes; others come out only as whole pieces.
-        self.pair: dict[tuple[bytes, bytes], int] = {}
-        self.halves: dict[bytes, tuple[bytes, bytes]] = {}
-        for t in ranks:
+    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
+        self.ranks, self.most = ranks, most_states
+        size = max(ranks.values()) + 1
+        #: Tokens that the merges make of their own bytes, by their two halves; others come out only
+        #: as whole pieces. pair: the token of two neighbours, keyed by left * size + right.
+        self.left, self.right, self.size = [-1] * size, [-1] * size, size
+        self.pair: dict[int, int] = {}
+        #: The trie: a node's child by node * 256 + byte; each node's token, and whether it goes on.
+        self.child: dict[int, int] = {}
+        self.token, self.open = [-1], [True]
+        for t, rank in ranks.items():
             parts = self.merged(t, 2) if len(t) > 1 else [t]
             if len(parts) == 2:
-                self.halves[t] = left, right = parts[0], parts[1]
-                self.pair[left, right] = ranks[t]
-        self.own = {t for t in ranks if len(t) == 1} | set(self.halves)
-        self.heads = {t[:k] for t in self.own for k in range(1, len(t))}
-        self.fit: dict[tuple[bytes, bytes], bool] = {}
+                self.left[rank], self.right[rank] = left, right = ranks[parts[0]], ranks[parts[1]]
+                self.pair[left * size + right] = rank
+            elif len(t) > 1:
+                continue
+            node = 0
+            for byte in t:
+                self.open[node] = True
+                key = node << 8 | byte
+                if key not in self.child:
+                    self.child[key] = len(self.token)
+                    self.token.append(-1)
+                    self.open.append(False)
+                node = self.child[key]
+            self.token[node] = rank
+        self.fit: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
         for s in getattr(self, "states", {}).values():
             s.moves.clear()  # states refer to one another in circles
         self.states: dict[tuple, State] = {}
-        self.start = self.state(None, b"", {0: ()})
+        self.start = self.state(-1, b"", ((0, 0, ()),))
 
     def merged(self, data: bytes, stop: int = 1) -> list[bytes]:
         """The merges applied in order of rank to a short string, by definition, down to `stop`
@@ -78,121 +100,218 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, left: bytes | None, right: bytes) -> bool:
+    def fits(self, left: int, right: int) -> bool:
         """Whether left and right stay two tokens side by side. They don't if some merge across
         their limit comes before the merge that closes it off: the parts at the limit are taken
         apart in reverse order of rank, and at each step the pair that meets there is looked up."""
-        if left is None:
-            return True
-        known = self.fit.get((left, right))
-        if known is not None:
-            return known
-        ranks, halves, a, b, before = self.ranks, self.halves, left, right, 1 << 60
+        pair, size, a, b, before = self.pair, self.size, left, right, 1 << 60
         while True:
-            met = self.pair.get((a, b))
+            met = pair.get(a * size + b)
             if met is not None and met < before:
                 known = False
                 break
-            ra, rb = ranks[a] if a in halves else -1, ranks[b] if b in halves else -1
+            # A token's rank is its id. Single bytes have no halves.
+            ra, rb = a if self.left[a] >= 0 else -1, b if self.left[b] >= 0 else -1
             if ra < 0 and rb < 0:
                 known = True
                 break
             # A merge of equal rank goes to the leftmost place, so the left token's comes first.
             if ra > rb:
-                before, a = ra, halves[a][1]
+                before, a = ra, self.right[a]
             else:
-                before, b = rb + 1, halves[b][0]
-        if len(self.fit) >= 2 * MOST_STATES:
+                before, b = rb + 1, self.left[b]
+        if len(self.fit) >= 4 * self.most:
             self.fit.clear()
-        self.fit[left, right] = known
+        self.fit[left * size + right] = known
         return known
 
-    def state(self, last, pending, ends) -> State:
+    def state(self, last: int, pending: bytes, ends: tuple) -> State:
         found = self.states.get((last, pending))
         if found is None:
             found = self.states[last, pending] = State(last, pending, ends)
         return found
 
-    def move(self, s: State, byte: int) -> tuple[tuple[bytes, ...], State]:
-        pending = s.pending + bytes((byte,))
-        own, heads, fit, last = self.own, self.heads, self.fit, s.last
-        tokens, ends = None, {}
-        for k, before in s.ends.items():  # places ascend
-            t = pending[k:]
-            if tokens is None and t in own:
-                left = before[-1] if before else last
-                fits = left is None or fit.get((left, t))
-                if fits or (fits is None and self.fits(left, t)):
-                    tokens = (*before, t)
-            if t in heads:
-                ends[k] = before
+    def move(self, s: State, byte: int) -> tuple[tuple[int, ...], State]:
+        child, token, opens, fit, size, last = self.child, self.token, self.open, self.fit, self.size, s.last
+        tokens, ends = None, []
+        for k, node, before in s.ends:  # places ascend
+            node = child.get(node << 8 | byte)
+            if node is None:
+                continue
+            if tokens is None:
+                t = token[node]
+                if t >= 0:
+                    left = before[-1] if before else last
+                    if left < 0:
+                        tokens = (*before, t)
+                    else:
+                        fits = fit.get(left * size + t)
+                        if fits or (fits is None and self.fits(left, t)):
+                            tokens = (*before, t)
+            if opens[node]:
+                ends.append((k, node, before))
         if tokens is None:
             raise ValueError("the vocabulary lacks a byte")
-        common = 0
-        for t in tokens:
-            for path in ends.values():
-                if len(path) <= common or path[common] != t:
-                    break
-            else:
-                common += 1
-                continue
-            break
+        pending = s.pending + bytes((byte,))
+        common = len(tokens)
+        for _, _, path in ends:
+            if len(path) < common:
+                common = len(path)
+            while common and path[:common] != tokens[:common]:
+                common -= 1
+            if not common:
+                break
         if not common:
-            ends[len(pending)] = tokens
-            made = s.moves[byte] = (), self.state(last, pending, ends)
+            made = s.moves[byte] = (), self.state(last, pending, (*ends, (len(pending), 0, tokens)))
             return made
         # Equal tokens up to here start at equal places, so they are the same prefix.
-        out = tokens[:common]
-        cut = sum(map(len, out))
-        after = {k - cut: x[common:] for k, x in ends.items()}
-        after[len(pending) - cut] = tokens[common:]
-        made = s.moves[byte] = out, self.state(out[-1], pending[cut:], after)
+        out, starts = tokens[:common], len(pending)
+        if len(tokens) > common or ends:
+            starts = sum(self.lengths[t] for t in out)
+        after = tuple((k - starts, node, path[common:]) for k, node, path in ends)
+        made = s.moves[byte] = out, self.state(out[-1], pending[starts:], (*after, (len(pending) - starts, 0, tokens[common:])))
         return made
 
-    def encode(self, piece: bytes) -> list[bytes]:
-        """Tokens of a piece; a piece that is a token is that token."""
-        if piece in self.ranks:
-            return [piece]
-        if len(self.states) > MOST_STATES:
-            self.clear()
-        s, out = self.start, []
-        for byte in piece:
-            emitted, s = s.moves.get(byte) or self.move(s, byte)
-            out += emitted
-        out += s.ends[len(s.pending)]
+    @cached_property
+    def lengths(self) -> list[int]:
+        out = [0] * self.size
+        for t, rank in self.ranks.items():
+            out[rank] = len(t)
+        return out
+
+    def encode(self, piece: bytes) -> list[int]:
+        """Ids of a piece; a piece that is a token is that token. A transition is made when it is
+        asked for the second time; on the first, the rest of the piece runs through the open places
+        as they are. Where the states reach their limit, all but the current one go, in the middle
+        of a piece too."""
+        known = self.ranks.get(piece)
+        if known is not None:
+            return [known]
+        s, out, most = self.start, [], self.most
+        for at, byte in enumerate(piece):
+            got = s.moves.get(byte)
+            if got is None:
+                if byte not in s.moves:
+                    s.moves[byte] = None
+                    if len(piece) - at <= MOST_REST:
+                        return out + self.rest(s, piece[at:])
+                if len(self.states) > most:
+                    self.clear()
+                    s = self.state(s.last, s.pending, s.ends)
+                got = self.move(s, byte)
+            emitted, s = got
+            if emitted:
+                out += emitted
+        out += s.ends[-1][2]
         return out
 
+    def rest(self, s: State, data: bytes) -> list[int]:
+        """Ids of what is pending in s and of data after it, without new states: the same steps as
+        in `move`, with a place kept as its last token and the place where that token starts."""
+        child, token, opens, fit, size = self.child, self.token, self.open, self.fit, self.size
+        last = [path[-1] if path else s.last for _, _, path in s.ends]
+        start, first, places = [-1] * len(last), len(last), [(node, i) for i, (_, node, _) in enumerate(s.ends)]
+        for byte in data:
+            found, new = -1, []
+            for node, i in places:
+                node = child.get(node << 8 | byte)
+                if node is None:
+                    continue
+                if found < 0:
+                    t = token[node]
+                    if t >= 0:
+                        left = last[i]
+                        if left < 0:
+                            found, by = t, i
+                        else:
+                            fits = fit.get(left * size + t)
+                            if fits or (fits is None and self.fits(left, t)):
+                                found, by = t, i
+                if opens[node]:
+                    new.append((node, i))
+            if found < 0:
+                raise ValueError("the vocabulary lacks a byte")
+            new.append((0, len(last)))
+            last.append(found)
+            start.append(by)
+            places = new
+        out, i = [], len(last) - 1
+        while i >= first:
+            out.append(last[i])
+            i = start[i]
+        out.reverse()
+        return [*s.ends[i][2], *out]
+
+
+class Table(dict):
+    """Encoded strings for reuse; emptied when they take more than `most` bytes, by an estimate that
+    counts a Python object's overhead. Long strings are not kept."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.size = make, most, 0
+
+    def __missing__(self, text):
+        ids = self.make(text)
+        cost = 200 + 2 * len(text) + len(ids)
+        if cost > 4096:
+            return ids
+        if self.size + cost > self.most:
+            self.clear()
+            self.size = 0
+        self.size += cost
+        self[text] = ids
+        return ids
+
 
 class Codec:
-    """Texts to ids and back. Ids of a piece, as little-endian words, are kept for reuse."""
+    """Texts to ids and back. Ids are kept, as little-endian words, for each piece and, where the
+    pattern's pieces can't cross a space, for each run between spaces with the space before it."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.machine = Transducer(read_ranks(path))
         self.find = regex.compile(pattern).findall
-        ranks, encode = self.machine.ranks, self.machine.encode
-
-        class Pieces(dict):
-            def __missing__(self, piece):
-                ids = np.array([ranks[t] for t in encode(piece.encode())], "<u4").tobytes()
-                if len(self) >= MOST_PIECES:
-                    self.clear()
-                self[piece] = ids
-                return ids
-
-        self.pieces = Pieces()
-        self.bytes_of = {i: t for t, i in ranks.items()}
+        self.pieces = Table(self.piece, MOST_BYTES[0])
+        self.runs = Table(self.run, MOST_BYTES[1]) if pattern == SPACED_PATTERN else None
+        self.odd_space, self.part = regex.compile(r"\s ").search, regex.compile(r"(?<=\S) ").split
+        size = self.machine.size
+        self.size_of, self.start_of = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        at, ranks = 0, self.machine.ranks
+        for t, i in ranks.items():
+            self.size_of[i], self.start_of[i] = len(t), at
+            at += len(t)
+        self.bytes_of = np.frombuffer(b"".join(ranks), np.uint8)
+
+    def piece(self, text: str) -> bytes:
+        return np.array(self.machine.encode(text.encode()), "<u4").tobytes()
+
+    def run(self, text: str) -> bytes:
+        parts = self.find(" " + text)
+        if len(parts) == 1:
+            return self.piece(parts[0])
+        # A piece with a space before it is a run too.
+        return b"".join([self.runs[p[1:]] if p[0] == " " and len(p) > 1 and not p.isspace() else self.pieces[p] for p in parts])
+
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        if self.runs is None:
+            return self.whole(text)
+        parts = self.part(text) if self.odd_space(text) else text.split(" ")
+        return self.whole(parts[0]) + b"".join(map(self.runs.__getitem__, parts[1:]))
 
-    def decode(self, ids: bytes, step: int = 4096):
+    def decode(self, ids: bytes, step: int = 1 << 16):
         """The text's bytes in whole characters, as the ids arrive."""
-        stream, table = Utf8Stream(), self.bytes_of.__getitem__
-        words = iter(np.frombuffer(ids, "<u4").tolist())
-        while part := list(islice(words, step)):
-            yield stream.feed(b"".join(map(table, part)))
+        stream = Utf8Stream()
+        every = np.frombuffer(ids, "<u4")
+        for a in range(0, len(every), step):
+            part = every[a : a + step]
+            sizes = self.size_of[part]
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1]) + np.repeat(self.start_of[part] - ends + sizes, sizes)
+            yield stream.feed(self.bytes_of[at].tobytes())
         yield stream.close()
 
 
