@@ -38,30 +38,30 @@ class Blocks:
 
     def send(self, make) -> DataFrame:
         """Slices of make(block's texts), which gives sorted distinct uint64 and per-slice bytes."""
-        n, edges = self.n, bounds(self.n)
+        n = self.n
 
         def run(table: pa.Table) -> pa.Table:
-            return sliced(n, edges, int(table["block"][0].as_py()), *make(Texts(table)))
+            return sliced(n, int(table["block"][0].as_py()), *make(Texts(table)))
 
         return self.docs.groupBy("block").applyInArrow(run, SLICE)
 
     def send_with(self, answers: DataFrame, make) -> DataFrame:
-        n, edges = self.n, bounds(self.n)
+        n = self.n
 
         def run(table: pa.Table, found: pa.Table) -> pa.Table:
-            return sliced(n, edges, int(table["block"][0].as_py()), *make(Texts(table), Answers(found, edges)))
+            return sliced(n, int(table["block"][0].as_py()), *make(Texts(table), Answers(found, n)))
 
         return self.docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SLICE)
 
     def finish(self, answers: DataFrame, make, schema: str) -> DataFrame:
         """make(texts, answers) gives the result's columns for each block."""
-        edges, out, carry = bounds(self.n), arrow_schema(schema), self.carry
+        n, out, carry = self.n, arrow_schema(schema), self.carry
         kinds = self.kinds
         schema += "".join(f", {c} {kinds[c]}" for c in carry)
 
         def run(table: pa.Table, found: pa.Table) -> pa.Table:
             texts = Texts(table)
-            made = pa.table(make(texts, Answers(found, edges)), schema=out)
+            made = pa.table(make(texts, Answers(found, n)), schema=out)
             for c in carry:
                 made = made.append_column(c, texts.table[c].take(texts.order))
             return made
@@ -92,15 +92,23 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(","))])
 
 
-def bounds(n: int) -> np.ndarray:
-    """First fingerprint of each of n buckets."""
-    return np.array([-(-(k << 64) // n) for k in range(n)], np.uint64)
+def buckets(keys: np.ndarray, n: int) -> np.ndarray:
+    """The bucket, of n under 2**32, of each key; it grows with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def sliced(n: int, edges: np.ndarray, block: int, keys: np.ndarray, pack) -> pa.Table:
-    at = np.append(np.searchsorted(keys, edges), len(keys))
-    full = [k for k in range(n) if at[k + 1] > at[k]] if len(keys) else []
-    return pa.table({"bucket": pa.array(full, pa.int64()), "block": pa.array([block] * len(full), pa.int64()), "n": pa.array([int(at[k + 1] - at[k]) for k in full], pa.int64()), "payload": pa.array([pack(at[k], at[k + 1]) for k in full], pa.binary())})
+def runs(keys: np.ndarray, n: int):
+    """(bucket, from, to) of each bucket that sorted keys fall into: work and slices are bounded by
+    the keys, not by the number of buckets."""
+    of = buckets(keys, n)
+    cut = [*np.flatnonzero(np.diff(of)) + 1]
+    return zip(of[[0, *cut]].astype(np.int64).tolist(), [0, *cut], [*cut, len(keys)], strict=True) if len(keys) else ()
+
+
+def sliced(n: int, block: int, keys: np.ndarray, pack) -> pa.Table:
+    found = [(k, b - a, pack(a, b)) for k, a, b in runs(keys, n)]
+    at, sizes, payloads = zip(*found, strict=True) if found else ((), (), ())
+    return pa.table({"bucket": pa.array(at, pa.int64()), "block": pa.array([block] * len(at), pa.int64()), "n": pa.array([int(x) for x in sizes], pa.int64()), "payload": pa.array(payloads, pa.binary())})
 
 
 def answer(slices: DataFrame, work) -> DataFrame:
@@ -130,15 +138,21 @@ class Texts:
 
 
 class Answers:
-    def __init__(self, table: pa.Table, edges: np.ndarray):
+    def __init__(self, table: pa.Table, n: int):
         self.rows = dict(zip(table["bucket"].to_pylist(), table["payload"].to_pylist(), strict=True)) if table.num_rows else {}
-        self.edges = edges
+        self.n = n
+
+    def only(self, wanted, change=lambda k: k):
+        """The answers whose bucket is wanted, under another number."""
+        out = object.__new__(Answers)
+        out.rows, out.n = {change(k): v for k, v in self.rows.items() if wanted(k)}, self.n
+        return out
 
     def slices(self, keys: np.ndarray):
         """(from, to, payload) for each answered slice of the keys."""
-        at = np.append(np.searchsorted(keys, self.edges), len(keys))
-        for k, payload in self.rows.items():
-            yield at[k], at[k + 1], payload
+        for k, a, b in runs(keys, self.n):
+            if k in self.rows:
+                yield a, b, self.rows[k]
 
     def bits(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), bool)

@@ -11,6 +11,8 @@ import numpy as np
 U = np.uint64
 BASE, STEP = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93 | 1)
 TABLE = np.random.default_rng(20).integers(1, 2**64 - 1, 256, dtype=U)
+#: For a second hash that agrees with the first by chance alone.
+SECOND = np.random.default_rng(21).integers(1, 2**64 - 1, 256, dtype=U)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SEGMENT = 1 << 20
@@ -43,7 +45,7 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = TABLE) -> np.ndarray:
     """Hash of each word; works through the bytes in segments, to bound the prefix sums' memory."""
     out = np.empty(len(starts), U)
     i = 0
@@ -53,7 +55,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         hi = ends[j - 1]
         up, down = powers(BASE, int(hi - lo))
         sums = np.zeros(hi - lo + 1, U)
-        np.cumsum(TABLE[data[lo:hi]] * up[: hi - lo], out=sums[1:])
+        np.cumsum(table[data[lo:hi]] * up[: hi - lo], out=sums[1:])
         out[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * down[starts[i:j] - lo]
         i = j
     return mix(out ^ ((ends - starts).astype(U) * STEP))

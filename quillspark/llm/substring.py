@@ -1,11 +1,13 @@
 """Substring dedup: Rabin-Karp hashes of every window of `width` words, counted over the corpus.
 
 Windows that occur twice or more, in one text or in several, merge into maximal removal
-intervals. Hashes have 64 bits: at n windows about n*n / 2**65 pairs agree by chance.
+intervals. Windows are counted by 64 bits first; those that repeat are counted again by 128, so that
+of n windows two that differ are taken for one with probability n*n / 2**129.
 
 Results for odd rows: null and empty texts have no words and nothing to remove; texts shorter than
-a window are kept; a repeated row repeats all its windows, so both copies lose them; an empty table
-gives no rows; other columns are not read.
+a window are kept; texts of any length are one row of one block; a repeated row repeats all its
+windows, so both copies lose them; an empty table gives no rows; other columns are not read, whatever
+their names, but for those named in carry.
 """
 
 from __future__ import annotations
@@ -16,49 +18,104 @@ from pyspark.sql import functions as F
 
 from .blocks import Answers, Blocks, Texts, answer, packed, repeated
 from .common import Scratch
-from .hashing import covered, inside, spans, window_hashes, word_hashes
+from .hashing import SECOND, TABLE, covered, inside, spans, window_hashes, word_hashes
 
 WIDTH = 35
 
 
-def windows(block: Texts, width: int):
-    """Hashes of all windows, their places, the number of words, and each word's text."""
-    data = np.frombuffer(b"\n".join(block.texts), np.uint8)
-    starts, ends = spans(data)
-    limits = np.cumsum([len(t) + 1 for t in block.texts])
-    owner = np.searchsorted(limits, starts, "right")
-    at = np.flatnonzero(inside(owner, width))
-    return window_hashes(word_hashes(data, starts, ends), width)[at], at, owner
-
-
-def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] = ()) -> DataFrame:
+class Windows:
+    """The windows of a block's texts. hashes: of each; at: the words at which they start; owner: each
+    word's text; starts and ends: each word's bytes in the joined texts."""
+
+    def __init__(self, block: Texts, width: int):
+        self.data = np.frombuffer(b"\n".join(block.texts), np.uint8)
+        self.starts, self.ends = spans(self.data)
+        self.limits = np.cumsum([0, *[len(t) + 1 for t in block.texts]])
+        self.owner = np.searchsorted(self.limits[1:], self.starts, "right")
+        self.at = np.flatnonzero(inside(self.owner, width))
+        self.width = width
+        self.hashes = self.hashed(TABLE)
+
+    def hashed(self, table: np.ndarray) -> np.ndarray:
+        return window_hashes(word_hashes(self.data, self.starts, self.ends, table), self.width)[self.at]
+
+    def repeated(self, found: Answers):
+        """Those windows whose hash repeats, their distinct pairs of hashes, and each one's pair."""
+        keys, inverse = np.unique(self.hashes, return_inverse=True)
+        some = np.flatnonzero(found.bits(keys)[inverse])
+        first, second = self.hashes[some], self.hashed(SECOND)[some] if len(some) else np.empty(0, np.uint64)
+        order = np.lexsort((second, first))
+        pairs = np.stack((first, second), 1)[order]
+        new = np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1))) if len(some) else np.empty(0, bool)
+        of = np.empty(len(some), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return some, pairs[new], of
+
+
+def twice(payloads: list[bytes], sizes: list[int]) -> list[bytes | None]:
+    """`repeated` for slices of pairs of hashes."""
+    pairs = np.concatenate([np.frombuffer(p, "<u8", 2 * n).reshape(n, 2) for p, n in zip(payloads, sizes, strict=True)])
+    flags = np.concatenate([np.unpackbits(np.frombuffer(p[16 * n :], np.uint8), count=n).astype(bool) for p, n in zip(payloads, sizes, strict=True)])
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    same = (pairs[order][1:] == pairs[order][:-1]).all(1)
+    twin = np.zeros(len(pairs), bool)
+    twin[1:] |= same
+    twin[:-1] |= same
+    flags[order] |= twin
+    at = np.cumsum([0, *sizes])
+    return [np.packbits(x).tobytes() if x.any() else None for x in (flags[a:b] for a, b in zip(at[:-1], at[1:], strict=True))]
+
+
+def without(text: bytes, starts: np.ndarray, ends: np.ndarray, runs: np.ndarray) -> bytes:
+    """The text without runs of words [x, y), each with the white space up to the next word, or at the
+    text's end with the space before it; all else stays byte for byte."""
+    out, at = [], 0
+    for x, y in runs.tolist():
+        low, high = (starts[x], starts[y]) if y < len(starts) else (ends[x - 1] if x else starts[0], ends[-1])
+        out.append(text[at:low])
+        at = high
+    return b"".join([*out, text[at:]])
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, carry: list[str] = (), layout: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, spans ('from-to' words removed, comma-joined) and the kept text
-    (kept words joined by one space) for each row of docs(doc_id, text), and the columns
-    named in carry."""
+    for each row of docs(doc_id, text), and the columns named in carry. The kept text is the kept
+    words joined by one space, or with layout the text as it was outside what is removed."""
     scratch, blocks = Scratch(docs.sparkSession, "substring"), Blocks(docs, carry)
 
     def send(block: Texts):
-        keys, counts = np.unique(windows(block, width)[0], return_counts=True)
+        keys, counts = np.unique(Windows(block, width).hashes, return_counts=True)
         return keys, lambda a, b: packed(keys[a:b], 8) + np.packbits(counts[a:b] > 1).tobytes()
 
-    def finish(block: Texts, found: Answers):
-        hashes, at, owner = windows(block, width)
-        keys, inverse = np.unique(hashes, return_inverse=True)
-        flags = np.zeros(max(0, len(owner) - width + 1), bool)
-        flags[at] = found.bits(keys)[inverse]
-        gone = covered(flags, width, len(owner)) if len(flags) else np.zeros(len(owner), bool)
-        limits = np.searchsorted(owner, np.arange(len(block.texts) + 1))
+    def send_again(block: Texts, found: Answers):
+        _, pairs, of = Windows(block, width).repeated(found)
+        several = np.bincount(of, minlength=len(pairs)) > 1
+        return pairs[:, 0], lambda a, b: pairs[a:b].astype("<u8").tobytes() + np.packbits(several[a:b]).tobytes()
+
+    def finish(block: Texts, answers: Answers):
+        w = Windows(block, width)
+        some, pairs, of = w.repeated(answers.only(lambda k: k >= 0))
+        flags = np.zeros(max(0, len(w.owner) - width + 1), bool)
+        flags[w.at[some]] = answers.only(lambda k: k < 0, lambda k: -1 - k).bits(pairs[:, 0])[of]
+        gone = covered(flags, width, len(w.owner)) if len(flags) else np.zeros(len(w.owner), bool)
+        limits = np.searchsorted(w.owner, np.arange(len(block.texts) + 1))
         n_removed, kept, runs = [], [], []
-        for text, a, b in zip(block.texts, limits[:-1], limits[1:], strict=True):
-            cut, ws = gone[a:b], text.split()
+        for k, (text, a, b) in enumerate(zip(block.texts, limits[:-1], limits[1:], strict=True)):
+            cut = gone[a:b]
             n_removed.append(int(cut.sum()))
             edge = np.flatnonzero(np.diff(np.concatenate(([0], cut.view(np.int8), [0])))).reshape(-1, 2)
             runs.append(",".join(f"{x}-{y}" for x, y in edge))
-            kept.append((b" ".join(w for w, c in zip(ws, cut, strict=True) if not c) if n_removed[-1] else b" ".join(ws)).decode())
+            if layout:
+                kept.append((without(text, w.starts[a:b] - w.limits[k], w.ends[a:b] - w.limits[k], edge) if len(edge) else text).decode())
+            else:
+                ws = text.split()
+                kept.append((b" ".join(x for x, c in zip(ws, cut, strict=True) if not c) if len(edge) else b" ".join(ws)).decode())
         return {"doc_id": block.ids, "n_words": np.diff(limits), "n_removed": n_removed, "spans": runs, "kept": kept}
 
     found = scratch.put(answer(blocks.send(send), repeated), "found")
-    return blocks.finish(found, finish, "doc_id long, n_words long, n_removed long, spans string, kept string")
+    again = scratch.put(answer(blocks.send_with(found, send_again), twice), "again")
+    both = found.union(again.withColumn("bucket", -1 - F.col("bucket")))
+    return blocks.finish(both, finish, "doc_id long, n_words long, n_removed long, spans string, kept string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

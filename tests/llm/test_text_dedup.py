@@ -1,6 +1,8 @@
 import random
+from types import SimpleNamespace
 
 import brute
+import numpy as np
 import pytest
 
 from quillspark.llm import near_dup, substring, suffixes
@@ -91,3 +93,36 @@ def test_repeated_rows_lose_their_windows_and_null_ids_come_last(spark):
     rows = spark.createDataFrame([(None, same), (1, same), (1, same)], "doc_id long, text string")
     assert {r.n_removed for r in substring.digest(rows).collect()} == {60}
     assert sorted((str(r.doc_id), r.n_removed) for r in suffixes.digest(rows).collect()) == [("1", 0), ("1", 0), ("None", len(same))]
+
+
+def test_suffixes_are_exact_whatever_the_fingerprints(monkeypatch):
+    """All fingerprints clash: bytes alone decide. Two blocks and one bucket, without Spark."""
+    monkeypatch.setattr(suffixes.Places, "fingerprints", lambda self: np.zeros(len(self.at), np.uint64))
+    rows = [(i, (t or "").encode()) for i, t in made() if len(t or "") < 2000]
+    r = random.Random(5)
+    passage = bytes(r.choice(b"abcdef") for _ in range(90))
+    rows += [(len(rows) + 500 + k, "".join(r.choice("ab") for _ in range(300)).encode() + passage[k : k + 70]) for k in range(12)]
+    blocks = [SimpleNamespace(texts=[t for _, t in part], numbers=np.array([i for i, _ in part], np.int64)) for part in (rows[::2], rows[1::2])]
+    every = SimpleNamespace(bits=lambda keys: np.ones(len(keys), bool))
+    sent = []
+    for b in blocks:
+        _, new, _, contexts, docs = suffixes.Places(b, 50).contexts(every)
+        sent.append((suffixes.with_documents(contexts[new], docs[new]), int(new.sum())))
+    got = suffixes.smaller([x for x, _ in sent], [n for _, n in sent], 50)
+    out = {}
+    for b, bits in zip(blocks, got, strict=True):
+        p = suffixes.Places(b, 50)
+        flags = p.covered_by(bits, *p.contexts(every))
+        for i, t, x, y in zip(b.numbers.tolist(), b.texts, p.limits[:-1], p.limits[1:], strict=True):
+            out[i] = (len(t), int(flags[x:y].sum()))
+    assert out == {i: (n, gone) for i, n, gone, *_ in brute.suffixes([(i, t.decode()) for i, t in rows])}
+
+
+def test_ranks_are_those_of_sorted_rows():
+    r = np.random.default_rng(4)
+    for width, letters in ((1, 3), (9, 2), (30, 2), (17, 250)):
+        data = r.integers(0, letters, (500, width)).astype(np.uint8)
+        order, new = suffixes.ranked(suffixes.columns_of(data))
+        rows = [bytes(x) for x in data]
+        assert order.tolist() == sorted(range(500), key=lambda k: rows[k])
+        assert int(new.sum()) == len(set(rows))
