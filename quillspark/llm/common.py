@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +19,28 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset
-    (tests in one process) a new folder that is then set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, as in
+    tests in one process, a new local folder is set; with executors elsewhere that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def sweep(spark: SparkSession, hours: float) -> int:
+    """Deletes the operators' tables that were last written more than `hours` ago; gives their
+    number. Results are lazy and read such tables, so it is for results that are stored."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quill")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in fs.listStatus(top) if x.getModificationTime() < (time.time() - 3600 * hours) * 1000] if fs.exists(top) else []
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -42,10 +58,11 @@ def kept(key, make):
 
 
 def release() -> None:
-    """Frees what earlier operators' tasks have kept in this worker."""
+    """Frees what earlier operators' tasks have kept in this worker, and gives unused memory back."""
     if _kept:
         _kept.clear()
         gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 class Scratch:

@@ -12,15 +12,20 @@ their Jaccard similarity says (b = 1.001).
    size): by set sizes, by the likelihood of their registers, then on the full sets.
 4. A bucket whose members have not all come together through these links may hide links between
    others. There, members of different components are compared with one another, in blocks of two
-   chunks of the bucket: registers first, then full sets, likeliest first, until linked.
+   chunks of the bucket: by the likelihood of their registers, then on full sets, likeliest first,
+   until linked. Chunks are bounded by members and by the hashes in their sets.
 5. Components of all confirmed links.
 
 Hot buckets: sizes never matter in 2 and 3 beyond their sum, and joins on bucket keys can be split
 by adaptive execution; 4 touches only buckets that disagree.
 
+Shingles count as equal where their 64-bit hashes are: two of a pair's n shingles clash with
+probability n*n / 2**65. Classes of equal sets are told apart by 128 bits and the set's size.
+
 Results for odd rows: texts without words (or null) have an empty set, no links, and stay alone;
 rows with equal ids are one node, linked by what any of the rows holds; n_shingles stays per row;
-null ids are left alone with a null component; an empty table gives no rows.
+null ids are left alone with a null component; texts of any length are one row; an empty table
+gives no rows; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,13 +42,16 @@ from .hashing import LOWER, inside, mix, spans, window_hashes, word_hashes
 
 SHINGLE, REGISTERS, ROWS = 5, 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
-#: Pairs of a lower estimate are not compared on full sets. Its standard error at 0.75 is 0.038.
+#: Pairs of a lower estimate are not compared on full sets. Its standard error at 0.75 is 0.038, so
+#: that 1 in 10**7 links is below it.
 LEAST_ESTIMATE = 0.55
-#: Registers, of 128, that agree in a pair compared on full sets in a shared bucket: at similarity
-#: 0.75 it is 96 on average, with a deviation of 4.9.
-LEAST_SAME = 72
-#: Members of a chunk: a block of two has some MB.
-CHUNK = 1024
+#: Registers, of 128, that agree in a pair whose likelihood is computed: at similarity 0.75 it is 96 on
+#: average, with a deviation of 4.9, so that 7 in 10**13 links have fewer.
+LEAST_SAME = 61
+#: Members of a chunk, and hashes in the sets of one, on average: a block of two has some MB.
+CHUNK, CHUNK_HASHES = 1024, 1 << 19
+#: Pairs of a block whose likelihoods are computed at once.
+STEP = 4096
 SEEDS = np.random.default_rng(5).integers(0, 2**32, (REGISTERS, 2), dtype=np.uint32) | np.uint32(1)
 SKETCH = "doc_id long, n long, s1 long, s2 long, bands array<long>"
 
@@ -213,10 +221,12 @@ def block_links(t: pa.Table) -> pa.RecordBatch:
         y = y[(part[y] != part[x]) & (100 * np.minimum(size[y], size[x]) >= 75 * np.maximum(size[y], size[x]))]
         y = y[(bands[y] == bands[x]).argmax(1) == band]
         same = (regs[y] == regs[x]).sum(1)
-        y, same = y[same >= LEAST_SAME], same[same >= LEAST_SAME]
+        y = y[same >= LEAST_SAME]
+        likely_ = np.concatenate([estimate(regs[[x]], regs[part_], size[[x]].astype(np.float64), size[part_].astype(np.float64)) for part_ in np.split(y, range(STEP, len(y), STEP))]) if len(y) else np.empty(0)
+        y, likely_ = y[likely_ >= LEAST_ESTIMATE], likely_[likely_ >= LEAST_ESTIMATE]
         xs.append(np.full(len(y), x))
         ys.append(y)
-        score.append(same)
+        score.append(likely_)
     out, parent = [], {}
 
     def root(p):
@@ -245,7 +255,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     real = rows.where("n > 0 and doc_id is not null")
     reps = scratch.put(real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), *[F.first("bands").alias("bands")]), "reps")
 
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    banded = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     lead = banded.groupBy("band", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = scratch.put(banded.join(lead, ["band", "key"]), "members")
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -259,9 +269,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     part = lambda c: F.coalesce(F.col(c), F.col(c.replace("part_", "")))
     by = lambda s: parts.select(F.col("node").alias(s), F.col("component").alias(f"part_{s}"))
-    placed = members.join(by("rep"), "rep", "left").join(by("lead"), "lead", "left").select("band", "key", "rep", part("part_rep").alias("part"), part("part_lead").alias("main"))
-    odd = placed.groupBy("band", "key").agg(F.count("*").alias("c"), F.max((F.col("part") != F.col("main")).cast("int")).alias("odd")).where("odd = 1")
-    odd = scratch.put(odd.select("band", "key", F.ceil(F.col("c") / CHUNK).alias("chunks")), "odd")
+    placed = members.join(by("rep"), "rep", "left").join(by("lead"), "lead", "left").select("band", "key", "rep", "n", part("part_rep").alias("part"), part("part_lead").alias("main"))
+    odd = placed.groupBy("band", "key").agg(F.count("*").alias("c"), F.sum("n").alias("hashes"), F.max((F.col("part") != F.col("main")).cast("int")).alias("odd")).where("odd = 1")
+    odd = scratch.put(odd.select("band", "key", F.greatest(F.ceil(F.col("c") / CHUNK), F.ceil(F.col("hashes") / CHUNK_HASHES)).alias("chunks")), "odd")
     more = None
     if odd.limit(1).count():
         more = scratch.put(cross_links(placed, odd, reps, sets).distinct(), "more")
@@ -275,6 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if repeats.limit(1).count():
             every = every.union(classes)
         parts = scratch.put(components(scratch, every), "all")
+    scratch.drop("members", "sets", "links", "odd", "more")
     label = own.join(by2(parts), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "s1", "s2").join(label, ["s1", "s2", "n"], "left")
     found = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

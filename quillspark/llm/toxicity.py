@@ -17,8 +17,9 @@ reads whole texts, one after another, and moves no row.
 
 Results for odd rows: null and empty texts score as texts without votes; without labelled toxic
 rows, the general lexicon alone votes; rows with null ids are scored and not held out; repeated
-rows are scored row by row; labels of ids that no document has are ignored; an empty table gives no
-rows.
+rows are scored row by row, and of those that share an id one is learnt from; labels of ids that no
+document has are ignored; an empty table gives no rows; texts of any length are read whole, and
+columns other than doc_id, text and labels' doc_id and toxic are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,11 +73,12 @@ def word_key(word: str) -> int:
     return int(word_hashes(data, *spans(data))[0])
 
 
-def groups(texts: list[str | None], least: int = 1 << 20):
+def groups(texts: pa.Array, least: int = 1 << 20):
+    """The texts, about `least` characters at a time."""
     release()
     part, size = [], 0
     for t in texts:
-        part.append(t or "")
+        part.append(t.as_py() or "")
         size += len(part[-1])
         if size >= least:
             yield part
@@ -130,8 +132,8 @@ def mined(sample: DataFrame) -> list[tuple[int, int, int]]:
     def counted(batches):
         for batch in batches:
             toxic = batch.column("toxic").to_numpy() == 1
-            texts = batch.column("text").to_pylist()
-            for part, bad in [(p, b) for b in (True, False) for p in groups([t for t, x in zip(texts, toxic, strict=True) if x == b])]:
+            texts = batch.column("text")
+            for part, bad in ((p, b) for b in (True, False) for p in groups(texts.filter(pa.array(toxic == b)))):
                 owner, keys, before = (np.concatenate(x) for x in zip(*text_features(part), strict=True))
                 order = np.lexsort((owner, keys))
                 owner, keys, bit = owner[order], keys[order], np.left_shift(np.uint64(1), before[order] % np.uint64(63))
@@ -205,7 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     # The broadcast has most_rows rows of 12 bytes; the sample is read three times, the corpus once.
-    sample = Scratch(docs.sparkSession, "toxicity").put(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "sample")
+    # Of rows that share an id the one with the smallest text is sampled, so that rows are bounded too.
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = Scratch(docs.sparkSession, "toxicity").put(sample, "sample")
     found = mined(sample)
     order = sorted({w for ws in LEXICON.values() for w in ws})
     names: dict[int, str] = {word_key(w): w for w in order}
@@ -224,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
 
     def run(batches):
         for batch in batches:
-            got = [model.votes(part) for part in groups(batch.column("text").to_pylist())]
+            got = [model.votes(part) for part in groups(batch.column("text"))]
             if got:
                 v = np.concatenate(got)
                 yield pa.record_batch({"v": pa.array([r.tobytes() for r in np.minimum(v, 255).astype(np.uint8)], pa.binary()), "toxic": batch.column("toxic").cast(pa.int64())})
@@ -244,13 +248,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
 def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """The columns of docs with `score`; docs needs text. No row moves."""
     schema = docs.select(*columns).schema.add("score", "double")
+    need = [*columns, *[c for c in ("text",) if c not in columns]]
 
     def run(batches):
         for batch in batches:
-            got = [model.scores(model.votes(part)) for part in groups(batch.column("_text").to_pylist())]
+            got = [model.scores(model.votes(part)) for part in groups(batch.column("text"))]
             yield batch.select(columns).append_column("score", pa.array(np.concatenate(got) if got else np.empty(0), pa.float64()))
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*need).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, cut: float = CUT) -> DataFrame:
