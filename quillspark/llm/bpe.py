@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import kept
 
 #: States of a transducer; bytes that a worker's table of encoded pieces, and that of runs, may take.
-MOST_STATES, MOST_BYTES = 1 << 16, (48 << 20, 160 << 20)
+MOST_STATES, MOST_BYTES = 1 << 16, (16 << 20, 96 << 20)
 #: Bytes that run through the open places at most before transitions are made for them.
 MOST_REST = 256
 #: Of the pattern's pieces none crosses a space that follows a character other than white space.
@@ -375,38 +375,38 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) and decoded bytes for each row of docs. No row
-    moves: each task encodes what it reads."""
-    if path is None or pattern is None:
-        path, pattern = default_vocabulary()
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and the digests of the ids and of the
+    bytes that they decode to, for each row of docs. No row moves: each task encodes what it reads."""
+    return encoded(docs, path, pattern, True)
 
-    def run(batches):
-        c = codec(path, pattern)
-        for batch in batches:
-            with without_collector():
-                ids = [c.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array([b"".join(c.decode(x)) for x in ids], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """As encode_texts without the ids."""
+    return encoded(docs, path, pattern, False)
 
 
-def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """As encode_texts, with the digests taken in the worker, so that ids don't pass through Arrow."""
+def encoded(docs: DataFrame, path: str | None, pattern: str | None, with_ids: bool) -> DataFrame:
     if path is None or pattern is None:
         path, pattern = default_vocabulary()
 
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
-            sizes, of_ids, of_text = [], [], []
+            sizes, of_ids, of_text, kept_ids = [], [], [], []
             with without_collector():
-                for text in batch.column("text").to_pylist():
-                    ids, h = c.encode(text or ""), hashlib.sha256()
+                for text in batch.column("text"):
+                    ids, h = c.encode(text.as_py() or ""), hashlib.sha256()
                     for part in c.decode(ids):
                         h.update(part)
                     sizes.append(len(ids) // 4)
                     of_ids.append(hashlib.sha256(ids).hexdigest())
                     of_text.append(h.hexdigest())
-            yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())})
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                    if with_ids:
+                        kept_ids.append(ids)
+            out = {"doc_id": batch.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(sizes, pa.int64())}
+            if with_ids:
+                out["ids"] = pa.array(kept_ids, pa.binary())
+            yield pa.record_batch(out | {"ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())})
+
+    ids = "ids binary, " if with_ids else ""
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string")
