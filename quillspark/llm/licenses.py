@@ -1,154 +1,260 @@
 """License scan: phrase places, and an exact set-similarity join of text blocks with templates.
 
-A block is a line. A template is found in a block that holds at least `threshold` of its distinct
-words. The join orders words by their frequency over the whole corpus, rarest first, and tests
+Templates are the usual short notices, and whole notices and bodies of licenses. For a template of W
+words, a text's blocks are its runs of 2 * W words that start at each multiple of W, whatever the
+lines, so a notice of W words, wrapped or not, lies in one of them. A template is found in a block
+that holds at least `threshold` of its distinct words, with those that tell it from others (a
+version, nc, sa) among them, and none that belongs to another. The join orders words by their
+frequency over the whole corpus, rarest first, and tests
 
 * prefix: a block without any of a template's first |T| - need + 1 words can't hold `need` of them;
-* length: nor can a block with fewer than `need` template words;
-* position: nor one in which what follows the first common word is too short on either side.
+* length: nor can a block with fewer than `need` words;
+* position: nor one whose first common word stands too late among the template's;
 
-The template side is a fixed table, so its index is a literal of the plan: documents are scanned
-and neither moved nor exploded. Only the word frequencies are aggregated, one row a template word.
+first on a whole text, whose words hold those of all its blocks, then block by block in the few texts
+that remain. The template side is a fixed table, so its index is a literal of the plan: documents are
+scanned and neither moved nor exploded. Only the word frequencies are aggregated, one row a word.
 
 Results for odd rows: null and empty texts have no words, places, blocks or labels and score 0;
-repeated rows are scanned row by row; very long texts are one row each, without nested scans.
+repeated rows are scanned row by row; very long texts are one row each, their blocks scanned in
+linear time; an empty table gives no rows; columns other than doc_id and text are not read, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
-
 #: The phrases and labels of the contract.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: (label, template): usual wording of short license notices.
+#: Fixed values: (label, template, words that must be in a block, words that must not).
 TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-sa-4.0", "licensed under creative commons attribution sharealike 4 0"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("mit", "released under the mit license"),
-    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("public-domain", "dedicated to the public domain under cc0 1 0 universal"),
-    ("reserved-notice", "all rights reserved"),
+    ("agpl-3.0", "licensed under the GNU Affero General Public License version 3", "affero general public 3", ""),
+    ("apache-2.0", "licensed under the Apache License, Version 2.0", "apache license 2", ""),
+    (
+        "apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+        writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        "apache 2", "",
+    ),
+    ("boost-1.0", "Distributed under the Boost Software License, Version 1.0", "boost 1", ""),
+    ("bsd", "released under the BSD license", "bsd license", ""),
+    (
+        "bsd-2-clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+        the documentation and/or other materials provided with the distribution.""",
+        "redistribution binary source", "endorse",
+    ),
+    (
+        "bsd-3-clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+        the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of
+        its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+        "redistribution binary source endorse", "",
+    ),
+    ("cc-by-4.0", "licensed under CC BY 4.0", "cc by 4", "nc nd sa"),
+    ("cc-by-4.0", "Creative Commons Attribution 4.0", "creative commons attribution 4", "sharealike share noncommercial commercial noderivatives derivatives"),
+    ("cc-by-nc-4.0", "licensed under CC BY-NC 4.0", "cc by nc 4", "nd sa"),
+    ("cc-by-nc-4.0", "Creative Commons Attribution-NonCommercial 4.0", "creative commons attribution noncommercial 4", "sharealike share noderivatives derivatives"),
+    ("cc-by-nc-nd-4.0", "licensed under CC BY-NC-ND 4.0", "cc by nc nd 4", ""),
+    ("cc-by-nc-sa-4.0", "licensed under CC BY-NC-SA 4.0", "cc by nc sa 4", ""),
+    ("cc-by-nd-4.0", "licensed under CC BY-ND 4.0", "cc by nd 4", "nc"),
+    ("cc-by-sa-4.0", "licensed under CC BY-SA 4.0", "cc by sa 4", "nc"),
+    ("cc-by-sa-4.0", "Creative Commons Attribution-ShareAlike 4.0", "creative commons attribution sharealike 4", "noncommercial commercial"),
+    ("cc0-1.0", "dedicated to the public domain under CC0 1.0 Universal", "cc0 1", ""),
+    ("gpl-2.0", "licensed under the GNU General Public License version 2", "gnu general public 2", "affero lesser 3"),
+    ("gpl-3.0", "this work is licensed under the GNU General Public License version 3", "gnu general public 3", "affero lesser 2"),
+    (
+        "gpl-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published
+        by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in
+        the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+        PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public
+        License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+        "gnu general public 3", "affero lesser",
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+        the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS
+        ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE
+        AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA
+        OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE.""",
+        "permission fee granted disclaims", "",
+    ),
+    ("lgpl", "licensed under the GNU Lesser General Public License", "lesser general public", ""),
+    ("mit", "released under the MIT License", "mit license", ""),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+        "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject
+        to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
+        portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+        TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF
+        OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        "sublicense furnished granted", "",
+    ),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission granted charge obtaining", ""),
+    (
+        "mpl-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+        file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+        "mozilla public 2", "",
+    ),
+    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", "mozilla public 2", ""),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered public domain", ""),
 )
 THRESHOLD = Fraction(4, 5)
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+
+@dataclass(frozen=True)
+class Entry:
+    """A template's side of the index: its words rarest first, the prefix of these, the number that a
+    block needs, and the words of a block's step."""
+
+    label: str
+    words: list[str]
+    prefix: list[str]
+    need: int
+    must: list[str]
+    never: list[str]
+    width: int
+
+
+def tokens(text: str) -> list[str]:
+    return [w for w in re.split(NOT_WORD, text.translate(str.maketrans(UPPER, LOWER))) if w]
+
+
 def lowered(text: Column) -> Column:
-    """Words of the text, lower-cased in A-Z only, each between single spaces; lines stay lines."""
+    """The text, null as empty, lower-cased in A-Z only."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
 def spaced(text: Column) -> Column:
+    """Words between single spaces."""
     return F.trim(F.regexp_replace(text, NOT_WORD, " "))
 
 
-def split_words(line: Column) -> Column:
-    return F.filter(F.split(line, " "), lambda w: w != "")
+def lit(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
-    return sorted({w for _, t in templates for w in t.split()})
+    return sorted({w for _, t, must, never in templates for w in [*tokens(t), *must.split(), *never.split()]})
+
+
+def split_words(docs: DataFrame) -> DataFrame:
+    """doc_id, flat, the words between single spaces, and words, the array of them."""
+    flat = docs.select("doc_id", spaced(lowered(F.col("text"))).alias("flat"))
+    return flat.select("doc_id", "flat", F.when(F.col("flat") == "", F.array().cast("array<string>")).otherwise(F.split("flat", " ")).alias("words"))
 
 
 def frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     """Documents of the whole corpus with each template word: as many rows as the table has words."""
-    known = F.array(*[F.lit(w) for w in vocabulary(templates)])
-    hit = docs.select(F.explode(F.array_intersect(F.split(spaced(lowered(F.col("text"))), " "), known)).alias("w"))
+    known = vocabulary(templates)
+    hit = split_words(docs).select(F.explode(F.array_intersect(lit(known), F.col("words"))).alias("w"))
     found = {r["w"]: r["n"] for r in hit.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    return {w: found.get(w, 0) for w in vocabulary(templates)}
+    return {w: found.get(w, 0) for w in known}
 
 
-def index(freq: dict[str, int], templates=TEMPLATES, threshold=THRESHOLD) -> list[tuple[str, list[str], list[str], int]]:
-    """(label, words rarest first, prefix, words needed) of each template."""
+def index(freq: dict[str, int], templates=TEMPLATES, threshold=THRESHOLD) -> list[Entry]:
     out = []
-    for label, text in templates:
-        ordered = sorted(set(text.split()), key=lambda w: (freq.get(w, 0), w))
+    for label, text, must, never in templates:
+        ordered = sorted(set(tokens(text)), key=lambda w: (freq.get(w, 0), w))
         need = -(-threshold.numerator * len(ordered) // threshold.denominator)
-        out.append((label, ordered, ordered[: len(ordered) - need + 1], need))
+        out.append(Entry(label, ordered, ordered[: len(ordered) - need + 1], need, must.split(), never.split(), len(tokens(text))))
     return out
 
 
-def found_in(line: Column, order: Column, entry) -> Column:
-    """(label, containment) of a template in a block, null if it isn't there. line: the block's
-    template words, rarest first; order: all template words in that order."""
-    label, ordered, prefix, need = entry
-    lit = lambda ws: F.array(*[F.lit(w) for w in ws])
-    first = F.filter(line, lambda w: F.array_contains(lit(prefix), w))[0]
-    room = F.least(F.lit(len(ordered)) - F.array_position(lit(ordered), first), F.size(line) - F.array_position(line, first)) + 1
-    common = F.size(F.array_intersect(line, lit(ordered)))
-    maybe = (F.size(line) >= need) & F.arrays_overlap(line, lit(prefix))
-    return F.when(maybe, F.when(room >= need, F.when(common >= need, F.struct(F.lit(label).alias("label"), (common / F.lit(float(len(ordered)))).alias("part")))))
+def part_of(words: Column, e: Entry, whole_text: bool) -> Column:
+    """The part of a template that a block holds, null if that isn't enough. whole_text: the words are
+    those of a text, whose blocks may still lack the words that must not be there."""
+    first = F.get(F.array_intersect(lit(e.prefix), words), F.lit(0))
+    room = F.lit(len(e.words) + 1) - F.array_position(lit(e.words), first)
+    ok = (F.size(words) >= e.need) & first.isNotNull() & (F.size(F.array_except(lit(e.must), words)) == 0) & (room >= e.need)
+    if not whole_text and e.never:
+        ok &= ~F.arrays_overlap(lit(e.never), words)
+    common = F.size(F.array_intersect(lit(e.words), words))
+    return F.when(ok, F.when(common >= e.need, common / F.lit(float(len(e.words)))))
 
 
-def matches(low: Column, freq: dict[str, int], templates=TEMPLATES, threshold=THRESHOLD) -> Column:
-    """Array of (label, part) for all blocks and templates of a lower-cased text."""
-    entries = index(freq, templates, threshold)
-    order = F.array(*[F.lit(w) for w in sorted(freq, key=lambda w: (freq[w], w))])
-    rare = F.array(*[F.lit(w) for w in sorted({w for e in entries for w in e[2]})])
-    none = F.array().cast("array<struct<label:string,part:double>>")
+def best_block(words: Column, e: Entry) -> Column:
+    """The largest part of a template that any block of a text holds, null if none holds enough."""
+    last = F.greatest(F.lit(0), F.ceil(F.size(words) / e.width) - 2).cast("int")
+    return F.array_max(F.transform(F.sequence(F.lit(0), last), lambda k: part_of(F.slice(words, k * e.width + 1, F.lit(2 * e.width)), e, False)))
 
-    def of_line(line: Column) -> Column:
-        return let(F.array_intersect(order, F.split(spaced(line), " ")), lambda ws: F.when(F.arrays_overlap(ws, rare), F.array_compact(F.array(*[found_in(ws, order, e) for e in entries]))).otherwise(none))
 
-    return F.flatten(F.transform(F.split(low, "\n"), of_line))
+def found(words: Column, have: Column, freq: dict[str, int], templates=TEMPLATES, threshold=THRESHOLD) -> Column:
+    """Array of (label, part) of the templates that a text's blocks hold. have: the text's distinct
+    words that templates have."""
+    some = [F.when(part_of(have, e, True).isNotNull(), best_block(words, e)) for e in index(freq, templates, threshold)]
+    kinds = [F.when(p.isNotNull(), F.struct(F.lit(e.label).alias("label"), p.alias("part"))) for p, e in zip(some, index(freq, templates, threshold), strict=True)]
+    return F.array_compact(F.array(*kinds))
 
 
-def places(flat: Column, phrases=PHRASES) -> Column:
+def places(words: Column, flat: Column, phrases=PHRASES) -> Column:
     """Array of (at, label): where a phrase's words stand one after another. flat: words, spaced."""
     none = F.array().cast("array<struct<at:bigint,label:string>>")
-    some = F.lit(False)
-    for p, _ in phrases:
-        some |= F.contains(F.concat(F.lit(" "), flat, F.lit(" ")), F.lit(f" {p} "))
+    inside = lambda p: F.contains(F.concat(F.lit(" "), flat, F.lit(" ")), F.lit(f" {p} "))
+
+    def at(phrase: str, label: str) -> Column:
+        test = lambda i: F.array(*[F.coalesce(F.get(words, i + k) == x, F.lit(False)) for k, x in enumerate(phrase.split())])
+        hits = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.forall(test(i), lambda b: b))
+        return F.when(inside(phrase), F.transform(hits, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))).otherwise(none)
 
-    def starts(w: Column) -> Column:
-        def at(phrase: str, label: str) -> Column:
-            test = lambda i: F.array(*[F.coalesce(F.get(w, i + k) == x, F.lit(False)) for k, x in enumerate(phrase.split())])
-            hits = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.forall(test(i), lambda b: b))
-            return F.transform(hits, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
+    return F.concat(*[at(p, n) for p, n in phrases])
 
-        return F.concat(*[at(p, n) for p, n in phrases])
 
-    return F.when(some, let(split_words(flat), starts)).otherwise(none)
+def scanned(docs: DataFrame, freq: dict[str, int], templates=TEMPLATES, threshold=THRESHOLD) -> DataFrame:
+    """doc_id, words, at (places of phrases) and found (labels and parts of templates)."""
+    order = sorted(freq, key=lambda w: (freq[w], w))
+    rows = split_words(docs).select("doc_id", "flat", "words", F.array_intersect(lit(order), F.col("words")).alias("have"))
+    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), places(F.col("words"), F.col("flat")).alias("at"), found(F.col("words"), F.col("have"), freq, templates, threshold).alias("found"))
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold=THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row.
     score: the largest part of a template that a block holds; 1 where a phrase stands."""
-    freq = frequencies(docs, templates)
-    low = docs.select("doc_id", lowered(F.col("text")).alias("low"))
-    both = low.select("doc_id", let(spaced(F.col("low")), lambda flat: F.struct(F.when(flat == "", 0).otherwise(F.size(F.split(flat, " "))).cast("long").alias("n_words"), places(flat).alias("at"))).alias("base"), matches(F.col("low"), freq, templates, threshold).alias("found"))
     named = lambda x: F.array_join(F.sort_array(F.array_distinct(x)), ",")
-    at = F.col("base.at")
-    return both.select(
-        "doc_id", "base.n_words", F.size(at).cast("long").alias("n_base"), F.array_min(at["at"]).alias("first_word"), F.array_max(at["at"]).alias("last_word"),
+    at = F.col("at")
+    return scanned(docs, frequencies(docs, templates), templates, threshold).select(
+        "doc_id", "n_words", F.size(at).cast("long").alias("n_base"), F.array_min(at["at"]).alias("first_word"), F.array_max(at["at"]).alias("last_word"),
         named(at["label"]).alias("base_labels"), named(F.concat(at["label"], F.col("found.label"))).alias("labels"),
         F.when(F.size(at) > 0, 1.0).otherwise(F.coalesce(F.array_max(F.col("found.part")), F.lit(0.0))).alias("score"),
     )
 
 
 def oracle() -> str:
-    """The same by brute force: every line against every template."""
-    lists = ", ".join(f"('{n}', {sorted(set(t.split()))})" for n, t in TEMPLATES)
+    """The same without an index: every block of every text that holds enough of a template's words."""
+    rows = ", ".join(f"({i}, '{n}', {sorted(set(tokens(t)))}, {m.split()}::VARCHAR[], {v.split()}::VARCHAR[], {len(tokens(t))})" for i, (n, t, m, v) in enumerate(TEMPLATES))
     phrases = ", ".join(f"({p.split()}, '{n}')" for p, n in PHRASES)
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {low} AS low FROM documents),
-template(label, words) AS (VALUES {lists}),
+template(i, label, words, must, never, width) AS (VALUES {rows}),
 phrase(p, label) AS (VALUES {phrases}),
 w AS (SELECT r, list_filter(regexp_split_to_array(low, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM d),
-line AS (SELECT r, list_distinct(list_filter(regexp_split_to_array(l, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS ws FROM (SELECT r, unnest(string_split(low, chr(10))) AS l FROM d)),
-part AS (SELECT r, label, len(list_intersect(ws, words)) AS c, len(words) AS n FROM line, template),
-found AS (SELECT r, label, c / n::DOUBLE AS part FROM part WHERE 5 * c >= 4 * n),
+near AS (SELECT r, w, i FROM (SELECT r, w, list_distinct(w) AS s FROM w), template WHERE 5 * len(list_intersect(s, words)) >= 4 * len(words)),
+block AS (SELECT r, i, label, words, must, never, w[k * width + 1:k * width + 2 * width] AS b FROM (SELECT r, w, template.*, unnest(generate_series(0, greatest(0, ceil(len(w) / width)::BIGINT - 2))) AS k FROM near JOIN template USING (i))),
+found AS (SELECT r, label, len(list_intersect(list_distinct(b), words)) / len(words)::DOUBLE AS part FROM block
+  WHERE 5 * len(list_intersect(list_distinct(b), words)) >= 4 * len(words) AND list_has_all(b, must) AND NOT list_has_any(b, never)),
 base AS (SELECT r, label, i - 1 AS i FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM w), phrase WHERE w[i:i + len(p) - 1] = p),
 b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
 f AS (SELECT r, max(part) AS part FROM found GROUP BY r),

@@ -1,5 +1,6 @@
 """Quality rules, mixing and license scans: odd rows, and what their plans may hold."""
 
+import random
 import re
 
 import pytest
@@ -63,10 +64,17 @@ def test_mixing_odd_rows(spark):
     assert len(mixing.mix(same).collect()) == 3
 
 
+FILLER = " ".join(f"filler{k}" for k in range(400))
 TEXTS = [
     (None, 0, "", ""), ("CC BY-NC 4.0: licensed under CC BY-NC 4.0.", 2, "cc-by", "cc-by,cc-by-nc-4.0"), ("All rights\nreserved", 1, "reserved", "reserved"),
-    ("Released under the\nMIT License", 0, "", ""), ("x Released under the MIT License x", 0, "", "mit"), ("ccby ccé by", 0, "", ""), ("cc by cc by", 2, "cc-by", "cc-by"),
-    ("This work is licensed under the GNU General Public License, version 3.", 1, "gpl", "gpl,gpl-3.0"), ("Kall rights reserved", 0, "", ""),
+    ("Released under the\nMIT License", 0, "", "mit"), ("x Released under the MIT License x", 0, "", "mit"), ("ccby ccé by", 0, "", ""), ("cc by cc by", 2, "cc-by", "cc-by"),
+    ("This work is licensed under the GNU General Public License, version 3.", 1, "gpl", "gpl,gpl-3.0"), ("Kall rights reserved", 0, "", ""),
+    ("Licensed under CC BY 4.0", 1, "cc-by", "cc-by,cc-by-4.0"), ("Released under the BSD license", 0, "", "bsd"), ("Released under the Apache License", 0, "", ""),
+    ("Licensed under the GNU General Public License version 2", 1, "gpl", "gpl,gpl-2.0"), ("Creative Commons Attribution 4.0", 0, "", "cc-by-4.0"), ("all reserved rights of others", 0, "", ""),
+    ("Creative Commons Attribution-ShareAlike 4.0", 0, "", "cc-by-sa-4.0"), (f"{FILLER} released under {FILLER} the mit {FILLER} license", 0, "", ""),
+    (f"{FILLER}\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n", 0, "", ""),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", 0, "", "mpl-2.0"),
+    *[(f"{FILLER}\n{t}\n{FILLER}", int("general public" in t.lower()) * t.lower().count("general public"), "gpl" if "general public" in t.lower() else "", n) for n, t, *_ in licenses.TEMPLATES if len(t) > 300],
 ]
 
 
@@ -78,20 +86,40 @@ def test_license_scan(spark):
         if "K" in (TEXTS[i][0] or ""):  # the sign is no ASCII letter, so it belongs to the word
             assert r.n_base == 0
             continue
+        labels = ",".join(sorted({*filter(None, (base or "").split(",")), *filter(None, labels.split(","))}))
         assert (r.n_base, r.base_labels, r.labels) == (n, base, labels), TEXTS[i]
         assert 0 <= r.score <= 1 and (r.first_word is None) == (n == 0)
     assert (got[6].first_word, got[6].last_word, got[6].n_words) == (0, 2, 4)
 
 
+def plain(text, threshold=0.8):
+    """Labels of every block against every template."""
+    w, out = licenses.tokens(text), set()
+    for label, t, must, never in licenses.TEMPLATES:
+        ws, width = set(licenses.tokens(t)), len(licenses.tokens(t))
+        for k in range(max(1, -(-len(w) // width) - 1)):
+            b = set(w[k * width : k * width + 2 * width])
+            if 5 * len(b & ws) >= 4 * len(ws) and set(must.split()) <= b and not set(never.split()) & b:
+                out.add(label)
+    return out
+
+
 def test_filters_lose_no_template(spark):
     """Prefix, length and position filters against plain containment, over odd frequencies."""
-    vocabulary = licenses.vocabulary()
-    lines = [" ".join(w for k, w in enumerate(vocabulary) if (seed >> (k % 11)) & 1) for seed in range(1, 300)] + [t for _, t in licenses.TEMPLATES]
-    freq = {w: (k * 37) % 11 for k, w in enumerate(vocabulary)}
-    df = spark.createDataFrame(list(enumerate(lines)), "id int, text string").select("id", licenses.matches(F.col("text"), freq).alias("m"))
-    for r in df.collect():
-        have = set(lines[r.id].split())
-        assert {x.label for x in r.m} == {n for n, t in licenses.TEMPLATES if 5 * len(have & set(t.split())) >= 4 * len(set(t.split()))}
+    r, words = random.Random(4), licenses.vocabulary()
+    short = [t for _, t, *_ in licenses.TEMPLATES if len(t) < 100]
+    lines = [" ".join(r.choices(words, k=3) + r.sample(licenses.tokens(t), r.randint(max(1, len(licenses.tokens(t)) - 3), len(licenses.tokens(t)))) + r.choices(words, k=r.randint(0, 30))) for t in short for _ in range(12)]
+    lines += [t for _, t, *_ in licenses.TEMPLATES] + [" ".join(r.choices(words, k=3000))]
+    freq = {w: (k * 37) % 11 for k, w in enumerate(words)}
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")
+    for row in licenses.scanned(df, freq).collect():
+        assert {x.label for x in row.found} == plain(lines[row.doc_id]), lines[row.doc_id]
+
+
+def test_repeated_rows_are_scanned_alike(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License")] * 2 + [(2, "cc by " * 20_000)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_base, r.labels) for r in licenses.license_scan(df).collect())
+    assert got == [(1, 0, "mit"), (1, 0, "mit"), (2, 20_000, "cc-by")]
 
 
 @pytest.mark.parametrize("run", [quality.quality_rules, mixing.mix, licenses.license_scan])
