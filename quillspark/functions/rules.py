@@ -86,3 +86,33 @@ JOURNALS = {
     "Science": "Science",
     "Nano Letters": "Nano Lett.",
 }
+#: Of titles: (pattern, replacement in BibTeX, replacement in plain text), in order; None: not in that form.
+TITLES = (
+    (r"\n", " ", " "),
+    (r"\\textbraceleft", "{", "{"),
+    (r"\\textbraceright", "}", "}"),
+    (r"\\_", "_", "_"),
+    (r"\\\$", r"\$", r"\$"),
+    (r"\{\{([A-Za-z0-9+-]+)\}\}", "{$1}", "{$1}"),
+    (r"(?U)\{\s*([A-Za-z0-9+-]+)\s*\}", "{$1}", "{$1}"),
+    (r"(?isU)<mml:mi>\s*He\s*</mml:mi>.*?<mml:mn>\s*3\s*</mml:mn>", "3He", "3He"),
+    (r"<[^>]+>", " ", " "),
+    (r"(?U)\s+", " ", " "),
+    (r"(?U)^\s+|\s+$", "", ""),
+    (r"\$_2\$", "2", "2"),
+    (r"\$_", "", ""),
+    (r"\$\{+([A-Z])\}*_\{?([A-Za-z0-9+-]+)\}?\$", r"{\$$1_$2\$}", "$1$2"),
+    (r"(?U)(?<!\w)\$?([A-Z])_\{?([A-Za-z0-9+-]+)\}?\$?(?!\w)", r"{\$$1_$2\$}", "$1$2"),
+    (r"\{\{(\$[^$]+\$)\}\}", "{$1}", None),
+    (r"(?<!\{)(\$[^$]+\$)(?!\})", "{$1}", None),
+    (r"\$([^$]+)\$", None, "$1"),
+    (r"[{}]", None, ""),
+    (r" andV-I", " and V-I", " and V-I"),
+    (r"V-Icharacteristics", "V-I characteristics", "V-I characteristics"),
+    (r"NbSe 2", "NbSe2", "NbSe2"),
+)
+#: Of identifiers.
+DOI = r"""10\.\d{4,9}/[^\s\?"<>#]+"""
+ARXIV_ID = r"\d{4}\.\d{4,5}"
+ARXIV_URL = r"arxiv\.org/(?:abs|pdf)/(\d+\.\d+)"
+PUBMED_URL = r"pubmed\.ncbi\.nlm\.nih\.gov/(\d+)"

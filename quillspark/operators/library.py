@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import abbreviate, author_key, clean_doi, normalize_url, title_for_bibtex, title_key
 
 
+def duplicate_marks() -> dict[str, Column]:
+    """What two entries share that are duplicates; null where an entry lacks it."""
+    full = lambda c: F.nullif(c, F.lit(""))
+    return {
+        "doi": full(F.lower("doi")),
+        "title": full(title_key(F.col("title"))),
+        "who": F.when(full(author_key(F.col("author"))).isNotNull() & full(F.col("year")).isNotNull(), F.concat_ws("\u0001", author_key(F.col("author")), F.col("year"))),
+    }
+
+
 def duplicate_pairs(entries: DataFrame) -> DataFrame:
     """(key1, key2) with key1 < key2 that share a DOI, a title, or author and year.
 
@@ -16,14 +26,8 @@ def duplicate_pairs(entries: DataFrame) -> DataFrame:
     share many keys cost as many pairs as they form: the result itself."""
     one = Window.partitionBy("key").orderBy(F.desc("pos"))
     rows = entries.withColumn("_r", F.row_number().over(one)).where("_r = 1")
-    full = lambda c: F.nullif(c, F.lit(""))
-    by = {
-        "doi": full(F.lower("doi")),
-        "title": full(title_key(F.col("title"))),
-        "who": F.when(full(author_key(F.col("author"))).isNotNull() & full(F.col("year")).isNotNull(), F.concat_ws("\u0001", author_key(F.col("author")), F.col("year"))),
-    }
     out = None
-    for value in by.values():
+    for value in duplicate_marks().values():
         side = rows.select("key", value.alias("v")).where("v is not null")
         pairs = side.alias("x").join(side.alias("y"), F.expr("x.v = y.v and x.key < y.key")).select(F.col("x.key").alias("key1"), F.col("y.key").alias("key2"))
         out = pairs if out is None else out.union(pairs)
@@ -45,15 +49,18 @@ def cite_order(entries: DataFrame, cited: DataFrame) -> DataFrame:
 
 
 def in_cite_order(entries: DataFrame, none: int = 9999) -> DataFrame:
-    """entries with `rank`, their place by cite_order (text or number), uncited ones as if `none`.
+    """entries with `rank`, their place by cite_order (text or number), then pos; uncited ones, and
+    those whose order is blank, as if `none`. Another order that is no integer is an error.
 
-    The rank is global, so it is counted in two levels: inside ranges of the order, then over them."""
-    at = F.coalesce(F.expr("try_cast(cite_order as int)"), F.lit(none))
-    rows = entries.withColumn("_at", at)
-    sums = rows.groupBy("_at").agg(F.count("*").alias("n"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inner = F.row_number().over(Window.partitionBy("_at").orderBy("pos"))
-    return rows.join(before, "_at").withColumn("rank", F.col("_before") + inner).drop("_at", "_before")
+    The rank is global, so it is counted in two levels: inside ranges of the order and, since one
+    order may hold most rows, of pos; then over the ranges' counts."""
+    at = F.coalesce(F.nullif(F.trim(F.col("cite_order").cast("string")), F.lit("")).cast("int"), F.lit(none))
+    rows = entries.withColumn("_at", at).withColumn("_range", F.shiftright(F.col("pos").cast("long"), 16))
+    keys = ["_at", "_range"]
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inner = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
+    return rows.join(sums, keys).withColumn("rank", F.col("_before") + inner).drop(*keys, "_before")
 
 
 def reuse(identifiers: DataFrame, entries: DataFrame) -> DataFrame:
@@ -101,18 +108,64 @@ def base_key(author: Column, year: Column, title: Column) -> Column:
     return F.regexp_replace(F.concat(who, when_, what), "[^a-zA-Z0-9]", "")
 
 
-def citation_keys(rows: DataFrame) -> DataFrame:
-    """rows(pos, author, year, title) with citekey: the base, then base + a…e, then base + 1, 2, …
+SUFFIXES = "abcde"
+
+
+def citation_keys(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """rows(pos, author, year, title) with citekey: the base, then base + a…e, then base + 1, 2, …,
+    whichever first is neither in existing(key) nor given to a row before.
 
-    A window by base is exact unless one base is another's suffixed form; such rows keep the same
-    key as their twin's, which `clash` marks, for a sequential pass over those bases alone."""
-    rows = rows.withColumn("base", base_key(F.col("author"), F.col("year"), F.col("title")))
+    Bases that no other base or existing key can meet are numbered by a window. Only those that can,
+    one being another's suffixed form, are folded in order of pos, group by group of such bases."""
+    # Kept on the executors, since the search for meeting bases reads them again and again.
+    rows = rows.withColumn("base", base_key(F.col("author"), F.col("year"), F.col("title"))).persist()
+    given = rows.sparkSession.createDataFrame([], "key string") if existing is None else existing.select("key").distinct()
+    groups = meeting_bases(rows.select("base").distinct(), given)
     n = F.row_number().over(Window.partitionBy("base").orderBy("pos"))
-    rows = rows.withColumn("n", n)
-    suffix = F.when(F.col("n") == 1, "").when(F.col("n") <= 6, F.substring(F.lit("abcde"), F.col("n") - 1, F.lit(1))).otherwise((F.col("n") - 6).cast("string"))
-    rows = rows.withColumn("citekey", F.concat("base", suffix)).drop("n")
-    twice = rows.groupBy("citekey").agg(F.count("*").alias("k")).where("k > 1").select("citekey", F.lit(True).alias("clash"))
-    return rows.join(twice, "citekey", "left").withColumn("clash", F.coalesce("clash", F.lit(False)))
+    suffix = F.when(F.col("_n") == 1, "").when(F.col("_n") <= 6, F.substring(F.lit(SUFFIXES), F.col("_n") - 1, F.lit(1))).otherwise((F.col("_n") - 6).cast("string"))
+    alone = rows.join(groups.select("base"), "base", "left_anti").withColumn("_n", n).withColumn("citekey", F.concat("base", suffix)).drop("_n")
+    met = rows.join(groups, "base")
+    taken = given.select("key", F.explode(F.array_append(parents(F.col("key")), F.col("key"))).alias("base")).join(groups, "base").select(F.col("group").alias("g"), "key").distinct()
+    schema = "pos long, citekey string"
+
+    def fold(here, there):
+        used, out = set(there["key"]), []
+        for base in here.sort_values("pos")["base"]:
+            k = 0
+            while (key := base + ("" if not k else SUFFIXES[k - 1] if k <= 5 else str(k - 5))) in used:
+                k += 1
+            used.add(key)
+            out.append(key)
+        return here.sort_values("pos")[["pos"]].assign(citekey=out)
+
+    folded = met.select("group", F.col("pos").cast("long").alias("pos"), "base").groupBy("group").cogroup(taken.groupBy("g")).applyInPandas(fold, schema)
+    kind = rows.schema["pos"].dataType
+    return alone.unionByName(met.drop("group").join(folded.withColumn("pos", F.col("pos").cast(kind)), "pos"))
+
+
+def parents(key: Column) -> Column:
+    """The bases of which a key can be a suffixed form."""
+    digits = F.length(F.regexp_extract(key, r"([0-9]*)$", 1))
+    cut = lambda n: F.substring(key, F.lit(1), F.length(key) - n)
+    numbered = F.when(digits > 0, F.transform(F.sequence(F.lit(1), F.greatest(digits, F.lit(1))), cut)).otherwise(F.array().cast("array<string>"))
+    return F.concat(numbered, F.when(key.rlike(f"[{SUFFIXES}]$"), F.array(cut(F.lit(1)))).otherwise(F.array().cast("array<string>")))
+
+
+def meeting_bases(bases: DataFrame, given: DataFrame) -> DataFrame:
+    """(base, group) of the bases that meet another or a given key; a group is named by its shortest
+    base. Chains of suffixes are followed up, one step a round: their length is that of a key."""
+    up = bases.select("base", F.explode(parents(F.col("base"))).alias("to")).join(bases.select(F.col("base").alias("to")), "to")
+    hit = given.select(F.explode(F.array_append(parents(F.col("key")), F.col("key"))).alias("base")).join(bases, "base", "left_semi").distinct()
+    top = up.groupBy("base").agg(F.min("to").alias("group"))
+    while True:
+        above = top.select(F.col("base").alias("group"), F.col("group").alias("over"))
+        further = top.join(above, "group", "left").select("base", F.coalesce("over", "group").alias("group"), F.col("over").isNotNull().alias("more"))
+        if not further.where("more").limit(1).count():
+            break
+        top = further.select("base", "group")
+    every = top.union(top.select(F.col("group").alias("base"), "group")).union(hit.select("base", F.col("base").alias("group")))
+    # Rows of a base that both meets another and is hit by a given key belong to the shorter's group.
+    return every.groupBy("base").agg(F.min("group").alias("group"))
 
 
 def set_field(entries: DataFrame, name: str, value: Column) -> DataFrame:
@@ -126,7 +179,30 @@ def sync(entries: DataFrame, cited: DataFrame) -> DataFrame:
 
 
 def upsert(entries: DataFrame, new: DataFrame) -> DataFrame:
-    """entries and those of new whose DOI and key none of them has."""
-    doi = F.lower(clean_doi(F.col("doi")))
-    fresh = new.withColumn("_d", doi).join(entries.select(doi.alias("_d")).where("_d <> ''"), "_d", "left_anti").drop("_d").join(entries.select("key"), "key", "left_anti")
+    """entries and those of new whose DOI and key none of them has. Of new rows that share a DOI or a
+    key with one another, the first by pos, or key, is added."""
+    doi = F.nullif(F.lower(clean_doi(F.col("doi"))), F.lit(""))
+    fresh = new.withColumn("_d", doi)
+    fresh = fresh.join(entries.select(doi.alias("_d")).where("_d is not null").distinct(), "_d", "left_anti").join(entries.select("key").distinct(), "key", "left_anti")
+    order = [c for c in ("pos", "key") if c in new.columns]
+    first = lambda k: F.col(k).isNull() | (F.row_number().over(Window.partitionBy(k).orderBy(*order)) == 1)
+    fresh = fresh.withColumn("_one", first("_d")).where("_one").withColumn("_one", first("key")).where("_one").drop("_one", "_d")
     return entries.unionByName(fresh, allowMissingColumns=True)
+
+
+def duplicate_groups(entries: DataFrame) -> DataFrame:
+    """key, kind (doi, title, who), representative and n: each entry's group of two or more by each
+    way of being a duplicate. What duplicate_pairs says, in the size of the groups."""
+    rows = entries.select("key", *[v.alias(k) for k, v in duplicate_marks().items()]).dropDuplicates(["key"])
+    long = rows.select("key", F.explode(F.create_map(*[x for k in duplicate_marks() for x in (F.lit(k), F.col(k))])).alias("kind", "v")).where("v is not null")
+    some = long.groupBy("kind", "v").agg(F.min("key").alias("representative"), F.count("*").alias("n")).where("n > 1")
+    return long.join(some, ["kind", "v"]).select("key", "kind", "representative", "n")
+
+
+def ordered_duplicates(entries: DataFrame) -> DataFrame:
+    """duplicate_pairs with `place`, from 1 by (key1, key2), as a report lists them."""
+    pairs = duplicate_pairs(entries)
+    before = Window.orderBy("key1").rowsBetween(Window.unboundedPreceding, -1)
+    sums = pairs.groupBy("key1").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inner = F.row_number().over(Window.partitionBy("key1").orderBy("key2"))
+    return pairs.join(sums, "key1").select("key1", "key2", (F.col("_before") + inner).alias("place"))

@@ -15,11 +15,11 @@ def prepared_sentences(sentences: DataFrame) -> DataFrame:
     return sentences.select("sent_id", "sentence", T.search_terms(s).alias("s_terms"), T.claims(s).alias("s_claims"), T.anchor_terms(s).alias("s_anchors"))
 
 
-def prepared_candidates(candidates: DataFrame) -> DataFrame:
+def prepared_candidates(candidates: DataFrame, *keep: str) -> DataFrame:
     """The same of candidates(pos, cite_key, title, abstract, journal)."""
     part = lambda c: F.coalesce(F.col(c), F.lit(""))
     whole = F.concat_ws(" ", part("title"), part("abstract"), part("journal"))
-    return candidates.select("pos", "cite_key", part("title").alias("title"), F.lower(whole).alias("hay"), T.search_terms(whole).alias("c_terms"))
+    return candidates.select(*keep, "pos", "cite_key", part("title").alias("title"), F.lower(whole).alias("hay"), T.search_terms(whole).alias("c_terms"))
 
 
 def rank(sentences: DataFrame, candidates: DataFrame, most: int | None = 3) -> DataFrame:
@@ -32,14 +32,24 @@ def rank(sentences: DataFrame, candidates: DataFrame, most: int | None = 3) -> D
     s, c = prepared_sentences(sentences), prepared_candidates(candidates)
     s, c = s.withColumn("tokens", sentence_tokens()), c.withColumn("tokens", candidate_tokens())
     pairs = s.select("sent_id", F.explode("tokens").alias("token")).join(c.select("pos", F.explode("tokens").alias("token")), "token").select("sent_id", "pos").distinct()
-    met = pairs.join(s.drop("tokens"), "sent_id").join(c.drop("tokens"), "pos")
+    return ranked(pairs.join(s.drop("tokens"), "sent_id").join(c.drop("tokens"), "pos"), most)
+
+
+def rank_given(sentences: DataFrame, candidates: DataFrame, most: int | None = 3) -> DataFrame:
+    """`rank` where each row of candidates(sent_id, pos, …) was fetched for one sentence."""
+    c = prepared_candidates(candidates, "sent_id")
+    return ranked(prepared_sentences(sentences).join(c, "sent_id"), most)
+
+
+def ranked(met: DataFrame, most: int | None) -> DataFrame:
+    """Scores and ranks of pairs of a prepared sentence and a prepared candidate."""
     anchor = S.anchored(F.col("s_anchors"), F.col("title"), F.col("hay"))
     met = met.withColumn("anchor", anchor)
     total = S.overlap(F.col("s_terms"), F.col("c_terms")) + S.quantitative(F.col("sentence"), F.col("s_claims"), F.col("hay")) + F.col("anchor.score")
     total = F.when((F.size("s_anchors") > 0) & (F.col("anchor.matched") == 0), 0.0).otherwise(total)
     scored = met.select("sent_id", "pos", "cite_key", F.round(total, 4).alias("score"), F.col("anchor.matched").cast("long").alias("anchor_matches")).where("score > 0")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("sent_id").orderBy(F.desc("score"), "pos")))
-    return ranked if most is None else ranked.where(F.col("rank") <= most)
+    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("sent_id").orderBy(F.desc("score"), "pos")))
+    return out if most is None else out.where(F.col("rank") <= most)
 
 
 def grid(value, reach):

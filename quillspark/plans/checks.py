@@ -4,7 +4,7 @@ lookaround and knows ASCII words only, so word limits are spelled out."""
 from __future__ import annotations
 
 from ..functions import rules
-from .queries import ENTRY, MADE, PARTS
+from .queries import ENTRY, LIBRARY, MADE, PARTS
 
 W = r"\pL\pN_"
 
@@ -135,7 +135,7 @@ SELECT a.key AS key1, b.key AS key2 FROM x a JOIN x b ON a.key < b.key AND (a.do
 lib AS (SELECT doc_id AS pos, {e['key']} AS key, '10.1234/' || source || '.' || lang AS doi, 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id AS url, '2106.' || (10003 + doc_id) AS eprint FROM documents),
 m AS (SELECT id, pos, key FROM ids JOIN lib ON v = doi UNION ALL SELECT id, pos, key FROM ids JOIN lib ON u AND rtrim(id, '/') = url UNION ALL SELECT id, pos, key FROM ids JOIN lib ON v = eprint) SELECT id, arg_min(key, pos) AS key FROM m GROUP BY id"""
     hay = "lower(title || ' ' || abstract || ' J')"
-    out["q_rerank_topn"] = rf"""WITH sent AS (SELECT doc_id AS sent_id, {MADE['anchored']} AS sentence FROM documents),
+    scored = rf"""WITH sent AS (SELECT doc_id AS sent_id, {MADE['anchored']} AS sentence FROM documents),
 cand AS (SELECT item_id AS pos, 'b' || item_id AS cite_key, CASE item_id % 4 WHEN 0 THEN 'Acoustic modes of a phonon' WHEN 1 THEN 'A qubit at 3.2 K' ELSE '' END AS title, text AS abstract FROM benchmark),
 {terms('sentence', 'st', 'sent')}, {terms("title || ' ' || abstract || ' J'", 'ct', 'cand')},
 a AS (SELECT *, {anchors('sentence')} AS anc, list_transform(list_zip(regexp_extract_all(sentence, {claim}, 1), regexp_extract_all(sentence, {claim}, 2)), lambda z: {{'v': z[1]::DOUBLE, 'u': lower(coalesce(z[2], ''))}}) AS cl FROM st),
@@ -144,7 +144,8 @@ p AS (SELECT sent_id, pos, cite_key, CASE WHEN len(a.terms) > 0 AND len(b.terms)
   coalesce(list_sum(list_transform(cl, lambda c: CASE WHEN len(list_filter(nums, lambda x: abs(x - c.v) <= greatest(0.15::DOUBLE, c.v * 0.08::DOUBLE))) > 0 THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN c.u <> '' AND contains(hay, c.u) THEN 0.35::DOUBLE ELSE 0 END)), 0) + CASE WHEN len(cl) > 0 THEN 0.25::DOUBLE * ({' + '.join(f"(contains(lower(sentence), '{x}') AND contains(hay, '{x}'))::INT" for x in rules.SHARED_TERMS)}) ELSE 0 END AS qn,
   coalesce(list_sum(list_transform(anc, lambda x: CASE WHEN contains(hay, x) THEN CASE WHEN contains(lower(title), x) THEN 1.4::DOUBLE ELSE 0.8::DOUBLE END ELSE 0 END)), 0) AS an, len(list_filter(anc, lambda x: contains(hay, x))) AS anchor_matches, len(anc) AS n_anc FROM a, b),
 f AS (SELECT *, CASE WHEN n_anc > 0 AND anchor_matches = 0 THEN 0 ELSE round(ov + qn + an, 4) END AS score FROM p)
-SELECT sent_id, cite_key, score, anchor_matches::BIGINT AS anchor_matches, rank FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, pos) AS rank FROM f WHERE score > 0) WHERE rank <= 3"""
+"""
+    out["q_rerank_topn"] = f"""{scored} SELECT sent_id, cite_key, score, anchor_matches::BIGINT AS anchor_matches, rank FROM (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, pos) AS rank FROM f WHERE score > 0) WHERE rank <= 3"""
     weights = " ".join(f"+ CASE WHEN regexp_matches(lower(s), {quote(limits(p))}) THEN {w}::DOUBLE ELSE 0 END" for p, w in (*rules.CONTRIBUTION, *rules.BACKGROUND))
     back = " OR ".join(f"regexp_matches(lower(s), {quote(limits(p))})" for p, _ in rules.BACKGROUND)
     tt = f"list_distinct(list_filter({bounded('lower(t)', '/', '/')}, lambda x: length(x) > 2 AND x NOT IN {words_in(rules.TITLE_STOP_WORDS)}))"
@@ -175,4 +176,68 @@ n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS n FROM
     out["q_json_works"] = "SELECT doc_id, '10.1/' || doc_id AS doi, text AS title, source || ', ' || lang || ' and Solo' AS authors, CASE WHEN doc_id % 2 = 0 THEN '2001' ELSE (1990 + doc_id % 30)::VARCHAR END AS year FROM documents"
     out["q_html_meta"] = "SELECT doc_id, 'Doe, J and ' || lang AS author, 'A & ' || source AS title, '2024' AS year, 'https://arxiv.org/abs/' || source AS url FROM documents"
     out["q_xml_authors"] = "SELECT doc_id, lang || ' King, Ada and Plato' AS author, source AS title, '2023' AS year, lang AS eprint FROM documents"
+    out |= commands(scored, made_docs)
+    return out
+
+
+def commands(scored: str, made_docs: str) -> dict[str, str]:
+    """scored: CTEs whose last, f, has the score of every sentence and candidate."""
+    out, lib = {}, LIBRARY
+    shelf = f"lib AS (SELECT c_custkey AS pos, {lib['key']} AS key, {lib['doi']} AS doi FROM customer WHERE c_custkey % 3 > 0), orig AS (SELECT {lib['key']} AS key, nullif(CASE WHEN trim(w) LIKE 'http%' THEN regexp_extract(w, '10[.].*$') WHEN trim(w) LIKE 'doi:%' THEN trim(substr(trim(w), 5)) ELSE trim(w) END, '') AS doi FROM (SELECT c_custkey, {lib['written']} AS w FROM customer))"
+    cited = "cited AS (SELECT 'c' || o_custkey AS key, o_orderkey AS ord FROM orders)"
+    out["q_doi_for_key"] = f"WITH {shelf}, {cited} SELECT key, doi FROM (SELECT DISTINCT key FROM cited) LEFT JOIN orig USING (key)"
+    lost = "lost AS (SELECT key, doi FROM (SELECT DISTINCT key FROM cited) ANTI JOIN lib USING (key) LEFT JOIN orig USING (key))"
+    out["q_missing_doi"] = f"WITH {shelf}, {cited}, {lost} SELECT key FROM lost WHERE doi IS NULL"
+    synced = "last AS (SELECT key, max(ord) AS cite_order, min(ord) AS from_ FROM cited GROUP BY key), added AS (SELECT key FROM lost JOIN customer ON c_custkey % 7 > 0 AND doi = '10.7000/c' || c_custkey), every AS (SELECT key, pos, false AS added FROM lib UNION ALL SELECT key, 1099511627776 + from_, true FROM added JOIN last USING (key)), synced AS (SELECT key, cite_order, added, row_number() OVER (ORDER BY coalesce(cite_order, 9999), pos) AS rank FROM every LEFT JOIN last USING (key))"
+    out["q_sync_library"] = f"WITH {shelf}, {cited}, {lost}, {synced} SELECT key, cite_order, rank, added, CASE WHEN added THEN 'Nano Lett.' END AS journal, CASE WHEN added THEN 'article' END AS type FROM synced"
+    bbl = "cited AS (SELECT 'c' || n_nationkey * 3 AS key, 1 AS ord FROM nation WHERE n_nationkey > 0 UNION ALL SELECT 'c2', 2 FROM nation WHERE n_nationkey > 0)"
+    out["q_bbl_sync"] = f"WITH {shelf}, {bbl}, {lost}, {synced} SELECT key, cite_order, added FROM synced"
+    k = "c_custkey"
+    asked = f"""a AS (SELECT {k} AS k, CASE WHEN {k} % 4 = 2 THEN 'pubmed' WHEN {k} % 4 = 3 THEN 'arxiv' ELSE 'crossref' END AS source, CASE {k} % 4 WHEN 2 THEN (40000000 + {k})::VARCHAR WHEN 3 THEN '2301.' || (10000 + {k}) ELSE '10.7000/C' || {k} END AS ref, c_name AS t,
+  CASE WHEN {k} % 4 < 2 AND {k} % 3 = 0 THEN 'existing' WHEN {k} % 4 < 2 AND {k} % 7 > 0 OR {k} % 4 = 2 AND {k} % 5 > 0 THEN 'added' ELSE 'failed' END AS status FROM customer),
+w AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(t, '[{{}}''".,;:]', '', 'g'), '\\s+'), lambda x: x <> '') AS w FROM a),
+x AS (SELECT k AS pos, source, ref, status, CASE status WHEN 'existing' THEN 'c' || k WHEN 'added' THEN regexp_replace(CASE WHEN source = 'pubmed' THEN 'Roe' || k || '2019' ELSE 'Doe' || k || '2020' END || CASE WHEN len(w) > 1 THEN w[1] || left(w[2], 3) ELSE left(w[1], 7) END, '[^a-zA-Z0-9]', '', 'g') END AS key FROM w)"""
+    out["q_extract"] = f"WITH {asked} SELECT pos, source, ref, status, key FROM x"
+    out["q_batch_counts"] = f"WITH {asked} SELECT count(*) FILTER (status <> 'failed') AS successful, count(*) FILTER (status = 'failed') AS failed FROM x"
+    out["q_finalise"] = f"WITH {asked} SELECT ref AS doi, status FROM x WHERE pos % 4 = 1"
+    out["q_append"] = f"WITH {asked} SELECT 'c' || {k} AS key, '' AS journal FROM customer WHERE {k} % 3 = 0 UNION ALL SELECT key, CASE source WHEN 'pubmed' THEN 'Science' ELSE 'Nano Lett.' END FROM x WHERE status = 'added'"
+    out["q_upsert"] = f"WITH {shelf}, n AS (SELECT {k} AS pos, 'n' || {k} // 2 AS key, '10.7000/c' || {k} // 3 AS d FROM customer), m AS (SELECT * FROM n WHERE d NOT IN (SELECT doi FROM lib) QUALIFY row_number() OVER (PARTITION BY d ORDER BY pos) = 1) SELECT key, pos FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos) = 1) UNION ALL SELECT key, pos FROM lib"
+    e = ENTRY
+    marks = f"x AS (SELECT {e['key']} AS key, nullif(lower({e['doi']}), '') AS doi, nullif(regexp_replace(lower({e['title']}), '[^a-z0-9]', '', 'g'), '') AS title, trim(regexp_replace(lower({e['author']}), '\\s+', ' ', 'g')) || chr(1) || {e['year']} AS who FROM documents)"
+    pairs = "SELECT a.key AS key1, b.key AS key2 FROM x a JOIN x b ON a.key < b.key AND (a.doi = b.doi OR a.title = b.title OR a.who = b.who)"
+    out["q_ordered_duplicates"] = f"WITH {marks} SELECT key1, key2, row_number() OVER (ORDER BY key1, key2) AS place FROM ({pairs})"
+    out["q_duplicate_count"] = f"WITH {marks} SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS code FROM ({pairs})"
+    out["q_duplicate_groups"] = f"WITH {marks}, l AS (SELECT key, 'doi' AS kind, doi AS v FROM x UNION ALL SELECT key, 'title', title FROM x UNION ALL SELECT key, 'who', who FROM x) SELECT key, kind, min(key) OVER (PARTITION BY kind, v) AS representative, count(*) OVER (PARTITION BY kind, v) AS n FROM l WHERE v IS NOT NULL QUALIFY n > 1"
+    out["q_scan_duplicates"] = "WITH p AS (SELECT 'k' || p_partkey AS k, p_partkey % 50 AS d, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS t FROM part WHERE p_partkey < 200) SELECT a.k AS key1, b.k AS key2, row_number() OVER (ORDER BY a.k, b.k) AS place FROM p a JOIN p b ON a.k < b.k AND (a.d = b.d OR a.t = b.t AND a.t <> '')"
+    out["q_manage_validate"] = f"WITH i AS (SELECT {lib['key']} AS key, array_to_string(list_filter([CASE WHEN {k} % 2 = 1 THEN 'title' END, CASE WHEN {k} % 3 > 0 THEN 'journal or year' END, CASE WHEN {k} % 5 = 0 THEN 'doi or url' END], lambda x: x IS NOT NULL), '|') AS issues FROM customer) SELECT * FROM i WHERE issues <> ''"
+    out["q_validate_code"] = "SELECT 0 AS n, 0 AS code"
+    out["q_manage_main"] = f"WITH {shelf} SELECT pos, key FROM lib WHERE key IN (SELECT 'c' || o_custkey // 2 FROM orders)"
+    out["q_manage_migrate"] = f"WITH {shelf}, n AS (SELECT {k} AS pos, key, doi FROM orig JOIN customer ON key = 'c' || {k} WHERE {k} % 2 = 0) SELECT pos, key FROM lib UNION ALL SELECT pos, key FROM n WHERE key NOT IN (SELECT key FROM lib) AND (doi IS NULL OR doi NOT IN (SELECT doi FROM lib))"
+    out["q_candidates"] = "SELECT 'k-' || p_partkey AS cite_key, regexp_replace(trim(regexp_replace(p_name || ' of ' || p_type, '\\s+', ' ', 'g')), '^', '') AS title, p_brand AS authors, (1950 + p_size)::VARCHAR AS year, '10.' || p_partkey || '/x' AS doi, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_type END AS abstract, 'article' AS type, 'local-bib' AS source FROM part"
+    out["q_render"] = "SELECT s_suppkey AS pos, '@misc{s' || s_suppkey || ',' || chr(10) || 'title = {' || s_name || '}' || chr(10) || '}' || chr(10) AS value FROM supplier"
+    out["q_set_field"] = "SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR ELSE 'none' END AS cite_order, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n FROM supplier"
+    out["q_legacy_keys"] = "SELECT doc_id, source || '-1|' || lang || ':2' AS keys FROM documents"
+    out["q_as_misc"] = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '@misc{' ELSE '@article{' END || source || ', note = {@data{x}}}' AS bibtex FROM documents"
+    out["q_split_entries"] = "SELECT doc_id, '@article{' || source || ', a={b}}|@misc{' || lang || ', c={d}}' AS entries FROM documents"
+    out["q_crossref_search"] = "SELECT doc_id, '10.1/' || doc_id AS doi, source AS title, array_to_string(list_transform(generate_series(1, least(3, 2 + doc_id % 4)), lambda k: 'F' || k || ', ' || lang), ' and ') AS authors, CASE WHEN doc_id % 2 = 0 THEN '2001' ELSE '' END AS year, 'J' AS journal, 'CrossRef' AS source FROM documents"
+    out["q_openalex"] = "SELECT doc_id, '10.2/' || doc_id AS doi, source AS title, array_to_string(list_transform(generate_series(1, least(3, 2 + doc_id % 4)), lambda k: lang || k), '; ') AS authors, '2020' AS year, 'a b a b' AS abstract, 'openalex' AS source FROM documents"
+    out["q_scholar"] = "SELECT doc_id, '10.3/' || doc_id AS doi, source AS title, '2018' AS year, CASE WHEN doc_id % 3 = 0 THEN 'J' ELSE lang END AS journal, 'semantic-scholar' AS source FROM documents WHERE doc_id % 2 = 0"
+    out["q_pubmed"] = "SELECT doc_id, source || ', ' || CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'Q' END AS authors, 'T' AS title, 'J' AS journal, '3' AS volume, '2011' AS year FROM documents"
+    out["q_without_arxiv"] = "SELECT doc_id FROM documents WHERE doc_id % 5 > 0 AND (doc_id % 3 = 0 OR doc_id % 4 > 0)"
+    found = f"""{scored}, g AS (SELECT *, CASE pos % 7 WHEN 0 THEN '10.48550/arxiv.1' WHEN 1 THEN '' ELSE '10.7000/c' || pos END AS doi FROM f),
+own AS (SELECT sent_id, pos, cite_key, doi, 'local-bib' AS source, score, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, pos) AS rank FROM g WHERE pos % 6 = 0 AND score > 0),
+far AS (SELECT *, (pos // 10 % 3)::INT AS tier FROM g WHERE pos % 2 = 1 AND pos % 10 = sent_id % 10 AND sent_id NOT IN (SELECT sent_id FROM own) QUALIFY row_number() OVER (PARTITION BY sent_id, tier ORDER BY pos) <= 6),
+one AS (SELECT * FROM far WHERE doi NOT LIKE '%arxiv%' QUALIFY tier = min(tier) OVER (PARTITION BY sent_id)),
+best AS (SELECT sent_id, pos, cite_key, doi, CASE tier WHEN 0 THEN 'CrossRef' WHEN 1 THEN 'openalex' ELSE 'semantic-scholar' END AS source, score, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, pos) AS rank FROM one WHERE score > 0),
+every AS (SELECT * FROM own WHERE rank <= 3 UNION ALL SELECT * FROM best WHERE rank <= 3)"""
+    out["q_suggest"] = f"{found} SELECT sent_id, cite_key, source, score, rank FROM every"
+    out["q_suggest_final"] = f"{found}, {shelf} SELECT sent_id, coalesce(lib.key, cite_key) AS cite_key, source, score, rank FROM every LEFT JOIN lib ON every.doi <> '' AND every.doi = lib.doi WHERE lib.key IS NOT NULL OR every.doi = '' AND source = 'local-bib'"
+    docs = f"(SELECT doc_id, text FROM (SELECT doc_id, {MADE['cited']} AS text FROM documents))"
+    judged = f"{need(sents('text', 'doc_id', docs))}, c AS (SELECT doc_id, idx, sentence, confidence, tags, len({cites('sentence')}) > 0 AS has FROM s4)"
+    out["q_report_json"] = f"WITH {judged} SELECT doc_id, count(*) AS total_sentences, count(*) FILTER (NOT has AND confidence >= 0.3) AS sentences_needing_citation, count(*) FILTER (has) AS sentences_with_citations, count(*) FILTER (NOT has AND confidence < 0.3) AS sentences_ok, count(*) AS n, arg_min(sentence, idx) AS first FROM c GROUP BY doc_id"
+    out["q_report"] = f"""WITH {judged}, {terms('sentence', 'tm', "(SELECT * FROM c WHERE NOT has AND confidence >= 0.3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idx) <= 20)")},
+l AS (SELECT doc_id, string_agg(chr(10) || '• "' || left(sentence, 80) || '..."' || chr(10) || '  Confidence: ' || round(confidence * 100)::INT || '%' || chr(10) || '  Reason: Citation recommended: ' || array_to_string(tags[1:3], ', ') || CASE WHEN len(terms) > 0 THEN chr(10) || '  Search: ' || array_to_string(terms[1:4], ' ') ELSE '' END, chr(10) ORDER BY idx) AS need FROM tm GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS total, count(*) FILTER (has) AS cited, count(*) FILTER (NOT has AND confidence >= 0.3) AS needing, count(*) FILTER (NOT has AND confidence < 0.3) AS ok FROM c GROUP BY doc_id)
+SELECT doc_id, repeat('=', 60) || chr(10) || 'Citation Need Analysis Report' || chr(10) || repeat('=', 60) || chr(10) || 'Total sentences: ' || total || chr(10) || 'Sentences with citations: ' || cited || chr(10) || 'Sentences needing citation: ' || needing || chr(10) || 'Sentences OK (no citation needed): ' || ok
+  || CASE WHEN need IS NOT NULL THEN chr(10) || repeat('-', 60) || chr(10) || 'Sentences Needing Citations:' || chr(10) || repeat('-', 60) || chr(10) || need ELSE '' END AS report FROM n LEFT JOIN l USING (doc_id)"""
     return out

@@ -15,6 +15,7 @@ from ..operators import matching as M
 from ..sources import bibtex as B
 from ..sources import payloads as P
 from . import audit
+from . import workflows as W
 
 BS = "chr(92)"
 #: Made inputs, in SQL that Spark and DuckDB read alike.
@@ -244,4 +245,205 @@ def q_xml_authors(spark, sf):
     return table(spark, sf, "documents").select("doc_id", P.arxiv_atom(xml, F.col("lang")).alias("w")).select("doc_id", "w.author", "w.title", "w.year", "w.eprint")
 
 
+# Commands
+
+LIBRARY = {
+    "key": "concat('c', CAST(c_custkey AS STRING))", "doi": "CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('10.7000/c', CAST(c_custkey AS STRING)) END",
+    "written": "CASE c_custkey % 4 WHEN 0 THEN concat('https://doi.org/10.7000/c', CAST(c_custkey AS STRING)) WHEN 1 THEN concat('doi: 10.7000/c', CAST(c_custkey AS STRING)) WHEN 2 THEN concat(' 10.7000/c', CAST(c_custkey AS STRING)) ELSE NULL END",
+}
+
+
+def shelf(spark, sf):
+    """A library of two thirds of the customers, and the original file with all of them."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), F.expr(LIBRARY["key"]).alias("key"), F.expr(LIBRARY["doi"]).alias("doi"), F.expr(LIBRARY["written"]).alias("written"), F.col("c_name").alias("title"))
+    return c.where("pos % 3 > 0").drop("written"), c.select("pos", "key", F.col("written").alias("doi"))
+
+
+def works(spark, sf):
+    """Payloads of the registry, fetched by DOI for some."""
+    c = table(spark, sf, "customer").where("c_custkey % 7 > 0")
+    return c.select(F.lit("crossref").alias("source"), F.expr("concat('10.7000/C', CAST(c_custkey AS STRING))").alias("id"), F.expr("concat('Doe', CAST(c_custkey AS STRING), ', J')").alias("author"), F.lit("Nano Letters").alias("journal"), F.lit("2020").alias("year"), F.col("c_name").alias("title"))
+
+
+def q_doi_for_key(spark, sf):
+    return W.doi_for_keys(orders(spark, sf).select(F.expr("concat('c', CAST(key DIV 2 AS STRING))").alias("key")), shelf(spark, sf)[1])
+
+
+def q_sync_library(spark, sf):
+    lib, original = shelf(spark, sf)
+    cited = orders(spark, sf).select(F.expr("concat('c', CAST(key DIV 2 AS STRING))").alias("key"), F.col("ord"))
+    return W.sync_cited(cited, lib, original, works(spark, sf)).select("key", "cite_order", "rank", "added", "journal", "type")
+
+
+def q_bbl_sync(spark, sf):
+    bbl = table(spark, sf, "nation").select(F.col("n_nationkey").alias("file"), F.expr(f"concat({BS}, 'bibitem{{c', CAST(n_nationkey * 3 AS STRING), '}} x ', {BS}, 'bibitem[a(2020)]{{c2}}')").alias("text"))
+    lib, original = shelf(spark, sf)
+    return W.sync_references(bbl.where("file > 0"), lib, original, works(spark, sf)).select("key", "cite_order", "added")
+
+
+def q_missing_doi(spark, sf):
+    lib, original = shelf(spark, sf)
+    return W.missing_dois(orders(spark, sf).select(F.expr("concat('c', CAST(key DIV 2 AS STRING))").alias("key")), lib, original)
+
+
+def asked(spark, sf):
+    """Identifiers to extract, a library that has some, and payloads for others."""
+    c = table(spark, sf, "customer")
+    ids = c.select(F.col("c_custkey").alias("pos"), F.expr("CASE c_custkey % 4 WHEN 0 THEN concat('https://doi.org/10.7000/C', CAST(c_custkey AS STRING)) WHEN 1 THEN concat('10.7000/C', CAST(c_custkey AS STRING)) WHEN 2 THEN CAST(40000000 + c_custkey AS STRING) ELSE concat('https://arxiv.org/abs/2301.', CAST(10000 + c_custkey AS STRING)) END").alias("id"))
+    lib = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("pos"), F.expr(LIBRARY["key"]).alias("key"), F.expr("concat('10.7000/c', CAST(c_custkey AS STRING))").alias("doi"), F.lit("").alias("url"), F.lit("").alias("eprint"))
+    other = c.where("c_custkey % 4 = 2 AND c_custkey % 5 > 0").select(F.lit("pubmed").alias("source"), F.expr("CAST(40000000 + c_custkey AS STRING)").alias("id"), F.expr("concat('Roe', CAST(c_custkey AS STRING))").alias("author"), F.lit("Science").alias("journal"), F.lit("2019").alias("year"), F.col("c_name").alias("title"))
+    return ids, lib, works(spark, sf).unionByName(other)
+
+
+def q_extract(spark, sf):
+    return W.extract(*asked(spark, sf)).select("pos", "source", "ref", "status", "key")
+
+
+def q_batch_counts(spark, sf):
+    return W.batch_counts(W.extract(*asked(spark, sf)))
+
+
+def q_finalise(spark, sf):
+    ids, lib, payloads = asked(spark, sf)
+    return W.finalised(ids.where("pos % 4 = 1").select(F.col("id").alias("doi")), lib, payloads).select("doi", "status")
+
+
+def q_append(spark, sf):
+    ids, lib, payloads = asked(spark, sf)
+    done = W.extract(ids, lib, payloads)
+    return W.with_extracted(done, lib, payloads).select("key", F.coalesce("journal", F.lit("")).alias("journal"))
+
+
+def q_upsert(spark, sf):
+    lib, _ = shelf(spark, sf)
+    new = table(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), F.expr("concat('n', CAST(c_custkey DIV 2 AS STRING))").alias("key"), F.expr("concat('doi:10.7000/C', CAST(c_custkey DIV 3 AS STRING))").alias("doi"))
+    return L.upsert(lib, new).select("key", "pos")
+
+
+def q_ordered_duplicates(spark, sf):
+    return L.ordered_duplicates(entries(spark, sf))
+
+
+def q_duplicate_count(spark, sf):
+    return W.exit_code(L.duplicate_pairs(entries(spark, sf)))
+
+
+def q_duplicate_groups(spark, sf):
+    return L.duplicate_groups(entries(spark, sf))
+
+
+def q_scan_duplicates(spark, sf):
+    one = F.expr(f"concat('@article{{k', CAST(p_partkey AS STRING), ', title = {{', p_name, '}}, doi = \"10.1/', CAST(p_partkey % 50 AS STRING), '\"}}')")
+    return W.duplicates(table(spark, sf, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("file"), one.alias("content")))
+
+
+def q_manage_validate(spark, sf):
+    c = table(spark, sf, "customer").select(F.expr(LIBRARY["key"]).alias("key"), F.lit("A").alias("author"), F.expr("CASE WHEN c_custkey % 2 = 0 THEN 'T' END").alias("title"), F.lit("").alias("journal"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN '2001' END").alias("year"), F.expr(LIBRARY["doi"]).alias("doi"), F.lit(None).cast("string").alias("url"))
+    return W.manage("validate-metadata", c).select("key", joined(F.col("issues")).alias("issues"))
+
+
+def q_validate_code(spark, sf):
+    c = table(spark, sf, "customer").select(F.expr(LIBRARY["key"]).alias("key"), *[F.lit("x").alias(n) for n in ("author", "title", "journal", "year", "url")], F.expr(LIBRARY["doi"]).alias("doi"))
+    return W.exit_code(W.validated(c))
+
+
+def q_manage_main(spark, sf):
+    lib, _ = shelf(spark, sf)
+    return W.manage("sync-to-main", lib, orders(spark, sf).select(F.expr("concat('c', CAST(key DIV 4 AS STRING))").alias("key"))).select("pos", "key")
+
+
+def q_manage_migrate(spark, sf):
+    lib, original = shelf(spark, sf)
+    return W.manage("migrate", original.where("pos % 2 = 0").withColumn("doi", F.coalesce("doi", F.lit(""))), library=lib.select("pos", "key", "doi")).select("pos", "key")
+
+
+def q_candidates(spark, sf):
+    rows = B.parse(parts_text(spark, sf).withColumnRenamed("p_partkey", "file"))
+    return W.candidates(rows).select("cite_key", "title", "authors", "year", "doi", "abstract", "type", "source")
+
+
+def q_render(spark, sf):
+    rows = table(spark, sf, "supplier").select(F.lit("f").alias("file"), F.col("s_suppkey").alias("pos"), F.lit("misc").alias("type"), F.expr("concat('s', CAST(s_suppkey AS STRING))").alias("key"), F.expr("concat('title = {', s_name, '}')").alias("content"))
+    return B.render(rows).select("pos", "value")
+
+
+def q_set_field(spark, sf):
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("pos"), F.create_map(F.lit("cite_order"), F.lit("7"), F.lit("title"), F.col("s_name")).alias("fields"))
+    new = F.when(F.col("pos") % 2 == 0, F.col("pos").cast("string"))
+    return L.set_field(rows, "cite_order", new).select("pos", F.coalesce(F.element_at("fields", "cite_order"), F.lit("none")).alias("cite_order"), F.element_at("fields", "title").alias("title"), F.size("fields").cast("long").alias("n"))
+
+
+def q_legacy_keys(spark, sf):
+    text = F.expr("concat('@article{', source, '-1, x} @misc{', lang, ':2, title={a}} @book{', source, '-1, y}')")
+    return table(spark, sf, "documents").select("doc_id", joined(B.legacy_keys(text)).alias("keys"))
+
+
+def q_as_misc(spark, sf):
+    text = F.expr("concat(CASE WHEN doc_id % 2 = 0 THEN ' @data{' ELSE '@article{' END, source, ', note = {@data{x}}}')")
+    return table(spark, sf, "documents").select("doc_id", B.as_misc(text).alias("bibtex"))
+
+
+def q_split_entries(spark, sf):
+    text = F.expr("concat('@article{', source, ', a={b}}', chr(10), chr(10), '@misc{', lang, ', c={d}}')")
+    return table(spark, sf, "documents").select("doc_id", joined(B.split_entries(text)).alias("entries"))
+
+
+def q_crossref_search(spark, sf):
+    work = F.to_json(F.struct(F.expr("concat('10.1/', CAST(doc_id AS STRING))").alias("DOI"), F.array("source").alias("title"), F.expr("transform(sequence(1, 2 + doc_id % 4), k -> named_struct('family', concat('F', CAST(k AS STRING)), 'given', lang))").alias("author"), F.expr("CASE WHEN doc_id % 2 = 0 THEN named_struct('date-parts', array(array(2001))) END").alias("published-online"), F.expr("named_struct('date-parts', array(array(1999)))").alias("issued"), F.array(F.lit("J")).alias("container-title")))
+    return table(spark, sf, "documents").select("doc_id", P.crossref_search(work).alias("w")).select("doc_id", "w.doi", "w.title", "w.authors", "w.year", "w.journal", "w.source")
+
+
+def q_openalex(spark, sf):
+    work = F.to_json(F.struct(F.expr("concat('https://doi.org/10.2/', CAST(doc_id AS STRING))").alias("doi"), F.col("source").alias("title"), F.lit(2020).alias("publication_year"), F.expr("transform(sequence(1, 2 + doc_id % 4), k -> named_struct('author', named_struct('display_name', concat(lang, CAST(k AS STRING)))))").alias("authorships"), F.expr("map('b', array(1, 3), 'a', array(0, 2))").alias("abstract_inverted_index")))
+    return table(spark, sf, "documents").select("doc_id", P.openalex(work).alias("w")).select("doc_id", "w.doi", "w.title", "w.authors", "w.year", "w.abstract", "w.source")
+
+
+def q_scholar(spark, sf):
+    work = F.to_json(F.struct(F.col("source").alias("title"), F.lit(2018).alias("year"), F.col("lang").alias("venue"), F.expr("CASE WHEN doc_id % 3 = 0 THEN named_struct('name', 'J') END").alias("journal"), F.expr("CASE WHEN doc_id % 2 = 0 THEN named_struct('DOI', concat('10.3/', CAST(doc_id AS STRING))) END").alias("externalIds")))
+    return table(spark, sf, "documents").select("doc_id", P.scholar(work).alias("w")).where("w is not null").select("doc_id", "w.doi", "w.title", "w.year", "w.journal", "w.source")
+
+
+def q_pubmed(spark, sf):
+    one = "named_struct('LastName', source, 'ForeName', CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END, 'Initials', 'Q')"
+    who = f"CASE WHEN doc_id % 3 = 0 THEN to_json({one}) ELSE to_json(array({one}, named_struct('LastName', '', 'ForeName', 'x', 'Initials', 'y'))) END"
+    work = F.expr(f"concat('{{\"MedlineCitation\":{{\"Article\":{{\"ArticleTitle\":{{\"value\":\"T\"}},\"AuthorList\":{{\"Author\":', {who}, '}},\"Journal\":{{\"Title\":\"J\",\"JournalIssue\":{{\"Volume\":\"3\",\"PubDate\":{{\"Year\":\"2011\"}}}}}}}}}}}}')")
+    return table(spark, sf, "documents").select("doc_id", P.pubmed(work).alias("w")).select("doc_id", "w.authors", "w.title", "w.journal", "w.volume", "w.year")
+
+
+def q_without_arxiv(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.expr("CASE doc_id % 3 WHEN 0 THEN 'CrossRef' WHEN 1 THEN 'openalex' ELSE 'semantic-scholar' END").alias("source"), F.expr("CASE WHEN doc_id % 5 = 0 THEN '10.48550/ArXiv.1' WHEN doc_id % 5 = 1 THEN NULL ELSE '10.1/x' END").alias("doi"), F.expr("CASE WHEN doc_id % 4 = 0 THEN 'arXiv e-prints' ELSE 'J' END").alias("journal"))
+    return W.without_arxiv(rows).select("doc_id")
+
+
+def suggestions(spark, sf):
+    """Sentences, local candidates (even items) and found ones (odd items, by sentence and registry)."""
+    sents = table(spark, sf, "documents").select(F.col("doc_id").alias("sent_id"), made("anchored").alias("sentence"))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("pos"), F.expr("concat('b', CAST(item_id AS STRING))").alias("cite_key"), F.expr("CASE item_id % 4 WHEN 0 THEN 'Acoustic modes of a phonon' WHEN 1 THEN 'A qubit at 3.2 K' ELSE '' END").alias("title"), F.col("text").alias("abstract"), F.lit("J").alias("journal"), F.lit("A").alias("authors"), F.lit("2020").alias("year"), F.expr("CASE item_id % 7 WHEN 0 THEN '10.48550/arxiv.1' WHEN 1 THEN '' ELSE concat('10.7000/c', CAST(item_id AS STRING)) END").alias("doi"))
+    far = sents.select("sent_id", (F.col("sent_id") % 10).alias("d")).join(items.where("pos % 2 = 1").withColumn("d", F.col("pos") % 10), "d").drop("d")
+    far = far.withColumn("tier", F.expr("CAST(pos DIV 10 % 3 AS INT)")).withColumn("source", F.expr("CASE tier WHEN 0 THEN 'CrossRef' WHEN 1 THEN 'openalex' ELSE 'semantic-scholar' END"))
+    return sents, items.where("pos % 2 = 0 AND pos % 6 = 0").withColumn("source", F.lit("local-bib")), far
+
+
+def q_suggest(spark, sf):
+    sents, local, far = suggestions(spark, sf)
+    return W.suggest(sents, local, far).select("sent_id", "cite_key", "source", "score", "rank")
+
+
+def q_suggest_final(spark, sf):
+    sents, local, far = suggestions(spark, sf)
+    lib, _ = shelf(spark, sf)
+    finals = lib.where("doi <> ''").select("doi", "key", F.lit("existing").alias("status"))
+    return W.suggest(sents, local, far, finals=finals).select("sent_id", "cite_key", "source", "score", "rank")
+
+
+def q_report(spark, sf):
+    return W.text_report(W.analysed(table(spark, sf, "documents").select("doc_id", made("cited").alias("text")), "doc_id"), "doc_id")
+
+
+def q_report_json(spark, sf):
+    r = W.json_report(W.analysed(table(spark, sf, "documents").select("doc_id", made("cited").alias("text")), "doc_id"), "doc_id")
+    get = lambda p: F.get_json_object("report", f"$.{p}")
+    return r.select("doc_id", *[get(n).cast("long").alias(n) for n in ("total_sentences", "sentences_needing_citation", "sentences_with_citations", "sentences_ok")], F.size(F.from_json(get("analyses"), "array<struct<sentence:string>>")).cast("long").alias("n"), get("analyses[0].sentence").alias("first"))
+
+
 QUERIES = {n: f for n, f in globals().items() if n.startswith("q_")}

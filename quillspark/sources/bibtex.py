@@ -110,22 +110,46 @@ class BibtexSource(DataSource):
 
 
 class BibtexReader(DataSourceReader):
+    """Lists and reads through pyarrow's file systems, so a path may be any URI that they know."""
+
     def __init__(self, path: str):
         self.path = path
 
+    def place(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path) if ":/" in self.path else (fs.LocalFileSystem(), self.path)
+
     def partitions(self):
-        from pathlib import Path
+        from pyarrow import fs
 
-        p = Path(self.path.removeprefix("file://"))
-        return [InputPartition(str(f)) for f in (sorted(p.glob("*.bib")) if p.is_dir() else [p])]
+        system, path = self.place()
+        info = system.get_file_info(path)
+        found = system.get_file_info(fs.FileSelector(path)) if info.type == fs.FileType.Directory else [info]
+        return [InputPartition(f.path) for f in sorted(found, key=lambda f: f.path) if info is f or f.path.endswith(".bib")]
 
     def read(self, partition):
-        from pathlib import Path
-
-        for pos, (kind, key, content) in enumerate(scan(Path(partition.value).read_text(encoding="utf-8"))):
+        with self.place()[0].open_input_stream(partition.value) as f:
+            text = f.read().decode("utf-8")
+        for pos, (kind, key, content) in enumerate(scan(text)):
             yield partition.value, pos, kind, key, content, dict(fields(content))
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """file and text of .tex, .md and .txt documents, a row a file."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+
+
+def read_identifiers(spark: SparkSession, path: str) -> DataFrame:
+    """id, a row a line of a list file that is neither blank nor a comment."""
+    return spark.read.text(path).select(F.explode(list_items(F.col("value"))).alias("id"))
+
+
+def read_cited_keys(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct keys of a file of cited keys, one a line."""
+    return spark.read.text(path).select(strip(F.col("value")).alias("key")).where("key <> ''").distinct()
+
+
 # Regular formats
 
 def split_entries(text: Column) -> Column:
@@ -133,7 +157,14 @@ def split_entries(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)@\w+\{.*?(?=\n@\w+\{|\z)"), F.lit(0)), strip)
 
 
-BBL = r"\\bibitem\[[^]]*\]\{([^}]+)\}|\\bibitem\{([^}]+)\}|\\entry\{([^}]+)\}\{|\\setentrytag\{([^}]+)\}"
+def legacy_keys(text: Column) -> Column:
+    """Distinct keys as the older command reads them: whatever stands between the brace and a comma."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"@(\w+)\{([^,]+),"), F.lit(2)))
+
+
+def as_misc(bibtex: Column) -> Column:
+    """Negotiated BibTeX, trimmed; a dataset becomes @misc."""
+    return F.regexp_replace(strip(bibtex), r"^@data\{", "@misc{")
 
 
 def bbl_keys(text: Column) -> Column:
@@ -170,12 +201,25 @@ def build(kind: Column, key: Column, values: dict[str, Column]) -> Column:
 
 
 def render(entries: DataFrame) -> DataFrame:
-    """One line of text an entry, with its closing brace always; rows keep (file, pos) order."""
+    """Each entry's text, with its closing brace always, beside its own columns. A row without type or
+    key is an error."""
     text = F.concat(F.lit("@"), F.col("type"), F.lit("{"), F.col("key"), F.lit(",\n"), F.col("content"), F.lit("\n}\n"))
-    return entries.select("file", "pos", text.alias("value"))
+    ok = F.col("type").isNotNull() & F.col("key").isNotNull()
+    return entries.withColumn("value", F.when(ok, text).otherwise(F.raise_error(F.lit("an entry needs a type and a key"))))
+
+
+def write_bibtex(entries: DataFrame, path: str, order: tuple[str, ...] = ("file", "pos")) -> None:
+    """A folder of .bib parts in the given order."""
+    render(entries).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
 
 
-def write_bibtex(entries: DataFrame, path: str) -> None:
-    """A folder of .bib parts in (file, pos) order. Rows without type or key are an error."""
-    ok = F.when(F.col("type").isNotNull() & F.col("key").isNotNull(), F.col("value")).otherwise(F.raise_error(F.lit("an entry needs a type and a key")))
-    render(entries).join(entries.select("file", "pos", "type", "key"), ["file", "pos"]).repartitionByRange("file", "pos").sortWithinPartitions("file", "pos").select(ok.alias("value")).write.mode("overwrite").text(path)
+def rewrite_bibtex(entries: DataFrame, path: str, order: tuple[str, ...] = ("file", "pos")) -> None:
+    """write_bibtex over a folder that entries may be read from: the new parts are complete before the
+    old ones go."""
+    spark = entries.sparkSession
+    write_bibtex(entries, path + ".new", order)
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".new"))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{path}.new could not take the place of {path}")

@@ -40,6 +40,16 @@ def crossref(payload: Column) -> Column:
     )
 
 
+def crossref_search(payload: Column) -> Column:
+    """A found work: three authors at most, the year of print or else of the online version."""
+    w = F.from_json(payload, CROSSREF.replace("doi string", "DOI string") + ", abstract string")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return F.struct(
+        text(w["DOI"]).alias("doi"), text(F.get(w["title"], F.lit(0))).alias("title"), F.coalesce(F.nullif(names(w["author"], 3), F.lit("")), F.lit("Unknown")).alias("authors"),
+        year_of(w, ("published-print", "published-online")).alias("year"), text(F.get(w["container-title"], F.lit(0))).alias("journal"), text(w["abstract"]).alias("abstract"), F.lit("CrossRef").alias("source"),
+    )
+
+
 def openalex(payload: Column) -> Column:
     from ..functions.text import inverted_index_text
 

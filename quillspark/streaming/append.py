@@ -14,14 +14,13 @@ def append_new(stream: DataFrame, path: str, checkpoint: str):
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
-        rows = rows.dropDuplicates(["key"])
         try:
             have = spark.read.schema(rows.schema).parquet(path)
             new = upsert(have.select("key", "doi"), rows).join(have.select("key"), "key", "left_anti").select(*rows.columns)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            new = rows
+            new = upsert(rows.limit(0), rows)
         new.write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

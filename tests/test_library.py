@@ -102,3 +102,46 @@ def test_best_evidence(spark):
 def test_first_source(spark):
     rows = spark.createDataFrame([(1, 2, "x"), (1, 1, "y"), (1, 1, "z"), (2, 3, "w")], "id int, tier int, n string")
     assert sorted(r.n for r in M.first_source(rows, "id", "tier").collect()) == ["w", "y", "z"]
+
+
+def sequential(bases, existing):
+    used, out = set(existing), []
+    for b in bases:
+        for s in ["", *"abcde", *map(str, range(1, 999))]:
+            if b + s not in used:
+                break
+        used.add(b + s)
+        out.append(b + s)
+    return out
+
+
+def test_keys_are_those_of_a_sequential_pass(spark):
+    """Bases that are another's suffixed form, chains of them, and keys that exist before."""
+    import random
+
+    r = random.Random(3)
+    titles = [r.choice(["X", "Xa", "Xab", "X1", "X12", "X1a", "Y", "Ye", "Z"]) for _ in range(90)]
+    rows = spark.createDataFrame([(i, "Doe, J", "2001", t) for i, t in enumerate(titles)], "pos int, author string, year string, title string")
+    existing = spark.createDataFrame([("Doe2001Xb",), ("Doe2001Z",), ("Doe2001Y3",), ("other",)], "key string")
+    got = {x.pos: x.citekey for x in L.citation_keys(rows, existing).collect()}
+    assert [got[i] for i in range(90)] == sequential([f"Doe2001{t}" for t in titles], ["Doe2001Xb", "Doe2001Z", "Doe2001Y3", "other"])
+    assert len(set(got.values())) == 90
+
+
+def test_upsert_adds_one_of_new_rows_that_share_a_doi_or_key(spark):
+    have = spark.createDataFrame([(0, "k0", "10.1/Z")], "pos int, key string, doi string")
+    new = spark.createDataFrame([(1, "a", "10.1/A"), (2, "b", "https://doi.org/10.1/a"), (3, "c", ""), (4, "c", None), (5, "k0", "10.1/q"), (6, "d", "10.1/z")], "pos int, key string, doi string")
+    assert sorted(x.key for x in L.upsert(have, new).collect()) == ["a", "c", "k0"]
+
+
+def test_duplicate_groups_say_what_pairs_say(spark):
+    df = spark.createDataFrame([(i, f"k{i}", "10.1/x" if i < 50 else "", f"t{i % 40}", "A", None) for i in range(80)], ENTRY)
+    got = L.duplicate_groups(df).collect()
+    assert {(r.representative, r.n) for r in got if r.kind == "doi"} == {("k0", 50)} and sum(r.kind == "title" for r in got) == 80
+    assert [r.place for r in L.ordered_duplicates(df).orderBy("key1", "key2").collect()] == list(range(1, L.duplicate_pairs(df).count() + 1))
+
+
+def test_an_order_that_is_no_integer_is_an_error(spark):
+    lib = spark.createDataFrame([(0, "a", "x")], "pos int, key string, cite_order string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        L.in_cite_order(lib).collect()
