@@ -97,6 +97,11 @@ def buckets(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
+def first_key(bucket: int, n: int) -> int:
+    """The smallest key that falls into a bucket, of n."""
+    return -(-(bucket << 32) // n) << 32
+
+
 def runs(keys: np.ndarray, n: int):
     """(bucket, from, to) of each bucket that sorted keys fall into: work and slices are bounded by
     the keys, not by the number of buckets."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Answers, Blocks, Texts, answer, packed, repeated
+from .blocks import Answers, Blocks, Texts, answer, first_key, packed, repeated
 from .common import Scratch
 from .hashing import BASE, TABLE, covered, mix, powers
 
@@ -245,7 +245,7 @@ def remove_earlier(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # A share of the buckets at a time, so that no more of the contexts lie on disks at once.
     lows = None
     for k in range(ROUNDS):
-        low, high = (k << 64) // ROUNDS, ((k + 1 << 64) // ROUNDS) - 1
+        low, high = first_key(k * blocks.n // ROUNDS, blocks.n), first_key((k + 1) * blocks.n // ROUNDS, blocks.n) - 1
         got = scratch.put(answer(blocks.send_with(classes, sender(low, high)), lambda p, n: smaller(p, n, length)), f"lows{k}")
         lows = got if lows is None else lows.union(got)
     both = classes.union(lows.withColumn("bucket", -1 - F.col("bucket")))

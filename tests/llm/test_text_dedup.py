@@ -5,7 +5,7 @@ import brute
 import numpy as np
 import pytest
 
-from quillspark.llm import near_dup, substring, suffixes
+from quillspark.llm import blocks, near_dup, substring, suffixes
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,15 +102,15 @@ def test_suffixes_are_exact_whatever_the_fingerprints(monkeypatch):
     r = random.Random(5)
     passage = bytes(r.choice(b"abcdef") for _ in range(90))
     rows += [(len(rows) + 500 + k, "".join(r.choice("ab") for _ in range(300)).encode() + passage[k : k + 70]) for k in range(12)]
-    blocks = [SimpleNamespace(texts=[t for _, t in part], numbers=np.array([i for i, _ in part], np.int64)) for part in (rows[::2], rows[1::2])]
+    parts = [SimpleNamespace(texts=[t for _, t in part], numbers=np.array([i for i, _ in part], np.int64)) for part in (rows[::2], rows[1::2])]
     every = SimpleNamespace(bits=lambda keys: np.ones(len(keys), bool))
     sent = []
-    for b in blocks:
+    for b in parts:
         _, new, _, contexts, docs = suffixes.Places(b, 50).contexts(every)
         sent.append((suffixes.with_documents(contexts[new], docs[new]), int(new.sum())))
     got = suffixes.smaller([x for x, _ in sent], [n for _, n in sent], 50)
     out = {}
-    for b, bits in zip(blocks, got, strict=True):
+    for b, bits in zip(parts, got, strict=True):
         p = suffixes.Places(b, 50)
         flags = p.covered_by(bits, *p.contexts(every))
         for i, t, x, y in zip(b.numbers.tolist(), b.texts, p.limits[:-1], p.limits[1:], strict=True):
@@ -118,6 +118,16 @@ def test_suffixes_are_exact_whatever_the_fingerprints(monkeypatch):
     assert out == {i: (n, gone) for i, n, gone, *_ in brute.suffixes([(i, t.decode()) for i, t in rows])}
 
 
+def test_suffixes_in_an_odd_number_of_buckets(spark, docs, monkeypatch):
+    """No bucket lies in two of the shares that are sorted one after another."""
+    monkeypatch.setattr(blocks, "LEAST", 7)
+    got = rows_of(suffixes.digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute.suffixes(made()), key=repr)
+    for n in (1, 7, 64, 999):
+        edge = np.array([blocks.first_key(k, n) for k in range(n)], np.uint64)
+        assert blocks.buckets(edge, n).tolist() == list(range(n)) and blocks.buckets(edge[1:] - np.uint64(1), n).tolist() == list(range(n - 1))
+
+
 def test_ranks_are_those_of_sorted_rows():
     r = np.random.default_rng(4)
     for width, letters in ((1, 3), (9, 2), (30, 2), (17, 250)):
