@@ -6,8 +6,8 @@
    the threshold is likely to share a run however many nodes there are (`orders`).
 3. Descent: at each node the nodes on its list, and a bounded draw of those that list it, are
    compared with one another; what beats the worst of a list enters it. A list whose every entry
-   passes the threshold is saturated, and is enlarged for the next round. Rounds end when few
-   entries change.
+   passes the threshold is saturated, and doubles for the next round. Rounds end when few entries
+   change.
 4. Lists guide the search but are no source of links: each set of nodes that was compared, in runs
    and in the descent, gives a spanning forest of its pairs that pass the threshold, so no pair that
    was ever compared is lost to a list's length. Inside each component of the forests' edges all
@@ -20,12 +20,17 @@
    for an audit, all nodes are compared with all in blocks.
 
 Results for odd rows: null and empty vectors, zero vectors and those with null or non-finite
-components have no links and a component of their own; vectors of another length than most are
-left alone too; rows with equal ids are nodes of one component; an empty table gives no rows.
+components have no links and a component of their own; vectors of different lengths have no cosine
+and don't link, and each length is searched by itself: the commonest and those with over SEARCHED
+nodes by NN-descent, the others by comparing all of a length; rows with equal ids are nodes of one
+component; equal vectors, however many, are one node; an empty table gives no rows; columns other
+than vec_id and embedding are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -36,6 +41,8 @@ from .common import Scratch, components
 THRESHOLD, NEIGHBOURS, LEAF, ORDERS, BLOCK, AIM, ROUNDS, GOES = 0.9, 6, 128, 3, 256, 0.98, 4, 3
 #: Bits of a code; numbers of probes, the probes of each kind that an audit wants, the links that are few; nodes in a block of the exact search.
 BITS, PROBES, LINKED, FEW, EXACT = 30, (1024, 4096, 16384), 128, 8, 1024
+#: Nodes of a length that is not the commonest, up to which they are compared with all of it.
+SEARCHED = 4096
 #: entry: of a list; else an edge of a forest.
 EDGE = "a long, b long, sim double, entry boolean"
 
@@ -57,15 +64,23 @@ def usable(rows: DataFrame) -> DataFrame:
 def normalised(reps: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column("embedding"))
+            for at, x in by_length(batch.column("embedding")) if batch.num_rows else ():
                 x /= np.abs(x).max(1, keepdims=True)
                 x /= np.sqrt((x * x).sum(1, keepdims=True))
-                yield pa.record_batch({"rep": batch.column("rep"), "many": batch.column("many"), "x": as_lists(x)})
+                at = pa.array(at)
+                yield pa.record_batch({"rep": batch.column("rep").take(at), "many": batch.column("many").take(at), "x": as_lists(x)})
 
     return reps.mapInArrow(run, "rep long, many long, x array<double>")
 
 
+def by_length(column):
+    """(places, matrix) of the rows of each length in a list column."""
+    sizes = column.value_lengths().to_numpy()
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield at, matrix(column if len(at) == len(sizes) else column.take(pa.array(at)))
+
+
 def as_lists(x: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))
 
@@ -120,7 +135,7 @@ def orders(n: int, threshold: float, miss: float = 0.01) -> int:
     return max(ORDERS, int(np.ceil(np.log(miss) / np.log(1 - same))))
 
 
-def first_lists(scratch: Scratch, nodes: DataFrame, parts: int, k: int, go: int, many: int, threshold: float) -> DataFrame:
+def first_lists(scratch: Scratch, nodes: DataFrame, parts: int, k: int, name: str, go: int, many: int, threshold: float) -> DataFrame:
     """k nearest, and forests, in each run of LEAF nodes of `many` random orders."""
 
     def coded(s: int):
@@ -153,7 +168,7 @@ def first_lists(scratch: Scratch, nodes: DataFrame, parts: int, k: int, go: int,
     for t in range(many):
         # Written one by one, so that the disk holds the shuffle of one order at a time.
         sorted_ = coded(go * 1000 + t).repartitionByRange(parts, "place").sortWithinPartitions("place")
-        got = scratch.put(sorted_.mapInArrow(leaves, EDGE), f"order{go}-{t}")
+        got = scratch.put(sorted_.mapInArrow(leaves, EDGE), f"order{name}-{t}")
         out = got if out is None else out.union(got)
     return out
 
@@ -227,33 +242,35 @@ def link_counts(nodes: DataFrame, parts: DataFrame, threshold: float, n: int) ->
 
     def counted(t: pa.Table) -> pa.RecordBatch:
         cut = [*breaks(t), t.num_rows]
-        x, rep, many, side = matrix(t["x"]), t["rep"].to_numpy(), t["many"].to_numpy(), t["left"].to_numpy()
+        rep, many, side = t["rep"].to_numpy(), t["many"].to_numpy(), t["left"].to_numpy()
         ids, sums = [], []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            l, r = np.flatnonzero(side[a:b]) + a, np.flatnonzero(~side[a:b]) + a
-            hit = (x[l] @ x[r].T >= threshold) & (rep[l][:, None] != rep[r][None, :])
-            ids.append(rep[l])
-            sums.append(hit @ many[r])
+            x = matrix(t["x"].slice(a, b - a))
+            l, r = np.flatnonzero(side[a:b]), np.flatnonzero(~side[a:b])
+            hit = (x[l] @ x[r].T >= threshold) & (rep[a + l][:, None] != rep[a + r][None, :])
+            ids.append(rep[a + l])
+            sums.append(hit @ many[a + r])
         return pa.record_batch({"rep": pa.array(np.concatenate(ids), pa.int64()), "linked": pa.array(np.concatenate(sums), pa.int64())})
 
     met = left.union(right).repartition(n, *keys).sortWithinPartitions(*keys)
     return met.mapInArrow(run, "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
-def exact_links(nodes: DataFrame, threshold: float, total: int, n: int) -> DataFrame:
-    """Forest edges (a, b) from comparing all nodes with all, two blocks of EXACT nodes at a time."""
-    chunks = -(-total // EXACT)
-    chunk = F.pmod(F.xxhash64("rep"), F.lit(chunks))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
-    met = nodes.select("rep", "x", chunk.alias("c"), each.alias("o")).select(F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "x")
+def exact_links(nodes: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Forest edges (a, b) from comparing all nodes of a length with all, two blocks of EXACT nodes at
+    a time."""
+    sizes = nodes.groupBy(F.size("x").alias("d")).agg(F.ceil(F.count("*") / EXACT).alias("chunks"))
+    rows = nodes.withColumn("d", F.size("x")).join(sizes, "d")
+    met = rows.select("d", "rep", "x", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
+    met = met.select("d", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "x")
 
     def run(batches):
         key, ids, xs = None, [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = np.stack([batch.column(c).to_numpy() for c in "ij"], 1)
-            rep, x = batch.column("rep").to_numpy(), matrix(batch.column("x"))
+            k = np.stack([batch.column(c).to_numpy() for c in "dij"], 1)
+            rep = batch.column("rep").to_numpy()
             cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 if tuple(k[a]) != key and ids:
@@ -261,7 +278,7 @@ def exact_links(nodes: DataFrame, threshold: float, total: int, n: int) -> DataF
                     ids, xs = [], []
                 key = tuple(k[a])
                 ids.append(rep[a:b])
-                xs.append(x[a:b])
+                xs.append(matrix(batch.column("x").slice(a, b - a)))
         if ids:
             yield whole(ids, xs)
 
@@ -269,7 +286,7 @@ def exact_links(nodes: DataFrame, threshold: float, total: int, n: int) -> DataF
         x = np.concatenate(xs)
         return entries([], [forest(np.concatenate(ids), x @ x.T, threshold)])
 
-    return met.repartition(n, "i", "j").sortWithinPartitions("i", "j").mapInArrow(run, EDGE).select("a", "b")
+    return met.repartition(n, "d", "i", "j").sortWithinPartitions("d", "i", "j").mapInArrow(run, EDGE).select("a", "b")
 
 
 def true_links(nodes: DataFrame, threshold: float, probes: int) -> dict[int, int]:
@@ -309,47 +326,63 @@ def reached(truth: dict[int, int], have: dict[int, int]) -> bool:
     return all(not k or np.mean(k) >= AIM for k in kinds)
 
 
-def embedding_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
-    """vec_id, n_links, component_id and kept for each row of rows(vec_id, embedding)."""
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "embedding")
-    rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    good = usable(rows)
-    length = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    good = good.where(F.size("embedding") == (length[0]["d"] if length else 0))
-    reps = good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
-    classes = scratch.put(reps, "classes")
-    nodes = scratch.put(normalised(classes), "nodes")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
+def exact(scratch: Scratch, nodes: DataFrame, threshold: float, parts: int, name: str):
+    """(groups, counts) from comparing all nodes of a length with all."""
+    groups = scratch.put(components(scratch, scratch.put(exact_links(nodes, threshold, parts), "exact" + name)), "groups" + name)
+    return groups, scratch.put(link_counts(nodes, groups, threshold, parts), "counts" + name)
 
-    n = nodes.count()
-    truth, links, good_enough = probed(nodes, threshold, n), None, False
+
+def linked(scratch: Scratch, nodes: DataFrame, n: int, threshold: float, k: int, parts: int, name: str):
+    """(groups, counts) of n nodes of one length: (node, component) and (rep, linked)."""
+    spark = scratch.spark
+    truth, links = probed(nodes, threshold, n), None
     for go in range(GOES if truth is not None else 0):
         k_now = k * 2**go
-        first = first_lists(scratch, nodes, parts, k_now, go, orders(n, threshold), threshold)
-        lists = scratch.put(best(first.where("entry"), None, k_now), f"lists{go}-0")
+        first = first_lists(scratch, nodes, parts, k_now, f"{name}-{go}", go, orders(n, threshold), threshold)
+        lists = scratch.put(best(first.where("entry"), None, k_now), f"lists{name}-{go}-0")
         raw = first if links is None else first.union(links)
         for r in range(ROUNDS):
-            full = F.when((F.min("sim") >= threshold) & (F.count("*") >= k_now), F.lit(2 * k_now)).otherwise(k_now)
-            wanted = lists.groupBy("a").agg(full.alias("wants"), F.when(F.count("*") >= full, F.min("sim")).otherwise(-1.0).alias("worst"))
-            found = scratch.put(descend(nodes, lists, wanted, parts, k_now, r, threshold), f"found{go}-{r}")
-            raw = raw.union(found)
-            new = found.where("entry").count()
+            # A list whose every entry passes is saturated: it doubles for the next round, each round.
+            size = F.count("*")
+            full = F.when((F.min("sim") >= threshold) & (size >= k_now), 2 * size).otherwise(F.lit(k_now))
+            wanted = lists.groupBy("a").agg(full.alias("wants"), F.when(size >= full, F.min("sim")).otherwise(-1.0).alias("worst"))
+            got = scratch.put(descend(nodes, lists, wanted, parts, k_now, r, threshold), f"found{name}-{go}-{r}")
+            raw = raw.union(got)
+            new = got.where("entry").count()
             if not new:
                 break
-            lists = scratch.put(best(lists.union(found.where("entry").drop("entry")), wanted.select("a", "wants"), k_now), f"lists{go}-{r + 1}")
+            lists = scratch.put(best(lists.union(got.where("entry").drop("entry")), wanted.select("a", "wants"), k_now), f"lists{name}-{go}-{r + 1}")
             if new < 0.02 * n * k_now:
                 break
-        links = scratch.put(raw.where("not entry").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1.0).alias("sim"), "entry").distinct(), f"links{go}")
-        groups = scratch.put(components(scratch, links.select("a", "b")), f"groups{go}")
-        counts = scratch.put(link_counts(nodes, groups, threshold, parts), f"counts{go}")
+        links = scratch.put(raw.where("not entry").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1.0).alias("sim"), "entry").distinct(), f"links{name}-{go}")
+        groups = scratch.put(components(scratch, links.select("a", "b")), f"groups{name}-{go}")
+        counts = scratch.put(link_counts(nodes, groups, threshold, parts), f"counts{name}-{go}")
         have = {r["rep"]: r["linked"] for r in counts.join(F.broadcast(spark.createDataFrame([(i,) for i in truth], "rep long")), "rep", "left_semi").collect()}
-        good_enough = reached(truth, have)
-        if good_enough:
-            break
-    if not good_enough:
-        groups = scratch.put(components(scratch, scratch.put(exact_links(nodes, threshold, n, parts), "exact")), "groups")
-        counts = scratch.put(link_counts(nodes, groups, threshold, parts), "counts")
+        if reached(truth, have):
+            return groups, counts
+    return exact(scratch, nodes, threshold, parts, name)
+
+
+def embedding_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
+    """vec_id, n_links, component_id and kept for each row of rows(vec_id, embedding)."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "embedding")
+    rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    classes = scratch.put(usable(rows).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "classes")
+    nodes = scratch.put(normalised(classes), "nodes")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
+    # Vectors of different lengths have no cosine: each length is a table of its own. The driver holds
+    # one number a length.
+    sizes = {r["d"]: r["n"] for r in nodes.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").collect()}
+    searched = [d for k, (d, n) in enumerate(sizes.items()) if k == 0 or n > SEARCHED]
+    found = []
+    for d in searched:
+        mine = nodes if len(sizes) == 1 else nodes.where(F.size("x") == d)
+        found.append(linked(scratch, mine, sizes[d], threshold, k, parts, f"-{d}"))
+    if len(searched) < len(sizes):
+        rest = nodes.where(~F.size("x").isin(searched))
+        found.append(exact(scratch, rest, threshold, parts, "-rest"))
+    groups, counts = (functools.reduce(DataFrame.union, x) for x in zip(*found, strict=True)) if found else (spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "rep long, linked long"))
     own = classes.select("embedding", "rep", "many").join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
     own = own.select("embedding", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("linked", F.lit(0)) + F.col("many") - 1).alias("n_links"))
     out = rows.join(own, "embedding", "left")

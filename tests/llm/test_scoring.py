@@ -152,3 +152,23 @@ def test_rare_words_of_toxic_rows_are_mined_among_many_frequent_ones(spark, monk
     monkeypatch.setattr(toxicity, "MOST_CANDIDATES", 50, raising=False)
     found = {f: (p, q) for f, p, q in toxicity.mined(sample_with(spark, 12, 0))}
     assert found[int(np.uint64(toxicity.word_key("zorg")).view(np.int64))] == (12, 0)
+
+
+def test_every_length_of_vectors_is_searched(spark):
+    """Minority lengths, equal ids, many equal vectors and clashing columns."""
+    r = np.random.default_rng(6)
+    rows = [(i, r.standard_normal(4).tolist()) for i in range(60)]
+    rows += [(100, [1.0, 2.0, 2.0]), (101, [1.0, 2.0, 2.1]), (102, [-1.0, 0.0, 0.0]), (103, [5.0]), (104, [7.0]), (105, [-7.0]), (106, [1.0, 0.0]), (107, None), (108, [0.0, 0.0])]
+    rows += [(200 + k, [3.0, 1.0]) for k in range(300)] + [(9, rows[9][1])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, rep string, many int")
+    got = {}
+    for x in embedding.embedding_duplicates(df).collect():
+        got.setdefault(x.vec_id, (x.n_links, x.component_id))
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and any(v)}
+    for i, v in unit.items():
+        if i == 9:
+            continue
+        near = [j for j, w in rows if w and any(w) and len(w) == len(v) and j != i and float(np.dot(v, unit[j])) >= 0.9]
+        assert got[i][0] == len(near), i
+    assert (got[100], got[101], got[102], got[103], got[104], got[105]) == ((1, 100), (1, 100), (0, 102), (1, 103), (1, 103), (0, 105))
+    assert got[200] == (300, 106) and got[107] == (0, 107) and got[108] == (0, 108)
