@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import time
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,17 +53,28 @@ _kept: dict = {}
 def kept(key, make):
     """make()'s result, kept in this Python worker for its next tasks; only the latest key's."""
     if key not in _kept:
-        release()
+        give_back()
         _kept[key] = make()
     return _kept[key]
 
 
 def release() -> None:
-    """Frees what earlier operators' tasks have kept in this worker, and gives unused memory back."""
+    """Frees what earlier operators' tasks have kept in this worker."""
     if _kept:
-        _kept.clear()
-        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Empties this worker's tables and gives unused memory back to the system: workers live on from
+    one operator to the next."""
+    from .hashing import _powers
+
+    _kept.clear()
+    _powers.clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class Scratch:
