@@ -75,3 +75,17 @@ def test_payloads(spark):
     assert one(art({"LastName": "Doe", "Initials": "J"}), P.pubmed).authors == "Doe, J"
     assert one(art([{"LastName": "Doe", "ForeName": "Jo"}, {"LastName": "Roe"}]), P.pubmed).authors == "Doe, Jo and Roe"
     assert one(art(None), P.pubmed).authors == "Unknown"
+
+
+def test_readers_and_rewriting(spark, tmp_path):
+    (tmp_path / "keys.txt").write_text("a\n\n b \na\n")
+    (tmp_path / "ids.txt").write_text("# head\n10.1/x\n\n 2106.12345 \n")
+    (tmp_path / "d.tex").write_text("One line.\nTwo.")
+    assert sorted(r.key for r in B.read_cited_keys(spark, str(tmp_path / "keys.txt")).collect()) == ["a", "b"]
+    assert sorted(r.id for r in B.read_identifiers(spark, str(tmp_path / "ids.txt")).collect()) == ["10.1/x", "2106.12345"]
+    assert [r.text for r in B.read_documents(spark, str(tmp_path / "d.tex")).collect()] == ["One line.\nTwo."]
+    where = f"file://{tmp_path}/lib"
+    rows = spark.createDataFrame([("f", i, "misc", f"k{i}", f"title = {{T{i}}}") for i in range(5)], "file string, pos int, type string, key string, content string")
+    B.write_bibtex(rows, where)
+    B.rewrite_bibtex(B.parse(spark.read.text(where, wholetext=True).selectExpr("'f' AS file", "value AS content")).where("key <> 'k2'"), where)
+    assert sorted(r.key for r in B.parse(spark.read.text(where, wholetext=True).selectExpr("'f' AS file", "value AS content")).collect()) == ["k0", "k1", "k3", "k4"]
