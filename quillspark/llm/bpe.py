@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import kept
+from .common import kept, small_batches
 
 #: States of a transducer; bytes that a worker's table of encoded pieces, and that of runs, may take.
 MOST_STATES, MOST_BYTES = 1 << 16, (16 << 20, 96 << 20)
@@ -388,6 +388,7 @@ def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 def encoded(docs: DataFrame, path: str | None, pattern: str | None, with_ids: bool) -> DataFrame:
     if path is None or pattern is None:
         path, pattern = default_vocabulary()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         c = codec(path, pattern)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: White space as all contracts here see it: space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of the record batches that go to Python workers and Spark's own default, which is 64 MB.
+BATCH_CONF, BATCH, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,13 @@ def sweep(spark: SparkSession, hours: float) -> int:
     return len(old)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Record batches of at most BATCH bytes, or one row, for the session, unless it has set its own
+    bound: both the executor's JVM and the worker hold batches several times over."""
+    if spark.conf.get(BATCH_CONF, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -84,6 +93,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.top = spark, f"{shared_dir(spark)}/quill/{name}-{uuid.uuid4().hex}"
+        small_batches(spark)
 
     def put(self, df: DataFrame, table: str) -> DataFrame:
         with shuffle_cleanup(self.spark):
