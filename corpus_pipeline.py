@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quillspark.llm import bpe, mixing, near_dup, substring, toxicity
 from quillspark.llm.common import Scratch
 
+#: Bytes of an encoder's tables of pieces and of runs.
+ENCODER_BYTES = (8 << 20, 32 << 20)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -58,8 +60,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the ids themselves as little-endian unsigned 32-bit integers, and digests of
-    the ids and of what they decode to. Null and empty texts have no ids; a null id stays null."""
-    return bpe.encode_texts(docs)
+    the ids and of what they decode to. Null and empty texts have no ids; a null id stays null. The
+    workers of earlier stages all become encoders here, so each has smaller tables."""
+    return bpe.encode_texts(docs, most_bytes=ENCODER_BYTES)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("repeated_passages", drop_repeats), ("mixing", mix_sources), ("encoding", encode)]

@@ -267,13 +267,13 @@ class Codec:
     """Texts to ids and back. Ids are kept, as little-endian words, for each piece and, where the
     pattern's pieces can't cross a space, for each run between spaces with the space before it."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, most_bytes: tuple[int, int] = MOST_BYTES):
         import regex
 
         self.machine = Transducer(read_ranks(path))
         self.find = regex.compile(pattern).findall
-        self.pieces = Table(self.piece, MOST_BYTES[0])
-        self.runs = Table(self.run, MOST_BYTES[1]) if pattern == SPACED_PATTERN else None
+        self.pieces = Table(self.piece, most_bytes[0])
+        self.runs = Table(self.run, most_bytes[1]) if pattern == SPACED_PATTERN else None
         self.odd_space, self.part = regex.compile(r"\s ").search, regex.compile(r"(?<=\S) ").split
         size = self.machine.size
         self.size_of, self.start_of = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -363,9 +363,9 @@ def without_collector():
             gc.enable()
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, most_bytes: tuple[int, int]) -> Codec:
     """One a Python worker."""
-    return kept(("bpe", path, pattern), lambda: Codec(path, pattern))
+    return kept(("bpe", path, pattern, most_bytes), lambda: Codec(path, pattern, most_bytes))
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -374,10 +374,11 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None = None, most_bytes: tuple[int, int] = MOST_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and the digests of the ids and of the
-    bytes that they decode to, for each row of docs. No row moves: each task encodes what it reads."""
-    return encoded(docs, path, pattern, True)
+    bytes that they decode to, for each row of docs. No row moves: each task encodes what it reads.
+    most_bytes bounds each worker's tables of pieces and runs; smaller ones cost time only."""
+    return encoded(docs, path, pattern, True, most_bytes)
 
 
 def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -385,13 +386,13 @@ def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     return encoded(docs, path, pattern, False)
 
 
-def encoded(docs: DataFrame, path: str | None, pattern: str | None, with_ids: bool) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None, pattern: str | None, with_ids: bool, most_bytes: tuple[int, int] = MOST_BYTES) -> DataFrame:
     if path is None or pattern is None:
         path, pattern = default_vocabulary()
     small_batches(docs.sparkSession)
 
     def run(batches):
-        c = codec(path, pattern)
+        c = codec(path, pattern, most_bytes)
         for batch in batches:
             sizes, of_ids, of_text, kept_ids = [], [], [], []
             with without_collector():
