@@ -16,7 +16,7 @@ a digest of doc_id: the bound on what reaches the driver is votes of `most_rows`
 reads whole texts, one after another, and moves no row.
 
 Results for odd rows: null and empty texts score as texts without votes; without labelled toxic
-rows, the general lexicon alone votes; rows with null ids are scored and not held out; repeated
+rows, the general lexicon alone votes: a single insult raises the score, but not to the cut; rows with null ids are scored and not held out; repeated
 rows are scored row by row, and of those that share an id one is learnt from; labels of ids that no
 document has are ignored; an empty table gives no rows; texts of any length are read whole, and
 columns other than doc_id, text and labels' doc_id and toxic are not read, whatever their names.
