@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators: digests of what the operators return."""
+"""The registered queries of the operators: digests of what the operators return."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding, licenses, mixing, near_dup, quality, substring, suffixes, token_ids, toxicity
+from . import bpe, conversations, embedding, licenses, mixing, near_dup, phrases, quality, substring, suffixes, token_ids, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,15 @@ def op10_licenses(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_token_ids, op2_near_dup, op3_quality, op4_mixing, op5_embedding, op6_toxicity, op7_bpe, op8_suffixes, op9_substring, op10_licenses)
+def op11_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark, sf_dir):
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = (op1_token_ids, op2_near_dup, op3_quality, op4_mixing, op5_embedding, op6_toxicity, op7_bpe, op8_suffixes, op9_substring, op10_licenses, op11_phrases, op13_conversations)
 
 
 def queries() -> dict:
@@ -59,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.oracle(), "op4_mixing": mixing.ORACLE_SQL, "op9_substring": substring.oracle(), "op10_licenses": licenses.oracle()}
+    return {"op3_quality": quality.oracle(), "op4_mixing": mixing.ORACLE_SQL, "op9_substring": substring.oracle(), "op10_licenses": licenses.oracle(), "op11_phrases": phrases.ORACLE_SQL}
