@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, embedding, licenses, mixing, near_dup, phrases, quality, substring, suffixes, token_ids, toxicity
+from . import bpe, conversations, embedding, licenses, mixing, near_dup, phrases, pii, quality, substring, suffixes, token_ids, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +55,15 @@ def op11_phrases(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_pii(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_conversations(spark, sf_dir):
     return conversations.digest(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = (op1_token_ids, op2_near_dup, op3_quality, op4_mixing, op5_embedding, op6_toxicity, op7_bpe, op8_suffixes, op9_substring, op10_licenses, op11_phrases, op13_conversations)
+QUERIES = (op1_token_ids, op2_near_dup, op3_quality, op4_mixing, op5_embedding, op6_toxicity, op7_bpe, op8_suffixes, op9_substring, op10_licenses, op11_phrases, op12_pii, op13_conversations)
 
 
 def queries() -> dict:
