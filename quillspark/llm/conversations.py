@@ -123,7 +123,7 @@ class Machine:
         return q, out[::-1]
 
     def all(self) -> int:
-        """Makes every state; gives their number."""
+        """Makes every state, on a new machine always in the same order; gives their number."""
         k = 0
         while k < len(self.states):
             for sym in range(SYMBOLS):
@@ -132,9 +132,9 @@ class Machine:
         return k
 
     def maps(self, runs) -> tuple[list[int], list[int], list[int]]:
-        """From each state: the state after the runs, the cost, and the state of the four before them
+        """Of the complete machine, from each state: the state after the runs, the cost, and the state of the four before them
         for each of the four after them (-1: none)."""
-        n = self.all()
+        n = len(self.states)
         to = np.array([[self.step(k, s)[0] for s in range(SYMBOLS)] for k in range(n)])
         more = np.array([[self.step(k, s)[1] for s in range(SYMBOLS)] for k in range(n)])
         arcs = np.array([[[-1 if a is None else a[0] for a in self.step(k, s)[2]] for s in range(SYMBOLS)] for k in range(n)])
@@ -151,9 +151,14 @@ class Machine:
         return state.tolist(), cost.tolist(), origin.reshape(-1).tolist()
 
 
-@lru_cache(1)
-def machine() -> Machine:
-    return Machine()
+@lru_cache(2)
+def machine(complete: bool = False) -> Machine:
+    """This worker's machine. States that tasks tell each other are those of the complete one, whose
+    numbers are the same in every worker."""
+    out = Machine()
+    if complete:
+        out.all()
+    return out
 
 
 def damage(conversations: DataFrame) -> DataFrame:
@@ -226,8 +231,7 @@ def joined(rows: list[dict]) -> list[dict]:
     """The report of a conversation and the states at which each of its pieces begins and ends, from
     the pieces' summaries."""
     rows.sort(key=lambda r: r["part"])
-    m = machine()
-    m.all()
+    m = machine(complete=True)
     state, cost, entries = 0, 0, []
     total = dict.fromkeys(("blank", "duplicate", "truncated", "illegal"), 0)
     low = high = last = None
@@ -256,12 +260,14 @@ def joined(rows: list[dict]) -> list[dict]:
     return out
 
 
-def applied(conv_id, piece: Piece, entry: int, leave: int) -> list[dict]:
-    """The edits of each row of a piece, and what comes of the row."""
-    m = machine()
+def applied(conv_id, piece: Piece, ends: tuple[int, int] | None) -> list[dict]:
+    """The edits of each row of a piece, and what comes of the row. ends: where the piece begins and
+    ends, if that was found beforehand."""
+    m = machine(complete=ends is not None)
+    entry, q = ends or (0, -1)
     state, _, steps = m.scan(entry, piece.flat())
-    q, tail = leave, ""
-    if leave < 0:
+    tail = ""
+    if q < 0:
         _, q, tail = m.finish(state)
     now, edits = m.trace(steps, q)
     # Steps go by runs; a row may have two, and a run several steps.
@@ -327,7 +333,7 @@ def repair(rows: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, Da
             row = {n: getattr(p, n) for n in ("pos", "low", "high", "turns", "first", "last", "blank", "duplicate", "truncated", "illegal")}
             row |= {"conv_id": conv_id, "part": part, "edge": k in (0, len(found) - 1)}
             if row["edge"]:
-                row["ends"], row["costs"], row["origins"] = m.maps(p.flat())
+                row["ends"], row["costs"], row["origins"] = machine(complete=True).maps(p.flat())
             else:
                 state, cost, _ = m.scan(0, p.flat())
                 row["cost"] = cost + m.finish(state)[0]
@@ -343,7 +349,7 @@ def repair(rows: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, Da
         repeated = {r["pos"] for r in there.to_pylist() if r["entry"] is None}
         out = []
         for conv_id, p in pieces(here.to_pylist(), repeated):
-            out += applied(conv_id, p, *notes.get(p.pos, (0, -1)))
+            out += applied(conv_id, p, notes.get(p.pos))
         return table_of(out, edit)
 
     light = rows.drop("text")

@@ -135,5 +135,10 @@ def test_very_long_text_and_runs_of_equal_rows(spark):
     assert [r.edits for r in edits.sort("pos").collect()] == ["K" + "D" * 499, "K"]
 
 
-def test_states_are_finitely_many():
-    assert conversations.Machine().all() < 1000
+def test_states_are_finitely_many_and_numbered_alike():
+    """Whatever a worker's tasks have scanned before, states that tasks exchange have the same numbers."""
+    lazy = conversations.machine()
+    lazy.scan(0, [(k, 2) for k in range(conversations.SYMBOLS - 1, -1, -1)])
+    fresh = conversations.Machine()
+    assert fresh.all() < 1000
+    assert conversations.machine(complete=True).states == fresh.states != lazy.states
