@@ -28,7 +28,7 @@ FILTER_BITS = 26
 #: Bits of a filter that one task lays together.
 CHUNK_BITS = 16
 #: Bytes of texts that are counted at once; a longer text is counted alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Parts of a language's phrases that are ranked apart before their best meet.
 RANK_PARTS = 64
 
