@@ -38,26 +38,32 @@ def overlap(source_terms: Column, candidate_terms: Column) -> Column:
     return F.when((F.size(source_terms) > 0) & (F.size(candidate_terms) > 0), share).otherwise(0.0)
 
 
-def quantitative(sentence: Column, sentence_claims: Column, haystack: Column, shared=rules.SHARED_TERMS) -> Column:
-    """haystack: lower-cased title, abstract and journal."""
-    numbers = F.transform(every(haystack, r"\d+(?:\.\d+)?"), lambda x: x.cast("double"))
+def numbers(text: Column) -> Column:
+    return F.array_distinct(F.transform(every(text, r"\d+(?:\.\d+)?"), lambda x: x.cast("double")))
+
+
+def topics(text: Column, shared=rules.SHARED_TERMS) -> Column:
+    """Which of the shared terms a lower-cased text has."""
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(x)), F.lit(x)) for x in shared]))
+
+
+def quantitative(sentence_topics: Column, sentence_claims: Column, haystack: Column, hay_numbers: Column, hay_topics: Column) -> Column:
+    """haystack: lower-cased title, abstract and journal, with its numbers and topics."""
 
     def of(c: Column) -> Column:
         value = c["value"].cast("double")
-        near = F.exists(numbers, lambda x: F.abs(x - value) <= F.greatest(F.lit(0.15), value * F.lit(0.08)))
+        near = F.exists(hay_numbers, lambda x: F.abs(x - value) <= F.greatest(F.lit(0.15), value * F.lit(0.08)))
         unit = (c["unit"] != "") & F.contains(haystack, F.lower(c["unit"]))
         return F.when(near, 1.0).otherwise(0.0) + F.when(unit, 0.35).otherwise(0.0)
 
     total = F.aggregate(sentence_claims, F.lit(0.0), lambda a, c: a + of(c))
-    both = F.lit(0)
-    for token in shared:
-        both = both + F.when(F.contains(F.lower(sentence), F.lit(token)) & F.contains(haystack, F.lit(token)), 1).otherwise(0)
+    both = F.size(F.array_intersect(sentence_topics, hay_topics))
     return F.when(F.size(sentence_claims) > 0, total + both * F.lit(0.25)).otherwise(0.0)
 
 
 def anchored(anchors: Column, title: Column, haystack: Column) -> Column:
-    """(score, matched)."""
-    score = F.aggregate(anchors, F.lit(0.0), lambda a, x: a + F.when(F.contains(haystack, x), F.when(F.contains(F.lower(title), x), 1.4).otherwise(0.8)).otherwise(0.0))
+    """(score, matched); title and haystack in lower case."""
+    score = F.aggregate(anchors, F.lit(0.0), lambda a, x: a + F.when(F.contains(haystack, x), F.when(F.contains(title, x), 1.4).otherwise(0.8)).otherwise(0.0))
     return F.struct(score.alias("score"), F.size(F.filter(anchors, lambda x: F.contains(haystack, x))).alias("matched"))
 
 

@@ -8,31 +8,29 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 
+#: A token that more candidates have is looked up once for each set of such tokens, not once a sentence.
+HEAVY = 256
+
 
 def prepared_sentences(sentences: DataFrame) -> DataFrame:
     """Terms, claims and anchors of sentences(sent_id, sentence), once each."""
     s = F.col("sentence")
-    return sentences.select("sent_id", "sentence", T.search_terms(s).alias("s_terms"), T.claims(s).alias("s_claims"), T.anchor_terms(s).alias("s_anchors"))
+    return sentences.select("sent_id", T.search_terms(s).alias("s_terms"), T.claims(s).alias("s_claims"), T.anchor_terms(s).alias("s_anchors"), S.topics(F.lower(s)).alias("s_topics"))
 
 
 def prepared_candidates(candidates: DataFrame, *keep: str) -> DataFrame:
     """The same of candidates(pos, cite_key, title, abstract, journal)."""
     part = lambda c: F.coalesce(F.col(c), F.lit(""))
     whole = F.concat_ws(" ", part("title"), part("abstract"), part("journal"))
-    return candidates.select(*keep, "pos", "cite_key", part("title").alias("title"), F.lower(whole).alias("hay"), T.search_terms(whole).alias("c_terms"))
+    hay = F.lower(whole)
+    return candidates.select(*keep, "pos", "cite_key", F.lower(part("title")).alias("title"), hay.alias("hay"), T.search_terms(whole).alias("c_terms"), S.numbers(hay).alias("c_numbers"), S.topics(hay).alias("c_topics"))
 
 
-def rank(sentences: DataFrame, candidates: DataFrame, most: int | None = 3) -> DataFrame:
+def rank(sentences: DataFrame, candidates: DataFrame, most: int | None = 3, heavy: int = HEAVY) -> DataFrame:
     """sent_id, cite_key, score, anchor_matches and rank of the best candidates of each sentence
-    (all of them if most is None). Ties go by pos.
-
-    A score comes from shared terms, near numbers, shared units or topics, or anchors, so a pair
-    that shares none of these tokens scores 0. The candidates are found by joining on tokens: each
-    source of score has its own, and numbers are joined by the cells of a grid."""
+    (all of them if most is None). Ties go by pos."""
     s, c = prepared_sentences(sentences), prepared_candidates(candidates)
-    s, c = s.withColumn("tokens", sentence_tokens()), c.withColumn("tokens", candidate_tokens())
-    pairs = s.select("sent_id", F.explode("tokens").alias("token")).join(c.select("pos", F.explode("tokens").alias("token")), "token").select("sent_id", "pos").distinct()
-    return ranked(pairs.join(s.drop("tokens"), "sent_id").join(c.drop("tokens"), "pos"), most)
+    return ranked(met(s, c, most, heavy).join(s, "sent_id").join(c, "pos"), most)
 
 
 def rank_given(sentences: DataFrame, candidates: DataFrame, most: int | None = 3) -> DataFrame:
@@ -45,34 +43,95 @@ def ranked(met: DataFrame, most: int | None) -> DataFrame:
     """Scores and ranks of pairs of a prepared sentence and a prepared candidate."""
     anchor = S.anchored(F.col("s_anchors"), F.col("title"), F.col("hay"))
     met = met.withColumn("anchor", anchor)
-    total = S.overlap(F.col("s_terms"), F.col("c_terms")) + S.quantitative(F.col("sentence"), F.col("s_claims"), F.col("hay")) + F.col("anchor.score")
+    total = S.overlap(F.col("s_terms"), F.col("c_terms")) + S.quantitative(*map(F.col, ("s_topics", "s_claims", "hay", "c_numbers", "c_topics"))) + F.col("anchor.score")
     total = F.when((F.size("s_anchors") > 0) & (F.col("anchor.matched") == 0), 0.0).otherwise(total)
     scored = met.select("sent_id", "pos", "cite_key", F.round(total, 4).alias("score"), F.col("anchor.matched").cast("long").alias("anchor_matches")).where("score > 0")
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("sent_id").orderBy(F.desc("score"), "pos")))
     return out if most is None else out.where(F.col("rank") <= most)
 
 
-def grid(value, reach):
-    """Cells of a logarithmic grid that a number's neighbourhood [v - reach, v + reach] touches."""
+# A score is a sum over a sentence's tokens: terms, units, numbers and topics add a weight for each that a
+# candidate has, anchors more if its title has them, and a sentence with anchors needs one of them. So
+# pairs are found by exact postings (token, pos). A token that many candidates have would make as many
+# pairs a sentence; but sentences with the same such tokens get the same sums from them, so the best
+# candidates are found once for each distinct set.
+
+def met(s: DataFrame, c: DataFrame, most: int | None, heavy: int = HEAVY) -> DataFrame:
+    """(sent_id, pos): every pair with a score, or if `most` is given those that can be among a
+    sentence's best; s and c are prepared sentences and candidates."""
+    tokens = sentence_tokens(s)
+    postings = candidate_tokens(c).unionByName(number_postings(tokens, c)).unionByName(unit_postings(tokens, c))
+    wanted = F.size(F.array_intersect("s_anchors", "c_anchors")) > 0
+    fits = (F.size("s_anchors") == 0) | wanted
+    if most is None:
+        return tokens.join(postings, "token").where(fits).select("sent_id", "pos").distinct()
+    often = postings.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("token")
+    light = tokens.join(often, "token", "left_anti").join(postings, "token").where(fits).select("sent_id", "pos")
+    # Sentences by their set of frequent tokens, and each set's best candidates.
+    sets = tokens.join(often, "token").groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("token", "weight"))).alias("set"), F.first("s_anchors").alias("s_anchors"))
+    sets = sets.withColumn("id", F.sha2(F.to_json(F.struct("set", F.array_sort("s_anchors"))), 256))
+    each = sets.select("id", "set", "s_anchors").dropDuplicates(["id"]).select("id", "s_anchors", F.explode("set").alias("t")).select("id", "s_anchors", "t.*")
+    sums = each.join(postings, "token").where(fits).groupBy("id", "pos").agg(F.round(F.sum(F.col("weight") * F.col("boost")), 4).alias("score"))
+    at = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pos"))
+    best = sums.withColumn("at", at).where(F.col("at") <= most).select("id", "pos")
+    return light.union(sets.select("sent_id", "id").join(best, "id").select("sent_id", "pos")).distinct()
+
+
+def sentence_tokens(s: DataFrame) -> DataFrame:
+    """sent_id, s_anchors, token, weight and kind; a number or unit that is claimed twice weighs twice."""
+    token = lambda kind, x, weight: F.struct(F.concat(F.lit(kind), x).alias("token"), weight.cast("double").alias("weight"))
+    terms = F.transform(F.array_distinct("s_terms"), lambda x: token("t:", x, F.lit(1.0) / F.size(F.array_distinct("s_terms"))))
+    numbers = F.transform("s_claims", lambda x: token("n:", x["value"].cast("double").cast("string"), F.lit(1.0)))
+    units = F.transform(F.filter("s_claims", lambda x: x["unit"] != ""), lambda x: token("u:", F.lower(x["unit"]), F.lit(0.35)))
+    topics = F.transform(F.when(F.size("s_claims") > 0, F.col("s_topics")).otherwise(F.array().cast("array<string>")), lambda x: token("s:", x, F.lit(0.25)))
+    anchors = F.transform("s_anchors", lambda x: token("a:", x, F.lit(1.0)))
+    rows = s.select("sent_id", "s_anchors", F.explode(F.concat(terms, numbers, units, topics, anchors)).alias("t")).select("sent_id", "s_anchors", "t.*").where("token is not null")
+    # Every use filters what the aggregate gives, so that they share its exchange.
+    return rows.groupBy("sent_id", "s_anchors", "token").agg(F.sum("weight").alias("weight"), F.max(F.substring("token", 1, 2)).alias("kind")).where("weight > 0 and kind is not null")
+
+
+def marked(c: DataFrame) -> DataFrame:
+    return c.withColumn("c_anchors", F.array_compact(F.array(*[F.when(F.contains("hay", F.lit(x)), F.lit(x)) for x, _ in S.rules.ANCHORS])))
+
+
+def candidate_tokens(c: DataFrame) -> DataFrame:
+    """token, pos, c_anchors and boost of terms, topics and anchors."""
+    token = lambda kind, x, boost: F.struct(F.concat(F.lit(kind), x).alias("token"), boost.alias("boost"))
+    one = F.lit(1.0)
+    terms = F.transform(F.array_distinct("c_terms"), lambda x: token("t:", x, one))
+    topics = F.transform("c_topics", lambda x: token("s:", x, one))
+    anchors = F.transform("c_anchors", lambda x: token("a:", x, F.when(F.contains("title", x), 1.4).otherwise(0.8)))
+    return marked(c).select("pos", "c_anchors", F.explode(F.concat(terms, topics, anchors)).alias("t")).select("t.token", "pos", "c_anchors", "t.boost")
+
+
+def grid(low, high):
+    """Cells of a logarithmic grid from one number to another."""
     cell = lambda v: F.floor(F.log(F.greatest(v, F.lit(0.0)) + 2.0) / 0.1)
-    return F.sequence(cell(value - reach), cell(value + reach))
-
-
-def sentence_tokens():
-    """Tokens of a sentence; numbers with every cell that their tolerance reaches. Units that hold
-    of a candidate as substrings are looked up by their first three characters at most."""
-    near = F.flatten(F.transform("s_claims", lambda x: F.transform(grid(x["value"].cast("double"), F.greatest(F.lit(0.15), x["value"].cast("double") * 0.08)), lambda k: F.concat(F.lit("n:"), k.cast("string")))))
-    units = F.transform(F.filter("s_claims", lambda x: x["unit"] != ""), lambda x: F.concat(F.lit("g:"), F.substring(F.lower(x["unit"]), 1, 3)))
-    terms = F.transform("s_terms", lambda x: F.concat(F.lit("t:"), x))
-    anchors = F.transform("s_anchors", lambda x: F.concat(F.lit("g:"), F.substring(x, 1, 3)))
-    topics = F.when(F.size("s_claims") > 0, F.array_compact(F.array(*[F.when(F.contains(F.lower("sentence"), F.lit(x)), F.lit(f"g:{x[:3]}")) for x in S.rules.SHARED_TERMS]))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(near, units, terms, anchors, topics))
-
-
-def candidate_tokens():
-    numbers = F.transform(T.every(F.col("hay"), r"\d+(?:\.\d+)?"), lambda x: F.concat(F.lit("n:"), F.floor(F.log(x.cast("double") + 2.0) / 0.1).cast("string")))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay"), F.lit(1))), lambda i: F.array(*[F.concat(F.lit("g:"), F.substring(F.col("hay"), i, F.lit(k))) for k in (1, 2, 3)])))
-    return F.array_distinct(F.concat(numbers, grams, F.transform("c_terms", lambda x: F.concat(F.lit("t:"), x))))
+    return F.sequence(cell(low), cell(high))
+
+
+def number_postings(tokens: DataFrame, c: DataFrame) -> DataFrame:
+    """Postings of the sentences' distinct numbers: the candidates with a number near enough."""
+    value = F.substring("token", 3, 400).try_cast("double")
+    near = F.greatest(F.lit(0.15), F.col("value") * F.lit(0.08))
+    asked = tokens.where("kind = 'n:'").select("token").distinct().withColumn("value", value).withColumn("near", near)
+    asked = asked.withColumn("cell", F.explode(grid(F.col("value") - F.col("near"), F.col("value") + F.col("near"))))
+    have = marked(c).select("pos", "c_anchors", F.explode("c_numbers").alias("x")).where("x is not null")
+    have = have.withColumn("cell", F.explode(grid(F.col("x"), F.col("x"))))
+    hit = asked.join(have, "cell").where(F.abs(F.col("x") - F.col("value")) <= F.col("near"))
+    return hit.select("token", "pos", "c_anchors", F.lit(1.0).alias("boost")).distinct()
+
+
+def unit_postings(tokens: DataFrame, c: DataFrame) -> DataFrame:
+    """Postings of the sentences' distinct units: the candidates that contain them. A unit is letters or
+    a percent sign, so it lies in a run of such; it is looked up in the runs that candidates have by its
+    first three characters at most, and compared."""
+    runs = marked(c).select("pos", "c_anchors", F.explode(F.array_distinct(T.every(F.col("hay"), "[a-zμµ]+|%"))).alias("run"))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.array(*[F.substring(F.col("run"), i, F.lit(k)) for k in (1, 2, 3)]))))
+    forms = runs.select("run").distinct().withColumn("gram", F.explode(grams))
+    asked = tokens.where("kind = 'u:'").select("token").distinct().withColumn("unit", F.substring("token", 3, 1 << 20)).withColumn("gram", F.substring("unit", 1, 3))
+    held = asked.join(forms, "gram").where(F.contains("run", F.col("unit"))).select("token", "run")
+    return held.join(runs, "run").select("token", "pos", "c_anchors", F.lit(1.0).alias("boost")).distinct()
 
 
 def best_evidence(candidates: DataFrame) -> DataFrame:

@@ -80,16 +80,60 @@ def test_ranking_gates_on_anchors(spark):
     assert [(r.cite_key, r.anchor_matches, r["rank"]) for r in got] == [("hit", 3, 1)] and got[0].score > 0
 
 
+def all_pairs(s, c):
+    """Every pair that scores, by the scores themselves."""
+    from quillspark.functions import scores as S
+
+    a, b = M.prepared_sentences(s), M.prepared_candidates(c)
+    anchor = S.anchored(F.col("s_anchors"), F.col("title"), F.col("hay"))
+    total = S.overlap(F.col("s_terms"), F.col("c_terms")) + S.quantitative(*map(F.col, ("s_topics", "s_claims", "hay", "c_numbers", "c_topics"))) + anchor["score"]
+    total = F.when((F.size("s_anchors") > 0) & (anchor["matched"] == 0), 0.0).otherwise(total)
+    return {(r.sent_id, r.pos): r.score for r in a.crossJoin(b).select("sent_id", "pos", F.round(total, 4).alias("score")).where("score > 0").collect()}
+
+
+SENTENCE, CANDIDATE = "sent_id int, sentence string", "pos int, cite_key string, title string, abstract string, journal string"
+
+
 def test_ranking_equals_all_pairs(spark):
     """The token join finds every pair that scores."""
-    s = spark.createDataFrame([(0, "It rose 12% in 3.0 K"), (1, "strain and 7 things"), (2, "alpha beta gamma"), (3, "at 1000 m")], "sent_id int, sentence string")
-    c = spark.createDataFrame([(k, f"c{k}", t, "", "") for k, t in enumerate(["gamma ray", "up to 12.5", "strained", "1070 metres", "3.14", "zzz"])], "pos int, cite_key string, title string, abstract string, journal string")
-    joined = {(r.sent_id, r.cite_key): r.score for r in M.rank(s, c, None).collect()}
-    from quillspark.functions import scores as S
+    s = spark.createDataFrame([(0, "It rose 12% in 3.0 K"), (1, "strain and 7 things"), (2, "alpha beta gamma"), (3, "at 1000 m")], SENTENCE)
+    c = spark.createDataFrame([(k, f"c{k}", t, "", "") for k, t in enumerate(["gamma ray", "up to 12.5", "strained", "1070 metres", "3.14", "zzz"])], CANDIDATE)
+    joined = {(r.sent_id, r.pos): r.score for r in M.rank(s, c, None).collect()}
+    assert joined == all_pairs(s, c) and len(joined) > 4
+
+
+def made_pairs(spark):
+    import random
 
+    r = random.Random(6)
+    words = "phonon qubit acoustic strain modulation 3 K 3.2 K 12 % 5 GHz 40 m the 7 things laser crystal tc critical temperature alpha beta gamma delta 1000 nm superconducting film".split()
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    s = spark.createDataFrame([(k, text(r.randint(1, 14))) for k in range(150)] + [(900, ""), (901, None), (902, text(4)), (903, "5 m")], SENTENCE)
+    c = spark.createDataFrame([(k, f"c{k}", text(r.randint(0, 5)) if k % 9 else None, text(r.randint(0, 20)), None) for k in range(90)] + [(90, "c90", "Étude à 5 µm", "", "")], CANDIDATE)
+    return s, c
+
+
+@pytest.mark.parametrize("heavy", [0, 10, 10**6])
+def test_best_candidates_whatever_tokens_are_frequent(spark, heavy):
+    s, c = made_pairs(spark)
+    scores = all_pairs(s, c)
+    want = {}
+    for (i, pos), x in sorted(scores.items(), key=lambda e: (e[0][0], -e[1], e[0][1])):
+        want.setdefault(i, []).append((pos, x))
+    got = {}
+    for row in M.rank(s, c, 3, heavy).orderBy("sent_id", "rank").collect():
+        got.setdefault(row.sent_id, []).append((row.pos, row.score))
+    assert got == {i: v[:3] for i, v in want.items()}
+
+
+def test_pairs_met_are_few(spark):
+    """Every pair that is met scores; with frequent tokens a sentence meets little more than its best."""
+    s, c = made_pairs(spark)
     a, b = M.prepared_sentences(s), M.prepared_candidates(c)
-    every = a.crossJoin(b).select("sent_id", "cite_key", F.round(S.overlap(F.col("s_terms"), F.col("c_terms")) + S.quantitative(F.col("sentence"), F.col("s_claims"), F.col("hay")), 4).alias("score")).where("score > 0").collect()
-    assert joined == {(r.sent_id, r.cite_key): r.score for r in every} and len(joined) > 4
+    scores = all_pairs(s, c)
+    met = {(r.sent_id, r.pos) for r in M.met(a, b, None).collect()}
+    assert met == set(scores)
+    assert M.met(a, b, 3, 0).count() <= 3 * len({i for i, _ in scores})
 
 
 def test_best_evidence(spark):
