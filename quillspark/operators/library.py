@@ -52,15 +52,46 @@ def in_cite_order(entries: DataFrame, none: int = 9999) -> DataFrame:
     """entries with `rank`, their place by cite_order (text or number), then pos; uncited ones, and
     those whose order is blank, as if `none`. Another order that is no integer is an error.
 
-    The rank is global, so it is counted in two levels: inside ranges of the order and, since one
-    order may hold most rows, of pos; then over the ranges' counts."""
+    The rank is global; see global_rank."""
     at = F.coalesce(F.nullif(F.trim(F.col("cite_order").cast("string")), F.lit("")).cast("int"), F.lit(none))
-    rows = entries.withColumn("_at", at).withColumn("_range", F.shiftright(F.col("pos").cast("long"), 16))
-    keys = ["_at", "_range"]
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inner = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
-    return rows.join(sums, keys).withColumn("rank", F.col("_before") + inner).drop(*keys, "_before")
+    return global_rank(entries.withColumn("_at", at), ["_at", "pos"], "rank").drop("_at")
+
+
+#: Keys that are looked at for a range.
+SAMPLED = 64
+
+
+def cut_points(rows: DataFrame, keys: list[str], ranges: int) -> list:
+    """Keys that cut rows into ranges of about equal size: from those with the smallest hashes, which
+    are SAMPLED a range at most, whatever the number of rows."""
+    found = rows.select(*keys).orderBy(F.xxhash64(*keys)).limit(SAMPLED * ranges).orderBy(*keys).collect()
+    return found[len(found) // ranges :: len(found) // ranges][: ranges - 1] if len(found) >= ranges else []
+
+
+def range_of(rows: DataFrame, keys: list[str], cuts: list) -> Column:
+    """The number of cuts up to a row's keys, found among every few of them and then the few between."""
+    kinds = dict(rows.dtypes)
+    if not cuts:
+        return F.lit(0)
+    each = [F.struct(*[F.lit(x[k]).cast(kinds[k]).alias(k) for k in keys]) for x in cuts]
+    step = max(1, int(len(each) ** 0.5))
+    up_to = lambda part: F.size(F.filter(part, lambda x: x <= F.struct(*keys)))
+    coarse = up_to(F.array(*each[step - 1 :: step]))
+    return coarse * step + F.transform(F.array(coarse), lambda k: up_to(F.slice(F.array(*each), k * step + 1, F.lit(step))))[0]
+
+
+def global_rank(rows: DataFrame, keys: list[str], name: str, ranges: int | None = None) -> DataFrame:
+    """rows with their place, from 1, by keys, which no two rows share and none lacks.
+
+    Rows are ranked inside even ranges of the keys; a range's count, one row each, gives the offset of
+    those after it. Where the ranges end is read from the rows when the plan is made."""
+    spark = rows.sparkSession
+    ranges = ranges or max(16, min(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = rows.withColumn("_range", range_of(rows, keys, cut_points(rows, keys, ranges)))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_range").agg(F.count("*").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    return rows.withColumn("_inner", inner).join(sums, "_range").withColumn(name, F.col("_before") + F.col("_inner")).drop("_range", "_before", "_inner")
 
 
 def reuse(identifiers: DataFrame, entries: DataFrame) -> DataFrame:
@@ -112,35 +143,75 @@ SUFFIXES = "abcde"
 
 
 def citation_keys(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """rows(pos, author, year, title) with citekey: the base, then base + a…e, then base + 1, 2, …,
-    whichever first is neither in existing(key) nor given to a row before.
-
-    Bases that no other base or existing key can meet are numbered by a window. Only those that can,
-    one being another's suffixed form, are folded in order of pos, group by group of such bases."""
-    # Kept on the executors, since the search for meeting bases reads them again and again.
-    rows = rows.withColumn("base", base_key(F.col("author"), F.col("year"), F.col("title"))).persist()
-    given = rows.sparkSession.createDataFrame([], "key string") if existing is None else existing.select("key").distinct()
-    groups = meeting_bases(rows.select("base").distinct(), given)
-    n = F.row_number().over(Window.partitionBy("base").orderBy("pos"))
-    suffix = F.when(F.col("_n") == 1, "").when(F.col("_n") <= 6, F.substring(F.lit(SUFFIXES), F.col("_n") - 1, F.lit(1))).otherwise((F.col("_n") - 6).cast("string"))
-    alone = rows.join(groups.select("base"), "base", "left_anti").withColumn("_n", n).withColumn("citekey", F.concat("base", suffix)).drop("_n")
-    met = rows.join(groups, "base")
-    taken = given.select("key", F.explode(F.array_append(parents(F.col("key")), F.col("key"))).alias("base")).join(groups, "base").select(F.col("group").alias("g"), "key").distinct()
+    """rows(pos, author, year, title), whose pos is unique, with base and citekey: the base, then base + a…e,
+    then base + 1, 2, …, whichever first is neither in existing(key) nor given to a row before.
+
+    The n-th row of a base takes its n-th free suffix: where the existing keys leave gaps is known
+    beforehand, so ranks give all keys at once, however many rows share a base. Only bases of which one is
+    another's suffixed form take keys from each other by turns; such groups are folded in order of pos."""
+    # Only places and bases are looked at again and again; the executors keep them, the rest is joined once.
+    light = rows.select("pos", base_key(F.col("author"), F.col("year"), F.col("title")).alias("base")).persist()
+    groups = meeting_bases(light.select("base").distinct())
+    at = ranked_within(light.join(groups.select("base"), "base", "left_anti").select("base", "pos"), "base", "pos", "_n")
+    given = None
+    if existing is not None:
+        given = existing.select("key").distinct().select("key", F.explode(F.array_append(parents(F.col("key")), F.col("key"))).alias("base"))
+        at = free_places(at, given)
+    alone = at.select("pos", "base", F.concat("base", suffix(F.col("_n"))).alias("citekey"))
+    met = light.join(groups, "base")
     schema = "pos long, citekey string"
 
-    def fold(here, there):
-        used, out = set(there["key"]), []
+    def fold(here, there=None):
+        used, at, out = set() if there is None else set(there["key"]), {}, []
         for base in here.sort_values("pos")["base"]:
-            k = 0
+            # What is taken stays taken, so a base's search goes on where it ended.
+            k = at.get(base, 0)
             while (key := base + ("" if not k else SUFFIXES[k - 1] if k <= 5 else str(k - 5))) in used:
                 k += 1
+            at[base] = k + 1
             used.add(key)
             out.append(key)
         return here.sort_values("pos")[["pos"]].assign(citekey=out)
 
-    folded = met.select("group", F.col("pos").cast("long").alias("pos"), "base").groupBy("group").cogroup(taken.groupBy("g")).applyInPandas(fold, schema)
+    asked = met.select("group", F.col("pos").cast("long").alias("pos"), "base").groupBy("group")
+    if given is None:
+        folded = asked.applyInPandas(lambda here: fold(here), schema)
+    else:
+        taken = given.join(groups, "base").select(F.col("group").alias("g"), "key").distinct()
+        folded = asked.cogroup(taken.groupBy("g")).applyInPandas(lambda here, there: fold(here, there), schema)
     kind = rows.schema["pos"].dataType
-    return alone.unionByName(met.drop("group").join(folded.withColumn("pos", F.col("pos").cast(kind)), "pos"))
+    folded = met.select("pos", "base").join(folded.withColumn("pos", F.col("pos").cast(kind)), "pos")
+    return rows.join(alone.unionByName(folded), "pos")
+
+
+def suffix(place: Column) -> Column:
+    """The suffix at a place from 0: none, a letter, or a number."""
+    return F.when(place == 0, "").when(place <= 5, F.substring(F.lit(SUFFIXES), place.cast("int"), F.lit(1))).otherwise((place - 5).cast("string"))
+
+
+def ranked_within(rows: DataFrame, by: str, order: str, name: str, width: int = 16) -> DataFrame:
+    """rows with their place from 0 by `order`, an integer, among those that agree on `by`. Places are
+    counted inside ranges of the order and then over the ranges, so no task has all rows of one value."""
+    rows = rows.withColumn("_range", F.shiftright(F.col(order).cast("long"), width))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(by, "_range").agg(F.count("*").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    inner = F.row_number().over(Window.partitionBy(by, "_range").orderBy(order)) - 1
+    return rows.withColumn("_inner", inner).join(sums, [by, "_range"]).withColumn(name, F.col("_before") + F.col("_inner")).drop("_range", "_before", "_inner")
+
+
+def free_places(at: DataFrame, given: DataFrame) -> DataFrame:
+    """at(base, pos, _n) with _n, a row's place among its base's rows, made its place among those suffixes
+    that given(base, key) leaves free.
+
+    The j-th taken suffix at place t has t - j free ones before it. So taken suffixes and rows, in order
+    of the free ones before them, stand as they stand in the sequence of all suffixes."""
+    rest = F.substring("key", F.length("base") + 1, F.length("key"))
+    number = F.when(rest.rlike("^[1-9][0-9]{0,17}$"), rest.try_cast("long") + 5)
+    letter = F.when(rest.rlike(f"^[{SUFFIXES}]$"), F.instr(F.lit(SUFFIXES), rest).cast("long"))
+    taken = given.join(at.select("base").distinct(), "base", "left_semi").select("base", F.when(rest == "", F.lit(0).cast("long")).otherwise(F.coalesce(letter, number)).alias("t")).where("t is not null").distinct()
+    gaps = ranked_within(taken, "base", "t", "_j").select("base", F.lit(None).cast(at.schema["pos"].dataType).alias("pos"), ((F.col("t") - F.col("_j")) * 2).alias("v"))
+    every = gaps.union(at.select("base", "pos", (F.col("_n") * 2 + 1).alias("v")))
+    return ranked_within(every, "base", "v", "_n").where("pos is not null").select("base", "pos", "_n")
 
 
 def parents(key: Column) -> Column:
@@ -151,21 +222,15 @@ def parents(key: Column) -> Column:
     return F.concat(numbered, F.when(key.rlike(f"[{SUFFIXES}]$"), F.array(cut(F.lit(1)))).otherwise(F.array().cast("array<string>")))
 
 
-def meeting_bases(bases: DataFrame, given: DataFrame) -> DataFrame:
-    """(base, group) of the bases that meet another or a given key; a group is named by its shortest
-    base. Chains of suffixes are followed up, one step a round: their length is that of a key."""
-    up = bases.select("base", F.explode(parents(F.col("base"))).alias("to")).join(bases.select(F.col("base").alias("to")), "to")
-    hit = given.select(F.explode(F.array_append(parents(F.col("key")), F.col("key"))).alias("base")).join(bases, "base", "left_semi").distinct()
-    top = up.groupBy("base").agg(F.min("to").alias("group"))
-    while True:
-        above = top.select(F.col("base").alias("group"), F.col("group").alias("over"))
-        further = top.join(above, "group", "left").select("base", F.coalesce("over", "group").alias("group"), F.col("over").isNotNull().alias("more"))
-        if not further.where("more").limit(1).count():
-            break
-        top = further.select("base", "group")
-    every = top.union(top.select(F.col("group").alias("base"), "group")).union(hit.select("base", F.col("base").alias("group")))
-    # Rows of a base that both meets another and is hit by a given key belong to the shorter's group.
-    return every.groupBy("base").agg(F.min("group").alias("group"))
+def meeting_bases(bases: DataFrame) -> DataFrame:
+    """(base, group) of the bases that suffixes can lead to from another base, and of those; a group is named
+    by its shortest base. What suffixes add to a base are letters of theirs and digits, so a base's
+    forebears are among its beginnings that only such stand behind."""
+    tail = F.length(F.regexp_extract("base", f"([{SUFFIXES}0-9]*)$", 1))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(tail, F.lit(1))), lambda n: F.substring("base", F.lit(1), F.length("base") - n))
+    up = bases.where(tail > 0).select("base", F.explode(above).alias("to")).join(bases.select(F.col("base").alias("to")), "to")
+    top = up.groupBy("base").agg(F.min_by("to", F.length("to")).alias("group"))
+    return top.union(top.select(F.col("group").alias("base"), "group").distinct())
 
 
 def set_field(entries: DataFrame, name: str, value: Column) -> DataFrame:
@@ -201,8 +266,4 @@ def duplicate_groups(entries: DataFrame) -> DataFrame:
 
 def ordered_duplicates(entries: DataFrame) -> DataFrame:
     """duplicate_pairs with `place`, from 1 by (key1, key2), as a report lists them."""
-    pairs = duplicate_pairs(entries)
-    before = Window.orderBy("key1").rowsBetween(Window.unboundedPreceding, -1)
-    sums = pairs.groupBy("key1").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inner = F.row_number().over(Window.partitionBy("key1").orderBy("key2"))
-    return pairs.join(sums, "key1").select("key1", "key2", (F.col("_before") + inner).alias("place"))
+    return global_rank(duplicate_pairs(entries), ["key1", "key2"], "place")

@@ -4,7 +4,7 @@ lookaround and knows ASCII words only, so word limits are spelled out."""
 from __future__ import annotations
 
 from ..functions import rules
-from .queries import ENTRY, LIBRARY, MADE, PARTS
+from .queries import ENTRY, KEYS, LIBRARY, MADE, PARTS
 
 W = r"\pL\pN_"
 
@@ -168,6 +168,12 @@ SELECT k AS p_partkey, CASE WHEN k % 4 = 0 AND j = '' THEN 'arXiv:2511.05763' ||
     out["q_citation_key"] = r"""WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN '2024' ELSE (1990 + doc_id % 3)::VARCHAR END AS y, list_filter(regexp_split_to_array(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN lang ELSE text END, '[{}''".,;:]', '', 'g'), '\s+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT doc_id, regexp_replace(source || y || CASE WHEN len(w) >= 2 THEN w[1] || left(w[2], 3) WHEN len(w) = 1 THEN left(w[1], 7) ELSE 'Paper' END, '[^a-zA-Z0-9]', '', 'g') AS base FROM d),
 n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS n FROM b) SELECT doc_id, base || CASE WHEN n = 1 THEN '' WHEN n <= 6 THEN substr('abcde', (n - 1)::INT, 1) ELSE (n - 6)::VARCHAR END AS citekey FROM n"""
+    out["q_citation_key_gaps"] = f"""WITH d AS (SELECT doc_id, source || {KEYS["year"]} || lang AS base, {KEYS["end"]} AS tail FROM documents),
+t AS (SELECT DISTINCT base, CASE WHEN tail = '' THEN 0 WHEN tail = 'c' THEN 3 WHEN tail IN ('x', '0') THEN -1 ELSE tail::BIGINT + 5 END AS p FROM d),
+n AS (SELECT doc_id, base, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS n FROM d),
+s AS (SELECT base, unnest(generate_series(0, count(*) + 60)) AS p FROM d GROUP BY base),
+f AS (SELECT s.base, s.p, row_number() OVER (PARTITION BY s.base ORDER BY s.p) AS n FROM s LEFT JOIN t ON t.base = s.base AND t.p = s.p WHERE t.p IS NULL)
+SELECT doc_id, base || CASE WHEN p = 0 THEN '' WHEN p <= 5 THEN substr('abcde', p::INT, 1) ELSE (p - 5)::VARCHAR END AS citekey FROM n JOIN f USING (base, n)"""
     pad = ", ".join(f"CASE WHEN {x} <> '' THEN '  {n.ljust(10)} = {{' || {x} || '}}' END" for n, x in PARTS.items())
     out["q_bibtex_build"] = f"SELECT p_partkey, '@article{{k-' || p_partkey || ',' || chr(10) || array_to_string(list_filter([{pad}], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '}}' AS content FROM part"
     out["q_bibtex_roundtrip"] = "SELECT p_partkey, 0 AS pos, 'article' AS type, 'k-' || p_partkey AS key, " + ", ".join(f"{x} AS {n}" for n, x in PARTS.items()) + " FROM part"

@@ -202,6 +202,15 @@ def q_citation_key(spark, sf):
     return L.citation_keys(rows).select(F.col("pos").alias("doc_id"), "citekey")
 
 
+#: Bases of keys, and keys that a library has of them: some with suffixes, some with ends that are none.
+KEYS = {"year": "CAST(1990 + doc_id % 3 AS STRING)", "end": "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'c' WHEN 2 THEN CAST(doc_id % 50 AS STRING) ELSE 'x' END"}
+
+
+def q_citation_key_gaps(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("author"), F.expr(KEYS["year"]).alias("year"), F.col("lang").alias("title"), F.expr(KEYS["end"]).alias("end"))
+    return L.citation_keys(rows.drop("end"), rows.select(F.concat("author", "year", "title", "end").alias("key"))).select(F.col("pos").alias("doc_id"), "citekey")
+
+
 PARTS = {"author": "p_brand", "title": "concat('{', p_name, '} of ', p_type)", "year": "CAST(1950 + p_size AS STRING)", "doi": "concat('10.', CAST(p_partkey AS STRING), '/x')", "abstract": "CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_type END"}
 
 

@@ -151,7 +151,7 @@ def test_first_source(spark):
 def sequential(bases, existing):
     used, out = set(existing), []
     for b in bases:
-        for s in ["", *"abcde", *map(str, range(1, 999))]:
+        for s in ["", *"abcde", *map(str, range(1, 9999))]:
             if b + s not in used:
                 break
         used.add(b + s)
@@ -189,3 +189,46 @@ def test_an_order_that_is_no_integer_is_an_error(spark):
     lib = spark.createDataFrame([(0, "a", "x")], "pos int, key string, cite_order string")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         L.in_cite_order(lib).collect()
+
+
+def test_free_suffixes_of_one_base(spark, monkeypatch):
+    """One base holds all rows, and existing keys leave gaps; places are counted in many ranges."""
+    import random
+
+    r = random.Random(7)
+    n = 3000
+    existing = sorted({"Doe2001X" + x for x in ["", "c", "e", "01", "0", "f", *[str(r.randrange(1, 2500)) for _ in range(400)]]})
+    rows = spark.createDataFrame([(i * 3, "Doe, J", "2001", "X") for i in range(n)], "pos long, author string, year string, title string")
+    narrow = L.ranked_within
+    monkeypatch.setattr(L, "ranked_within", lambda *a: narrow(*a, width=6))
+    got = {x.pos: x.citekey for x in L.citation_keys(rows, spark.createDataFrame([(x,) for x in existing], "key string")).collect()}
+    assert got == dict(zip(range(0, 3 * n, 3), sequential(["Doe2001X"] * n, existing), strict=True))
+
+
+def test_meeting_bases_without_existing_keys(spark):
+    titles = ["X", "X1", "X1", "Xa", "X", "X", "X1b", "Y"] * 5
+    rows = spark.createDataFrame([(i, "Doe, J", "2001", t) for i, t in enumerate(titles)], "pos int, author string, year string, title string")
+    assert {x.pos: x.citekey for x in L.citation_keys(rows).collect()} == dict(enumerate(sequential([f"Doe2001{t}" for t in titles], [])))
+
+
+def test_global_ranks(spark):
+    """Ties, one order that holds most rows, and text keys, in many ranges."""
+    import random
+
+    r = random.Random(5)
+    rows = [(r.choice((7, 7, 7, r.randrange(10**6))), f"k{r.randrange(5000)}é", i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "a int, k string, i int")
+    for keys, want in ((["a", "i"], sorted((a, i) for a, _, i in rows)), (["k", "i"], sorted((k.encode(), i) for _, k, i in rows))):
+        got = {x.i: x.place for x in L.global_rank(df, keys, "place", ranges=37).collect()}
+        assert got == {i: n for n, (_, i) in enumerate(want, 1)}
+    assert L.global_rank(df.where("false"), ["a"], "place").collect() == []
+
+
+def test_ranges_of_a_global_rank_are_even(spark):
+    """At 10**6 distinct orders no task gets more than twice the median."""
+    import statistics
+
+    df = spark.range(1_000_000).select((F.col("id") * F.col("id") % 1_000_003).alias("a"), F.col("id").alias("pos"))
+    cuts = L.cut_points(df, ["a", "pos"], 64)
+    sizes = [x["count"] for x in df.withColumn("r", L.range_of(df, ["a", "pos"], cuts)).groupBy("r").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 2 * statistics.median(sizes)
