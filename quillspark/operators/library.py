@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import exact_unions
 from ..functions.identifiers import abbreviate, author_key, clean_doi, normalize_url, title_for_bibtex, title_key
 
 
@@ -149,6 +150,7 @@ def citation_keys(rows: DataFrame, existing: DataFrame | None = None) -> DataFra
     The n-th row of a base takes its n-th free suffix: where the existing keys leave gaps is known
     beforehand, so ranks give all keys at once, however many rows share a base. Only bases of which one is
     another's suffixed form take keys from each other by turns; such groups are folded in order of pos."""
+    exact_unions(rows.sparkSession)
     # Only places and bases are looked at again and again; the executors keep them, the rest is joined once.
     light = rows.select("pos", base_key(F.col("author"), F.col("year"), F.col("title")).alias("base")).persist()
     groups = meeting_bases(light.select("base").distinct())
