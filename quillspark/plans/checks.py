@@ -149,12 +149,14 @@ f AS (SELECT *, CASE WHEN n_anc > 0 AND anchor_matches = 0 THEN 0 ELSE round(ov
     weights = " ".join(f"+ CASE WHEN regexp_matches(lower(s), {quote(limits(p))}) THEN {w}::DOUBLE ELSE 0 END" for p, w in (*rules.CONTRIBUTION, *rules.BACKGROUND))
     back = " OR ".join(f"regexp_matches(lower(s), {quote(limits(p))})" for p, _ in rules.BACKGROUND)
     tt = f"list_distinct(list_filter({bounded('lower(t)', '/', '/')}, lambda x: length(x) > 2 AND x NOT IN {words_in(rules.TITLE_STOP_WORDS)}))"
-    out["q_best_evidence"] = rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'the and of' ELSE concat('This study of ', source) END AS t, CASE WHEN doc_id % 11 = 0 THEN '' ELSE {plain('text')} END AS a FROM documents),
-x AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(a, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda y: trim(y)), lambda y: y <> '') AS p FROM d),
-s AS (SELECT doc_id, t, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS i FROM x),
-r AS (SELECT *, len(regexp_split_to_array(s, '\s+')) AS n, (0::DOUBLE {weights} - CASE WHEN i = 0 AND ({back}) THEN 1.0::DOUBLE ELSE 0 END + least(0.35::DOUBLE * len(list_intersect(list_distinct({bounded('lower(s)', '/', '/')}), {tt})), 2.0::DOUBLE)) AS z FROM s),
-b AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY z + CASE WHEN n BETWEEN 8 AND 35 THEN 0.4::DOUBLE WHEN n < 5 THEN -0.8::DOUBLE ELSE 0 END DESC, i) AS k FROM r) WHERE k = 1)
-SELECT doc_id, coalesce(s, t) AS best_evidence, CASE WHEN s IS NULL THEN t WHEN contains(lower(s), lower(t)) THEN s ELSE t || '. ' || s END AS reference_note FROM d LEFT JOIN b USING (doc_id)"""
+    evidence = rf"""ex AS (SELECT {{key}}, t, list_filter(list_transform(string_split(regexp_replace(a, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda y: trim(y)), lambda y: y <> '') AS p FROM ed),
+es AS (SELECT {{key}}, t, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS i FROM ex),
+er AS (SELECT *, len(regexp_split_to_array(s, '\s+')) AS n, (0::DOUBLE {weights} - CASE WHEN i = 0 AND ({back}) THEN 1.0::DOUBLE ELSE 0 END + least(0.35::DOUBLE * len(list_intersect(list_distinct({bounded('lower(s)', '/', '/')}), {tt})), 2.0::DOUBLE)) AS z FROM es),
+eb AS (SELECT {{key}}, s FROM (SELECT *, row_number() OVER (PARTITION BY {{key}} ORDER BY z + CASE WHEN n BETWEEN 8 AND 35 THEN 0.4::DOUBLE WHEN n < 5 THEN -0.8::DOUBLE ELSE 0 END DESC, i) AS k FROM er) WHERE k = 1)"""
+    noted = "coalesce(s, t) AS best_evidence, CASE WHEN s IS NULL THEN t WHEN contains(lower(s), lower(t)) OR t = '' THEN s ELSE t || '. ' || s END AS reference_note"
+    out["q_best_evidence"] = rf"""WITH ed AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'the and of' ELSE concat('This study of ', source) END AS t, CASE WHEN doc_id % 11 = 0 THEN '' ELSE {plain('text')} END AS a FROM documents),
+{evidence.replace("{key}", "doc_id")}
+SELECT doc_id, {noted} FROM ed LEFT JOIN eb USING (doc_id)"""
     out["q_source_fallback"] = "WITH r AS (SELECT doc_id, 0 AS tier, 'local' AS name FROM labels UNION ALL SELECT doc_id, 1, source FROM documents WHERE n_chars > 2000 UNION ALL SELECT doc_id, 2, lang FROM documents) SELECT * FROM r QUALIFY tier = min(tier) OVER (PARTITION BY doc_id)"
     out["q_inverted_index"] = "SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations"
     lacks = lambda n: f"(o_orderkey % {n} < 2)"
@@ -182,11 +184,11 @@ SELECT doc_id, base || CASE WHEN p = 0 THEN '' WHEN p <= 5 THEN substr('abcde',
     out["q_json_works"] = "SELECT doc_id, '10.1/' || doc_id AS doi, text AS title, source || ', ' || lang || ' and Solo' AS authors, CASE WHEN doc_id % 2 = 0 THEN '2001' ELSE (1990 + doc_id % 30)::VARCHAR END AS year FROM documents"
     out["q_html_meta"] = "SELECT doc_id, 'Doe, J and ' || lang AS author, 'A & ' || source AS title, '2024' AS year, 'https://arxiv.org/abs/' || source AS url FROM documents"
     out["q_xml_authors"] = "SELECT doc_id, lang || ' King, Ada and Plato' AS author, source AS title, '2023' AS year, lang AS eprint FROM documents"
-    out |= commands(scored, made_docs)
+    out |= commands(scored, made_docs, evidence, noted)
     return out
 
 
-def commands(scored: str, made_docs: str) -> dict[str, str]:
+def commands(scored: str, made_docs: str, evidence: str, noted: str) -> dict[str, str]:
     """scored: CTEs whose last, f, has the score of every sentence and candidate."""
     out, lib = {}, LIBRARY
     shelf = f"lib AS (SELECT c_custkey AS pos, {lib['key']} AS key, {lib['doi']} AS doi FROM customer WHERE c_custkey % 3 > 0), orig AS (SELECT {lib['key']} AS key, nullif(CASE WHEN trim(w) LIKE 'http%' THEN regexp_extract(w, '10[.].*$') WHEN trim(w) LIKE 'doi:%' THEN trim(substr(trim(w), 5)) ELSE trim(w) END, '') AS doi FROM (SELECT c_custkey, {lib['written']} AS w FROM customer))"
@@ -235,9 +237,16 @@ own AS (SELECT sent_id, pos, cite_key, doi, 'local-bib' AS source, score, row_nu
 far AS (SELECT *, (pos // 10 % 3)::INT AS tier FROM g WHERE pos % 2 = 1 AND pos % 10 = sent_id % 10 AND sent_id NOT IN (SELECT sent_id FROM own) QUALIFY row_number() OVER (PARTITION BY sent_id, tier ORDER BY pos) <= 6),
 one AS (SELECT * FROM far WHERE doi NOT LIKE '%arxiv%' QUALIFY tier = min(tier) OVER (PARTITION BY sent_id)),
 best AS (SELECT sent_id, pos, cite_key, doi, CASE tier WHEN 0 THEN 'CrossRef' WHEN 1 THEN 'openalex' ELSE 'semantic-scholar' END AS source, score, row_number() OVER (PARTITION BY sent_id ORDER BY score DESC, pos) AS rank FROM one WHERE score > 0),
-every AS (SELECT * FROM own WHERE rank <= 3 UNION ALL SELECT * FROM best WHERE rank <= 3)"""
-    out["q_suggest"] = f"{found} SELECT sent_id, cite_key, source, score, rank FROM every"
-    out["q_suggest_final"] = f"{found}, {shelf} SELECT sent_id, coalesce(lib.key, cite_key) AS cite_key, source, score, rank FROM every LEFT JOIN lib ON every.doi <> '' AND every.doi = lib.doi WHERE lib.key IS NOT NULL OR every.doi = '' AND source = 'local-bib'"
+every AS (SELECT * FROM own WHERE rank <= 3 UNION ALL SELECT * FROM best WHERE rank <= 3),
+ed AS (SELECT pos, {plain('title')} AS t, {plain('abstract')} AS a FROM cand), {evidence.replace("{key}", "pos")},
+note AS (SELECT pos, {noted} FROM ed LEFT JOIN eb USING (pos))"""
+    cite = "CASE WHEN every.doi = '' THEN CASE WHEN source = 'local-bib' THEN 'J (2020)' ELSE '' END WHEN every.doi LIKE '%arxiv%' THEN '' WHEN pos % 3 > 0 OR pos % 12 = 0 THEN 'Nano Lett. ' || pos || CASE WHEN pos % 2 = 0 THEN ', 12' ELSE '' END || ' (2021)' ELSE '' END"
+    shown = "source, score, rank, best_evidence, reference_note, " + cite + " AS inline_citation"
+    out["q_suggest"] = f"{found} SELECT sent_id, cite_key, {shown} FROM every JOIN note USING (pos)"
+    out["q_suggest_final"] = f"{found}, {shelf} SELECT sent_id, coalesce(lib.key, cite_key) AS cite_key, {shown} FROM every JOIN note USING (pos) LEFT JOIN lib ON every.doi <> '' AND every.doi = lib.doi WHERE lib.key IS NOT NULL OR every.doi = '' AND source = 'local-bib'"
+    judged = need(sents("text", "doc_id", f"(SELECT doc_id, {MADE['anchored']} AS text FROM documents)"))
+    asked = f"WITH {judged}, sent AS (SELECT doc_id * 1000000 + idx AS sent_id, sentence FROM s4 WHERE confidence >= 0.3 AND len({cites('sentence')}) = 0)"
+    out["q_audit_suggest"] = f"{asked}{found[found.index(chr(10)) - 1 :]} SELECT sent_id // 1000000 AS doc_id, sent_id % 1000000 AS idx, rank - 1 AS place, title, every.doi AS doi, {shown.partition('rank, ')[2]} FROM (SELECT * FROM own WHERE rank <= 3) AS every JOIN note USING (pos) JOIN cand USING (pos) WHERE sent_id IN (SELECT sent_id FROM st WHERE len(terms) > 0)"
     docs = f"(SELECT doc_id, text FROM (SELECT doc_id, {MADE['cited']} AS text FROM documents))"
     judged = f"{need(sents('text', 'doc_id', docs))}, c AS (SELECT doc_id, idx, sentence, confidence, tags, len({cites('sentence')}) > 0 AS has FROM s4)"
     out["q_report_json"] = f"WITH {judged} SELECT doc_id, count(*) AS total_sentences, count(*) FILTER (NOT has AND confidence >= 0.3) AS sentences_needing_citation, count(*) FILTER (has) AS sentences_with_citations, count(*) FILTER (NOT has AND confidence < 0.3) AS sentences_ok, count(*) AS n, arg_min(sentence, idx) AS first FROM c GROUP BY doc_id"

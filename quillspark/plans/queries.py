@@ -429,20 +429,33 @@ def suggestions(spark, sf):
     sents = table(spark, sf, "documents").select(F.col("doc_id").alias("sent_id"), made("anchored").alias("sentence"))
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("pos"), F.expr("concat('b', CAST(item_id AS STRING))").alias("cite_key"), F.expr("CASE item_id % 4 WHEN 0 THEN 'Acoustic modes of a phonon' WHEN 1 THEN 'A qubit at 3.2 K' ELSE '' END").alias("title"), F.col("text").alias("abstract"), F.lit("J").alias("journal"), F.lit("A").alias("authors"), F.lit("2020").alias("year"), F.expr("CASE item_id % 7 WHEN 0 THEN '10.48550/arxiv.1' WHEN 1 THEN '' ELSE concat('10.7000/c', CAST(item_id AS STRING)) END").alias("doi"))
     far = sents.select("sent_id", (F.col("sent_id") % 10).alias("d")).join(items.where("pos % 2 = 1").withColumn("d", F.col("pos") % 10), "d").drop("d")
-    far = far.withColumn("tier", F.expr("CAST(pos DIV 10 % 3 AS INT)")).withColumn("source", F.expr("CASE tier WHEN 0 THEN 'CrossRef' WHEN 1 THEN 'openalex' ELSE 'semantic-scholar' END"))
-    return sents, items.where("pos % 2 = 0 AND pos % 6 = 0").withColumn("source", F.lit("local-bib")), far
+    # A registry's rows are numbered for each sentence, so one number is another work for another sentence.
+    far = far.withColumn("pos", F.expr("pos DIV 10")).withColumn("tier", F.expr("CAST(pos % 3 AS INT)")).withColumn("source", F.expr("CASE tier WHEN 0 THEN 'CrossRef' WHEN 1 THEN 'openalex' ELSE 'semantic-scholar' END"))
+    works = items.where("(pos % 3 > 0 OR pos % 12 = 0) AND pos % 7 > 0").select(F.upper("doi").alias("doi"), F.lit("Nano Lett.").alias("journal"), F.expr("CAST(pos AS STRING)").alias("volume"), F.expr("CASE WHEN pos % 2 = 0 THEN '12' ELSE '' END").alias("pages"), F.lit("2021").alias("year"), F.lit("").alias("eprint"))
+    return sents, items.where("pos % 2 = 0 AND pos % 6 = 0").withColumn("source", F.lit("local-bib")), far, works
+
+
+SUGGESTION = ["cite_key", "source", "score", "rank", "best_evidence", "reference_note", "inline_citation"]
 
 
 def q_suggest(spark, sf):
-    sents, local, far = suggestions(spark, sf)
-    return W.suggest(sents, local, far).select("sent_id", "cite_key", "source", "score", "rank")
+    sents, local, far, works = suggestions(spark, sf)
+    return W.suggest(sents, local, far, works=works).select("sent_id", *SUGGESTION)
 
 
 def q_suggest_final(spark, sf):
-    sents, local, far = suggestions(spark, sf)
+    sents, local, far, works = suggestions(spark, sf)
     lib, _ = shelf(spark, sf)
     finals = lib.where("doi <> ''").select("doi", "key", F.lit("existing").alias("status"))
-    return W.suggest(sents, local, far, finals=finals).select("sent_id", "cite_key", "source", "score", "rank")
+    return W.suggest(sents, local, far, finals=finals, works=works).select("sent_id", *SUGGESTION)
+
+
+def q_audit_suggest(spark, sf):
+    """The audit of all documents with the library's suggestions, a row a suggestion."""
+    _, local, _, works = suggestions(spark, sf)
+    docs = table(spark, sf, "documents").select("doc_id", made("anchored").alias("text"))
+    rows = W.audited(docs, "doc_id", local, works=works).select("doc_id", F.col("idx").cast("long").alias("idx"), F.posexplode("suggestions").alias("place", "s"))
+    return rows.select("doc_id", "idx", F.col("place").cast("long").alias("place"), "s.title", "s.doi", "s.best_evidence", "s.reference_note", "s.inline_citation")
 
 
 def q_report(spark, sf):

@@ -90,16 +90,23 @@ def extract(identifiers: DataFrame, library: DataFrame, payloads: DataFrame) ->
     first the new key."""
     have = L.reuse(identifiers, library)
     rows = identifiers.join(have, "id", "left").withColumn("route", I.route(F.col("id")))
-    rows = rows.select("pos", "id", F.col("key").alias("have"), F.col("route.source").alias("source"), F.col("route.id").alias("ref"))
-    meta = payloads.dropDuplicates(["source", "id"]).withColumnRenamed("id", "ref")
-    found = rows.where("have is null").join(meta, ["source", "ref"])
-    first = found.groupBy("source", "ref").agg(F.min("pos").alias("pos")).select("pos")
-    new = L.citation_keys(entry_fields(found.join(first, "pos", "left_semi").drop("have")), library).select("source", "ref", "citekey")
-    out = rows.join(new, ["source", "ref"], "left")
+    rows = rows.select("pos", "id", F.col("key").alias("have"), F.col("route.source").alias("source"), F.col("route.id").alias("ref"), F.lower("route.id").alias("_ref"))
+    meta = one_payload(payloads).withColumnRenamed("id", "_ref")
+    found = rows.where("have is null").drop("ref").join(meta, ["source", "_ref"])
+    first = found.groupBy("source", "_ref").agg(F.min("pos").alias("pos")).select("pos")
+    new = L.citation_keys(entry_fields(found.join(first, "pos", "left_semi").drop("have")), library).select("source", "_ref", "citekey")
+    out = rows.join(new, ["source", "_ref"], "left")
     status = F.when(F.col("have").isNotNull(), "existing").when(F.col("citekey").isNotNull(), "added").otherwise("failed")
     return out.select("pos", "id", "source", "ref", status.alias("status"), F.coalesce("have", "citekey").alias("key"))
 
 
+def one_payload(payloads: DataFrame) -> DataFrame:
+    """One payload a source and id, in lower case, since registries' ids are the same in any; of several
+    always the same one."""
+    rest = [c for c in payloads.columns if c not in ("source", "id")]
+    return payloads.groupBy("source", F.lower("id").alias("id")).agg(F.min(F.struct(*rest)).alias("_p")).select("source", "id", "_p.*")
+
+
 def batch_counts(extracted: DataFrame) -> DataFrame:
     """(successful, failed) of an extraction."""
     return extracted.agg(F.count_if(F.col("status") != "failed").alias("successful"), F.count_if(F.col("status") == "failed").alias("failed"))
@@ -107,10 +114,10 @@ def batch_counts(extracted: DataFrame) -> DataFrame:
 
 def with_extracted(extracted: DataFrame, library: DataFrame, payloads: DataFrame) -> DataFrame:
     """The library after an extraction: its entries, then the added ones in order of pos, each once."""
-    fresh = extracted.where("status = 'added'").groupBy("source", "ref", "key").agg(F.min("pos").alias("at"))
-    fresh = entry_fields(fresh.join(payloads.dropDuplicates(["source", "id"]).withColumnRenamed("id", "ref"), ["source", "ref"]))
+    fresh = extracted.where("status = 'added'").groupBy("source", F.lower("ref").alias("_ref"), "key").agg(F.min("pos").alias("at"))
+    fresh = entry_fields(fresh.join(one_payload(payloads).withColumnRenamed("id", "_ref"), ["source", "_ref"]))
     last = F.broadcast(library.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("_last")))
-    fresh = fresh.join(last).withColumn("pos", F.col("_last") + 1 + F.col("at")).drop("_last", "at", "source", "ref")
+    fresh = fresh.join(last).withColumn("pos", F.col("_last") + 1 + F.col("at")).drop("_last", "at", "source", "_ref")
     return library.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -122,29 +129,59 @@ def finalised(dois: DataFrame, library: DataFrame, payloads: DataFrame) -> DataF
     return extract(ids, library, payloads).select(F.col("id").alias("doi"), "key", "status")
 
 
-def suggest(sentences: DataFrame, local: DataFrame, found: DataFrame, most: int = 3, allow_arxiv: bool = False, finals: DataFrame | None = None) -> DataFrame:
+def suggest(sentences: DataFrame, local: DataFrame, found: DataFrame | None = None, most: int = 3, allow_arxiv: bool = False, finals: DataFrame | None = None, works: DataFrame | None = None) -> DataFrame:
     """Suggestions for sentences(sent_id, sentence): sent_id, source, pos, cite_key, doi, title, authors,
-    year, score and rank, the best evidence and a note of each reference.
+    year, score and rank, the best evidence, a note and the inline citation of each reference.
 
     local: candidates of the library. A sentence that none of them answers gets, from found(sent_id,
     tier, source, pos, cite_key, doi, title, authors, year, abstract, journal), the rows of the first
-    registry that has any once preprints are out. finals: `finalised` of the found DOIs, if suggestions
-    must be entries; then those with another DOI, and found ones without any, are dropped."""
-    columns = ["pos", "cite_key", "doi", "title", "authors", "year", "abstract", "journal", "source"]
+    registry that has any once preprints are out; pos is their order for that sentence. finals: `finalised`
+    of the found DOIs, if suggestions must be entries; then those with another DOI, and found ones without
+    any, are dropped. works(doi, journal, volume, pages, year, eprint): what DOIs are cited by; an entry of
+    the library without a DOI is cited by its own fields, and what neither has by nothing."""
+    columns = ["pos", "cite_key", "doi", "title", "authors", "year", "abstract", "journal", "source", *CITED]
+    local = local.select("*", *[F.lit("").alias(c) for c in CITED if c not in local.columns])
     own = M.rank(sentences, local, most).select("sent_id", "pos", "score", "rank").join(local.select(*columns), "pos")
-    rest = sentences.join(own.select("sent_id").distinct(), "sent_id", "left_anti")
-    far = fetched(found, most)
-    far = M.first_source(far if allow_arxiv else without_arxiv(far), "sent_id", "tier").drop("tier")
-    ranks = M.rank_given(rest, far, most).select("sent_id", "pos", "score", "rank")
-    out = own.select("sent_id", "score", "rank", *columns).unionByName(ranks.join(far, ["sent_id", "pos"]).select("sent_id", "score", "rank", *columns))
+    out = own.select("sent_id", "score", "rank", *columns)
+    if found is not None:
+        rest = sentences.join(own.select("sent_id").distinct(), "sent_id", "left_anti")
+        far = fetched(found, most)
+        far = M.first_source(far if allow_arxiv else without_arxiv(far), "sent_id", "tier").drop("tier", *CITED).select("*", *[F.lit("").alias(c) for c in CITED])
+        ranks = M.rank_given(rest, far, most).select("sent_id", "pos", "score", "rank")
+        out = out.unionByName(ranks.join(far, ["sent_id", "pos"]).select("sent_id", "score", "rank", *columns))
     if finals is not None:
         known = finals.where("status <> 'failed'").select("doi", F.col("key").alias("entry"))
         out = out.join(known, "doi", "left").where("entry is not null or (doi = '' and source = 'local-bib')")
         out = out.withColumn("cite_key", F.coalesce("entry", "cite_key")).drop("entry")
-    # Evidence is a reference's own, so each is read once, however many sentences it answers.
-    one = out.select("source", "pos", "title", "abstract").dropDuplicates(["source", "pos"])
-    noted = M.best_evidence(one.withColumn("pos", F.struct("source", "pos"))).select("pos.*", "best_evidence", "reference_note")
-    return out.drop("abstract").join(noted, ["source", "pos"], "left")
+    out = with_inline(out, works)
+    # Evidence is in a reference's own words, so equal texts are read once, whatever they answer.
+    out = out.withColumn("_text", F.sha2(F.to_json(F.struct("title", "abstract")), 256))
+    one = out.groupBy("_text").agg(F.min("title").alias("title"), F.min("abstract").alias("abstract")).withColumnRenamed("_text", "pos")
+    noted = M.best_evidence(one).withColumnRenamed("pos", "_text")
+    return out.drop("abstract", *CITED).join(noted, "_text", "left").drop("_text")
+
+
+#: What an inline citation has beside journal and year.
+CITED = ("volume", "pages", "eprint")
+
+
+def with_inline(rows: DataFrame, works: DataFrame | None) -> DataFrame:
+    """rows(doi, source, journal, year, …) with inline_citation; DOIs are the same in any case."""
+    own = F.when((text(F.col("doi")) == "") & (F.col("source") == "local-bib"), inline())
+    if works is None:
+        return rows.withColumn("inline_citation", text(own))
+    one = works.where("doi <> ''").groupBy(F.lower("doi").alias("_doi")).agg(F.min(F.struct("journal", "volume", "pages", "year", "eprint")).alias("w"))
+    one = one.select("_doi", I.inline_citation({n: F.col(f"w.{n}") for n in ("journal", "volume", "pages", "year", "eprint")}).alias("_inline"))
+    return rows.join(one, F.lower("doi") == F.col("_doi"), "left").withColumn("inline_citation", text(F.coalesce("_inline", own))).drop("_doi", "_inline")
+
+
+def audited(docs: DataFrame, by: str, local: DataFrame, found: DataFrame | None = None, most: int = 3, audit_cited: bool = False, **options) -> DataFrame:
+    """The audit of docs(by, text) with suggestions for each sentence that needs a citation and has search
+    terms: audit.analyses with `suggestions`, best first. found is keyed by (by, idx); options are suggest's."""
+    rows = audit.analyses(docs, audit_cited)
+    need = rows.where("needs_citation and size(search_terms) > 0").select(F.struct(by, "idx").alias("sent_id"), "sentence")
+    far = None if found is None else found.withColumn("sent_id", F.struct(by, "idx")).drop(by, "idx")
+    return with_suggestions(rows, by, suggest(need, local, far, most, **options).select("sent_id.*", *[c for c in SUGGESTED], "rank"))
 
 
 def sync_references(bbl: DataFrame, library: DataFrame, original: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -161,8 +198,8 @@ def sync_references(bbl: DataFrame, library: DataFrame, original: DataFrame, pay
 def sync_cited(cited: DataFrame, library: DataFrame, original: DataFrame, payloads: DataFrame) -> DataFrame:
     """sync_references for cited(key, ord)."""
     lost = doi_for_keys(L.missing_refs(cited, library), original).where("doi is not null")
-    meta = payloads.where("source = 'crossref'").dropDuplicates(["id"]).drop("source")
-    new = entry_fields(lost.join(meta.drop("doi"), F.lower("doi") == F.lower("id")).drop("id"))
+    meta = one_payload(payloads.where("source = 'crossref'")).drop("source")
+    new = entry_fields(lost.join(meta.drop("doi"), F.lower("doi") == F.col("id")).drop("id"))
     # New entries stand behind the library's; among themselves their citation orders them.
     new = new.withColumn("pos", F.lit(1 << 40)).join(cited.groupBy("key").agg(F.min("ord").alias("_at")), "key").withColumn("pos", F.col("pos") + F.col("_at")).drop("_at")
     every = library.withColumn("added", F.lit(False)).unionByName(new.withColumn("added", F.lit(True)), allowMissingColumns=True)
@@ -209,13 +246,20 @@ def manage(action: str, entries: DataFrame, cited: DataFrame | None = None, libr
 
 # Reports
 
+#: What a suggestion says in a report.
+SUGGESTED = ("title", "authors", "year", "doi", "inline_citation", "best_evidence", "reference_note")
+
+
 def analysed(docs: DataFrame, by: str, suggestions: DataFrame | None = None) -> DataFrame:
     """audit.analyses of docs(by, text) with the suggestions of suggestions(by, idx, …), best first."""
-    rows = audit.analyses(docs)
-    kind = "array<struct<title:string,authors:string,year:string,doi:string,inline_citation:string,reference_note:string>>"
+    return with_suggestions(audit.analyses(docs), by, suggestions)
+
+
+def with_suggestions(rows: DataFrame, by: str, suggestions: DataFrame | None) -> DataFrame:
+    kind = f"array<struct<{','.join(f'{n}:string' for n in SUGGESTED)}>>"
     if suggestions is None:
         return rows.withColumn("suggestions", F.array().cast(kind))
-    one = F.struct("title", "authors", "year", "doi", "inline_citation", "reference_note")
+    one = F.struct(*[F.col(n) if n in suggestions.columns else F.lit("").alias(n) for n in SUGGESTED])
     lists = suggestions.groupBy(by, "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("s")))), lambda x: x["s"]).cast(kind).alias("suggestions"))
     return rows.join(lists, [by, "idx"], "left").withColumn("suggestions", F.coalesce("suggestions", F.array().cast(kind)))
 
