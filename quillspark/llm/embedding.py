@@ -13,24 +13,24 @@
    was ever compared is lost to a list's length. Inside each component of the forests' edges all
    members are compared with all, block by block: the number of links is exact there, however dense
    the component.
-5. Recall is audited: probes are compared with all rows by brute force, more and more of them until
-   enough have few links. A probe's recall counts once, whatever the number of its links, and the
-   probes with few links and those with many must each reach the aim. Where they don't, 2 to 4 run
-   again over other orders with longer lists; after the last go, or where too few probes have links
-   for an audit, all nodes are compared with all in blocks.
+5. Recall is audited after the search: a table of probes, one node in PROBE_EVERY by hash, at least
+   LEAST_PROBES and at most PROBES, is compared with all nodes in blocks. A linked probe's recall
+   counts once, whatever the number of its links, and the probes with few links and those with many
+   must each reach the aim. Where they don't, 2 to 4 run again over other orders with longer lists;
+   after the last go all nodes are compared with all in blocks. Where no probe has links there is
+   nothing to measure and the search stands: its orders are as many as lose a pair at the threshold
+   with a probability of MISS, however rare links are. `last_audit` has the figures.
 
 Results for odd rows: null and empty vectors, zero vectors and those with null or non-finite
 components have no links and a component of their own; vectors of different lengths have no cosine
-and don't link, and each length is searched by itself: the commonest and those with over SEARCHED
-nodes by NN-descent, the others by comparing all of a length; rows with equal ids are nodes of one
-component; equal vectors, however many, are one node; an empty table gives no rows; columns other
-than vec_id and embedding are not read, whatever their names.
+and don't link: runs, blocks and probes hold one length each, so that all lengths, however many, are
+searched together; rows with equal ids are nodes of one component; equal vectors, however many, are
+one node; an empty table gives no rows; columns other than vec_id and embedding are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -39,10 +39,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 
 THRESHOLD, NEIGHBOURS, LEAF, ORDERS, BLOCK, AIM, ROUNDS, GOES = 0.9, 6, 128, 3, 256, 0.98, 4, 3
-#: Bits of a code; numbers of probes, the probes of each kind that an audit wants, the links that are few; nodes in a block of the exact search.
-BITS, PROBES, LINKED, FEW, EXACT = 30, (1024, 4096, 16384), 128, 8, 1024
-#: Nodes of a length that is not the commonest, up to which they are compared with all of it.
-SEARCHED = 4096
+#: Bits of a code; nodes in a block of the audit and of the exact search; links that are few.
+BITS, EXACT, FEW = 30, 1024, 8
+#: Probability that no order brings a pair at the threshold together.
+MISS = 0.01
+#: One node in so many is a probe of the audit; the least and the most of them.
+PROBE_EVERY, LEAST_PROBES, PROBES = 50, 256, 16384
 #: entry: of a list; else an edge of a forest.
 EDGE = "a long, b long, sim double, entry boolean"
 
@@ -128,25 +130,26 @@ def entries(parts, forests) -> pa.RecordBatch:
     return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(s, pa.float64()), "entry": pa.array(entry)})
 
 
-def orders(n: int, threshold: float, miss: float = 0.01) -> int:
+def orders(n: int, threshold: float, miss: float = MISS) -> int:
     """Orders after which a pair at the threshold has shared no run with probability `miss`: it
     shares the code's first bits, as many as part n nodes into runs, and a run's ends part some."""
     same = 0.7 * (1 - np.arccos(threshold) / np.pi) ** max(0.0, np.log2(max(n, 1) / LEAF))
     return max(ORDERS, int(np.ceil(np.log(miss) / np.log(1 - same))))
 
 
-def first_lists(scratch: Scratch, nodes: DataFrame, parts: int, k: int, name: str, go: int, many: int, threshold: float) -> DataFrame:
-    """k nearest, and forests, in each run of LEAF nodes of `many` random orders."""
+def first_lists(scratch: Scratch, nodes: DataFrame, parts: int, k: int, go: int, many: int, threshold: float) -> DataFrame:
+    """k nearest, and forests, in each run of LEAF nodes of one length of `many` random orders."""
 
     def coded(s: int):
         def run(batches):
             for batch in batches:
-                if batch.num_rows:
-                    p = matrix(batch.column("x")) @ np.random.default_rng(s).standard_normal((len(batch.column("x")[0]), BITS + 1))
+                for at, x in by_length(batch.column("x")) if batch.num_rows else ():
+                    p = x @ np.random.default_rng(s).standard_normal((x.shape[1], BITS + 1))
                     code = ((p[:, :BITS] > 0) << np.arange(BITS)).sum(1)
-                    yield batch.append_column("place", pa.array(code + 1 / (1 + np.exp(-4 * p[:, BITS])), pa.float64()))
+                    place = pa.array(code + 1 / (1 + np.exp(-4 * p[:, BITS])), pa.float64())
+                    yield batch.take(pa.array(at)).append_column("place", place)
 
-        return nodes.select("rep", "x").mapInArrow(run, "rep long, x array<double>, place double")
+        return nodes.select("rep", "d", "x").mapInArrow(run, "rep long, d int, x array<double>, place double")
 
     def leaf(ids, x):
         return entries([nearest(ids, x, k)], [forest(ids, x @ x.T, threshold)])
@@ -154,21 +157,23 @@ def first_lists(scratch: Scratch, nodes: DataFrame, parts: int, k: int, name: st
     def leaves(batches):
         ids, x = np.empty(0, np.int64), None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = matrix(batch.column("x"))
-            ids, x = np.concatenate((ids, batch.column("rep").to_numpy())), new if x is None else np.concatenate((x, new))
-            while len(ids) >= 2 * LEAF:
-                yield leaf(ids[:LEAF], x[:LEAF])
-                ids, x = ids[LEAF:], x[LEAF:]
+            for at, new in by_length(batch.column("x")) if batch.num_rows else ():
+                if len(ids) and x.shape[1] != new.shape[1]:
+                    yield leaf(ids, x)
+                    ids = ids[:0]
+                x = np.concatenate((x, new)) if len(ids) else new
+                ids = np.concatenate((ids, batch.column("rep").to_numpy()[at]))
+                while len(ids) >= 2 * LEAF:
+                    yield leaf(ids[:LEAF], x[:LEAF])
+                    ids, x = ids[LEAF:], x[LEAF:]
         if len(ids) > 1:
             yield leaf(ids, x)
 
     out = None
     for t in range(many):
         # Written one by one, so that the disk holds the shuffle of one order at a time.
-        sorted_ = coded(go * 1000 + t).repartitionByRange(parts, "place").sortWithinPartitions("place")
-        got = scratch.put(sorted_.mapInArrow(leaves, EDGE), f"order{name}-{t}")
+        sorted_ = coded(go * 1000 + t).repartitionByRange(parts, "d", "place").sortWithinPartitions("d", "place")
+        got = scratch.put(sorted_.mapInArrow(leaves, EDGE), f"order{go}-{t}")
         out = got if out is None else out.union(got)
     return out
 
@@ -188,8 +193,8 @@ def descend(nodes: DataFrame, lists: DataFrame, wanted: DataFrame, parts: int, k
     back = lists.withColumn("d", draw).where(F.col("d") <= k).select(F.col("b").alias("m"), F.col("a").alias("v"))
     own = lists.withColumn("d", F.row_number().over(Window.partitionBy("a").orderBy(F.col("sim").desc(), "b"))).where(F.col("d") <= k).select(F.col("a").alias("m"), F.col("b").alias("v"))
     around = own.union(back).union(nodes.select(F.col("rep").alias("m"), F.col("rep").alias("v"))).distinct()
-    state = nodes.select(F.col("rep").alias("v"), "x").join(wanted.select(F.col("a").alias("v"), "wants", "worst"), "v", "left")
-    met = around.join(state, "v").select("m", "v", "x", F.coalesce("wants", F.lit(k)).alias("wants"), F.coalesce("worst", F.lit(-1.0)).alias("worst"))
+    state = nodes.select(F.col("rep").alias("v"), "d", "x").join(wanted.select(F.col("a").alias("v"), "wants", "worst"), "v", "left")
+    met = around.join(state, "v").select("m", "v", "d", "x", F.coalesce("wants", F.lit(k)).alias("wants"), F.coalesce("worst", F.lit(-1.0)).alias("worst"))
 
     def run(batches):
         rest = None
@@ -206,10 +211,13 @@ def descend(nodes: DataFrame, lists: DataFrame, wanted: DataFrame, parts: int, k
             yield compared(rest)
 
     def compared(t: pa.Table) -> pa.RecordBatch:
-        m, v, x, wants, worst = t["m"].to_numpy(), t["v"].to_numpy(), matrix(t["x"]), t["wants"].to_numpy(), t["worst"].to_numpy()
+        m, v, wants, worst = t["m"].to_numpy(), t["v"].to_numpy(), t["wants"].to_numpy(), t["worst"].to_numpy()
         edge = np.concatenate((np.flatnonzero(np.diff(m, prepend=m[0] - 1)), [len(m)]))
         cuts = list(zip(edge[:-1], edge[1:], strict=True))
-        return entries([nearest(v[a:b], x[a:b], wants[a:b], worst[a:b]) for a, b in cuts], [forest(v[a:b], x[a:b] @ x[a:b].T, threshold) for a, b in cuts])
+        one = len(np.unique(t["d"].to_numpy())) == 1
+        whole = matrix(t["x"]) if one else None
+        xs = [whole[a:b] if one else matrix(t["x"].slice(a, b - a)) for a, b in cuts]
+        return entries([nearest(v[a:b], x, wants[a:b], worst[a:b]) for (a, b), x in zip(cuts, xs, strict=True)], [forest(v[a:b], x @ x.T, threshold) for (a, b), x in zip(cuts, xs, strict=True)])
 
     return met.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(run, EDGE)
 
@@ -219,9 +227,15 @@ def link_counts(nodes: DataFrame, parts: DataFrame, threshold: float, n: int) ->
     sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
     placed = parts.withColumnRenamed("node", "rep").join(sizes, "component").join(nodes, "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    left = placed.select("component", F.col("chunk").alias("i"), each.alias("j"), F.lit(True).alias("left"), "rep", "many", "x")
-    right = placed.select("component", each.alias("i"), F.col("chunk").alias("j"), F.lit(False).alias("left"), "rep", "many", "x")
-    keys = ["component", "i", "j"]
+    left = placed.select(F.col("component").alias("key"), F.col("chunk").alias("i"), each.alias("j"), "rep", "many", "x")
+    right = placed.select(F.col("component").alias("key"), each.alias("i"), F.col("chunk").alias("j"), "rep", "many", "x")
+    return met_counts(left, right, threshold, n)
+
+
+def met_counts(left: DataFrame, right: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(rep, linked): rows that the left nodes' links among the right ones of their blocks (key, i, j)
+    stand for."""
+    keys = ["key", "i", "j"]
 
     def run(batches):
         rest = None
@@ -252,15 +266,15 @@ def link_counts(nodes: DataFrame, parts: DataFrame, threshold: float, n: int) ->
             sums.append(hit @ many[a + r])
         return pa.record_batch({"rep": pa.array(np.concatenate(ids), pa.int64()), "linked": pa.array(np.concatenate(sums), pa.int64())})
 
-    met = left.union(right).repartition(n, *keys).sortWithinPartitions(*keys)
+    met = left.withColumn("left", F.lit(True)).union(right.withColumn("left", F.lit(False))).repartition(n, *keys).sortWithinPartitions(*keys)
     return met.mapInArrow(run, "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
 def exact_links(nodes: DataFrame, threshold: float, n: int) -> DataFrame:
     """Forest edges (a, b) from comparing all nodes of a length with all, two blocks of EXACT nodes at
     a time."""
-    sizes = nodes.groupBy(F.size("x").alias("d")).agg(F.ceil(F.count("*") / EXACT).alias("chunks"))
-    rows = nodes.withColumn("d", F.size("x")).join(sizes, "d")
+    sizes = nodes.groupBy("d").agg(F.ceil(F.count("*") / EXACT).alias("chunks"))
+    rows = nodes.join(sizes, "d")
     met = rows.select("d", "rep", "x", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
     met = met.select("d", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "x")
 
@@ -289,78 +303,77 @@ def exact_links(nodes: DataFrame, threshold: float, n: int) -> DataFrame:
     return met.repartition(n, "d", "i", "j").sortWithinPartitions("d", "i", "j").mapInArrow(run, EDGE).select("a", "b")
 
 
-def true_links(nodes: DataFrame, threshold: float, probes: int) -> dict[int, int]:
-    """Links of a number of probes by brute force over all nodes."""
-    rows = nodes.orderBy(F.xxhash64("rep"), "rep").limit(probes).select("rep", "x").collect()
-    if not rows:
-        return {}
-    ids, q = np.array([r["rep"] for r in rows]), np.array([r["x"] for r in rows])
-
-    def run(batches):
-        total = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                rep, x, many = batch.column("rep").to_numpy(), matrix(batch.column("x")), batch.column("many").to_numpy().astype(np.float64)
-                for a in range(0, len(ids), 512):
-                    hit = (x @ q[a : a + 512].T >= threshold) & (rep[:, None] != ids[None, a : a + 512])
-                    total[a : a + 512] += (many @ hit).astype(np.int64)
-        some = np.flatnonzero(total)
-        yield pa.record_batch({"rep": pa.array(ids[some]), "n": pa.array(total[some])})
-
-    got = nodes.mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).collect()
-    return dict.fromkeys(ids.tolist(), 0) | {r["rep"]: r["n"] for r in got}
+def probes_of(nodes: DataFrame, n: int) -> DataFrame:
+    """The audit's probes: nodes by the hash of their ids, so that reruns take the same."""
+    return nodes.orderBy(F.xxhash64("rep"), "rep").limit(min(PROBES, max(LEAST_PROBES, n // PROBE_EVERY)))
 
 
-def probed(nodes: DataFrame, threshold: float, total: int) -> dict[int, int] | None:
-    """True links of the linked ones of enough probes; None where too few have any for an audit."""
-    for probes in PROBES:
-        truth = {i: n for i, n in true_links(nodes, threshold, probes).items() if n}
-        if total <= probes or sum(n < FEW for n in truth.values()) >= LINKED:
-            return truth
-    return truth if len(truth) >= LINKED else None
+def true_links(nodes: DataFrame, probes: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """(rep, linked) of the probes by brute force over all nodes of their lengths, in blocks."""
+    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks"))
+    asked = probes.groupBy("d").agg(F.ceil(F.count("*") / EXACT).alias("asked"))
+    blocks = nodes.join(asked.select("d"), "d", "left_semi").groupBy("d").agg(F.ceil(F.count("*") / EXACT).alias("blocks")).join(asked, "d")
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = probes.join(blocks, "d").withColumn("chunks", F.col("asked")).select(F.col("d").cast("long").alias("key"), chunk.alias("i"), each("blocks").alias("j"), "rep", "many", "x")
+    right = nodes.join(blocks, "d").withColumn("chunks", F.col("blocks")).select(F.col("d").cast("long").alias("key"), each("asked").alias("i"), chunk.alias("j"), "rep", "many", "x")
+    return met_counts(left, right, threshold, parts).where("linked > 0")
 
 
-def reached(truth: dict[int, int], have: dict[int, int]) -> bool:
-    """Whether the probes with few links, and those with many, have their links found."""
-    kinds = ([have.get(i, 0) / n for i, n in truth.items() if (n < FEW) == few] for few in (True, False))
-    return all(not k or np.mean(k) >= AIM for k in kinds)
+def audited(truth: DataFrame, counts: DataFrame) -> dict[str, tuple[int, float]]:
+    """Linked probes and their mean recall, for those with few links and those with many."""
+    kind = F.when(F.col("linked") < FEW, "few").otherwise("many").alias("kind")
+    both = truth.join(counts.select("rep", F.col("linked").alias("have")), "rep", "left")
+    got = both.groupBy(kind).agg(F.count("*").alias("n"), F.avg(F.coalesce("have", F.lit(0)) / F.col("linked")).alias("recall")).collect()
+    return {r["kind"]: (r["n"], r["recall"]) for r in got}
 
 
-def exact(scratch: Scratch, nodes: DataFrame, threshold: float, parts: int, name: str):
+def exact(scratch: Scratch, nodes: DataFrame, threshold: float, parts: int):
     """(groups, counts) from comparing all nodes of a length with all."""
-    groups = scratch.put(components(scratch, scratch.put(exact_links(nodes, threshold, parts), "exact" + name)), "groups" + name)
-    return groups, scratch.put(link_counts(nodes, groups, threshold, parts), "counts" + name)
-
-
-def linked(scratch: Scratch, nodes: DataFrame, n: int, threshold: float, k: int, parts: int, name: str):
-    """(groups, counts) of n nodes of one length: (node, component) and (rep, linked)."""
-    spark = scratch.spark
-    truth, links = probed(nodes, threshold, n), None
-    for go in range(GOES if truth is not None else 0):
-        k_now = k * 2**go
-        first = first_lists(scratch, nodes, parts, k_now, f"{name}-{go}", go, orders(n, threshold), threshold)
-        lists = scratch.put(best(first.where("entry"), None, k_now), f"lists{name}-{go}-0")
-        raw = first if links is None else first.union(links)
-        for r in range(ROUNDS):
-            # A list whose every entry passes is saturated: it doubles for the next round, each round.
-            size = F.count("*")
-            full = F.when((F.min("sim") >= threshold) & (size >= k_now), 2 * size).otherwise(F.lit(k_now))
-            wanted = lists.groupBy("a").agg(full.alias("wants"), F.when(size >= full, F.min("sim")).otherwise(-1.0).alias("worst"))
-            got = scratch.put(descend(nodes, lists, wanted, parts, k_now, r, threshold), f"found{name}-{go}-{r}")
-            raw = raw.union(got)
-            new = got.where("entry").count()
-            if not new:
-                break
-            lists = scratch.put(best(lists.union(got.where("entry").drop("entry")), wanted.select("a", "wants"), k_now), f"lists{name}-{go}-{r + 1}")
-            if new < 0.02 * n * k_now:
-                break
-        links = scratch.put(raw.where("not entry").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1.0).alias("sim"), "entry").distinct(), f"links{name}-{go}")
-        groups = scratch.put(components(scratch, links.select("a", "b")), f"groups{name}-{go}")
-        counts = scratch.put(link_counts(nodes, groups, threshold, parts), f"counts{name}-{go}")
-        have = {r["rep"]: r["linked"] for r in counts.join(F.broadcast(spark.createDataFrame([(i,) for i in truth], "rep long")), "rep", "left_semi").collect()}
-        if reached(truth, have):
+    groups = scratch.put(components(scratch, scratch.put(exact_links(nodes, threshold, parts), "exact")), "exact-groups")
+    return groups, scratch.put(link_counts(nodes, groups, threshold, parts), "exact-counts")
+
+
+def search(scratch: Scratch, nodes: DataFrame, n: int, most: int, threshold: float, k: int, parts: int, go: int, links: DataFrame | None) -> DataFrame:
+    """Links (a, b, sim, entry) of one go of NN-descent over n nodes, at most `most` of a length, with
+    those of earlier goes."""
+    first = first_lists(scratch, nodes, parts, k, go, orders(most, threshold), threshold)
+    lists = scratch.put(best(first.where("entry"), None, k), f"lists{go}-0")
+    raw = first if links is None else first.union(links)
+    for r in range(ROUNDS):
+        # A list whose every entry passes is saturated: it doubles for the next round, each round.
+        size = F.count("*")
+        full = F.when((F.min("sim") >= threshold) & (size >= k), 2 * size).otherwise(F.lit(k))
+        wanted = lists.groupBy("a").agg(full.alias("wants"), F.when(size >= full, F.min("sim")).otherwise(-1.0).alias("worst"))
+        got = scratch.put(descend(nodes, lists, wanted, parts, k, r, threshold), f"found{go}-{r}")
+        raw = raw.union(got)
+        new = got.where("entry").count()
+        if not new:
+            break
+        lists = scratch.put(best(lists.union(got.where("entry").drop("entry")), wanted.select("a", "wants"), k), f"lists{go}-{r + 1}")
+        if new < 0.02 * n * k:
+            break
+    return scratch.put(raw.where("not entry").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1.0).alias("sim"), "entry").distinct(), f"links{go}")
+
+
+#: Figures of the latest audit in this process, one for each go: what `audited` gives.
+last_audit: list[dict[str, tuple[int, float]]] = []
+
+
+def linked(scratch: Scratch, nodes: DataFrame, threshold: float, k: int, parts: int):
+    """(groups, counts): (node, component) and (rep, linked)."""
+    size = nodes.groupBy("d").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()[0]
+    n, truth, links = size["n"] or 0, None, None
+    last_audit.clear()
+    for go in range(GOES):
+        links = search(scratch, nodes, n, size["most"] or 0, threshold, k * 2**go, parts, go, links)
+        groups = scratch.put(components(scratch, links.select("a", "b")), f"groups{go}")
+        counts = scratch.put(link_counts(nodes, groups, threshold, parts), f"counts{go}")
+        if truth is None:
+            truth = scratch.put(true_links(nodes, scratch.put(probes_of(nodes, n), "probes"), threshold, parts), "truth")
+        last_audit.append(audited(truth, counts))
+        if all(recall >= AIM for _, recall in last_audit[-1].values()):
             return groups, counts
-    return exact(scratch, nodes, threshold, parts, name)
+    return exact(scratch, nodes, threshold, parts)
 
 
 def embedding_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
@@ -369,20 +382,9 @@ def embedding_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int =
     scratch = Scratch(spark, "embedding")
     rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     classes = scratch.put(usable(rows).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "classes")
-    nodes = scratch.put(normalised(classes), "nodes")
+    nodes = scratch.put(normalised(classes).withColumn("d", F.size("x")), "nodes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
-    # Vectors of different lengths have no cosine: each length is a table of its own. The driver holds
-    # one number a length.
-    sizes = {r["d"]: r["n"] for r in nodes.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").collect()}
-    searched = [d for k, (d, n) in enumerate(sizes.items()) if k == 0 or n > SEARCHED]
-    found = []
-    for d in searched:
-        mine = nodes if len(sizes) == 1 else nodes.where(F.size("x") == d)
-        found.append(linked(scratch, mine, sizes[d], threshold, k, parts, f"-{d}"))
-    if len(searched) < len(sizes):
-        rest = nodes.where(~F.size("x").isin(searched))
-        found.append(exact(scratch, rest, threshold, parts, "-rest"))
-    groups, counts = (functools.reduce(DataFrame.union, x) for x in zip(*found, strict=True)) if found else (spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "rep long, linked long"))
+    groups, counts = linked(scratch, nodes, threshold, k, parts)
     own = classes.select("embedding", "rep", "many").join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
     own = own.select("embedding", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("linked", F.lit(0)) + F.col("many") - 1).alias("n_links"))
     out = rows.join(own, "embedding", "left")

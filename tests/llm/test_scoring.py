@@ -123,13 +123,28 @@ def test_tight_subgroups_with_cross_links(spark):
     assert all(v.n_links == 199 and v.component_id == 0 for v in got.values()) and sum(v.kept for v in got.values()) == 1
 
 
-def test_audit_counts_each_linked_probe_once():
-    truth = {0: 5000, 1: 4000, 2: 1, 3: 2}
-    assert embedding.reached(truth, truth) and not embedding.reached(truth, {0: 5000, 1: 4000, 2: 0, 3: 2}) and not embedding.reached(truth, {2: 1, 3: 2})
+def test_audit_counts_each_linked_probe_once(spark):
+    truth = spark.createDataFrame([(0, 5000), (1, 4000), (2, 1), (3, 2)], "rep long, linked long")
+    counts = spark.createDataFrame([(0, 5000), (1, 2000), (3, 1), (7, 1)], "rep long, linked long")
+    assert embedding.audited(truth, truth) == {"few": (2, 1.0), "many": (2, 1.0)}
+    assert embedding.audited(truth, counts) == {"few": (2, 0.25), "many": (2, 0.75)}
+    assert embedding.audited(truth.limit(0), counts) == {}
+
+
+def test_rare_links_are_searched_and_audited(spark, monkeypatch):
+    """Few vectors with links: the search finds them, without comparing all with all."""
+    monkeypatch.setattr(embedding, "exact", lambda *a: pytest.fail("all were compared with all"))
+    r = np.random.default_rng(11)
+    clutter = r.standard_normal((6000, 64))
+    x = np.array(list(clutter) + [near(r, c, 0.93) for c in clutter[:40]])
+    got = run_embeddings(spark, x)
+    found = [got[i].n_links == 1 == got[6000 + i].n_links and got[6000 + i].component_id == i for i in range(40)]
+    assert np.mean(found) >= 0.95 and sum(v.n_links for v in got.values()) <= 80
+    assert len(embedding.last_audit) <= embedding.GOES and all(q >= embedding.AIM for _, q in embedding.last_audit[-1].values())
 
 
 def test_exact_search_where_the_aim_is_missed(spark, monkeypatch):
-    monkeypatch.setattr(embedding, "reached", lambda truth, have: False)
+    monkeypatch.setattr(embedding, "AIM", 1.1)
     monkeypatch.setattr(embedding, "GOES", 1)
     monkeypatch.setattr(embedding, "EXACT", 50)
     x = np.array(vectors())
