@@ -5,7 +5,9 @@ Point t of the golden-ratio sequence, mapped through the cumulative numbers of s
 source of slot t; the slots of a source are ranked, and slot k takes block k modulo the source's
 blocks. Where the points give a source more slots than it has, the last are left out; where they
 give fewer, by the sequence's discrepancy, the rest stand at the end. So each source takes its target to
-the word, however small it is. A block holds `block` consecutive words of the source's documents in
+the word, however small it is, and every prefix of the slots holds the sources at nearly their
+targets' shares. The slots are the result: `mix` gives each row the slots at which it is taken, and
+`mixed` puts the rows out in that order. A block holds `block` consecutive words of the source's documents in
 a shuffled order that a digest of doc_id (of the text where that is null) fixes, so reruns agree.
 
 A source may hold a third of all rows or more: prefix sums and ranks run in two levels (inside
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, Scratch
 
 WEIGHTS = (5, 2, 1)
+#: Words of a block and of a slot, at every size of the table.
+BLOCK = 4096
 CELLS = 4096
 #: Ranges of a source's digests: what four hexadecimal digits tell apart.
 RANGES = 1 << 16
@@ -101,25 +105,40 @@ def with_slots(by: DataFrame, block: int) -> DataFrame:
     return by.select("src", "source", "source_size", "target", "parts", (F.floor(F.col("words") / size) * F.col("parts") + F.col("more")).alias("slots"), cut.alias("cut"))
 
 
-def mix(docs: DataFrame, total=1.5, most=2.0, weights=WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, the source, and mark, the text's MD5, for each row of
-    docs."""
+def mix(docs: DataFrame, total=1.5, most=2.0, weights=WEIGHTS, block=BLOCK) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_slot, the source, mark, the text's MD5, and
+    starts, for each row of docs. first_slot: the first slot that takes words of the row; starts: the
+    slots, in order, that take the block of its first word, one for each time the mix comes round to it.
+    Both null where none is taken."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     rows = scratch.put(sized(docs), "sized")
     by = scratch.put(targets(rows, total, most, weights), "sources")
-    words = by.agg(F.round(F.sum("target") * 2) / 2).collect()[0][0] or 0.0
-    block = max(1, min(4096, int(words // 65536)))
     at = scratch.put(placed(rows, by), "placed")
     by = scratch.put(with_slots(by, block), "slots")
-    slots = schedule(spark, by, block, by.agg(F.sum("slots")).collect()[0][0] or 0)
-    uses = slots.groupBy("src", "part", "take").agg(F.count("*").alias("uses"))
+    slots = schedule(spark, by, block, by.agg(F.sum("slots")).collect()[0][0] or 0).drop("k")
     first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
-    pieces = at.where("size > 0").select("src", "range", "row", "at", "size", F.explode(F.sequence(first, last)).alias("part"))
-    pieces = pieces.join(uses, ["src", "part"])
+    pieces = at.where("size > 0").select("src", "range", "row", "at", "size", first.alias("first"), F.explode(F.sequence(first, last)).alias("part"))
     overlap = F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), F.col("part") * block + F.col("take")) - F.greatest(F.col("at"), F.col("part") * block))
-    taken = pieces.groupBy("src", "range", "row").agg(F.sum(overlap * F.col("uses")).alias("taken"))
-    return at.join(taken, ["src", "range", "row"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source", "mark")
+    pieces = pieces.join(slots, ["src", "part"]).withColumn("overlap", overlap).where("overlap > 0")
+    starts = F.sort_array(F.collect_list(F.when(F.col("part") == F.col("first"), F.col("slot"))))
+    taken = pieces.groupBy("src", "range", "row").agg(F.sum("overlap").alias("taken"), F.min("slot").alias("first_slot"), starts.alias("starts"))
+    return at.join(taken, ["src", "range", "row"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", "source", "mark", "starts")
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, source, text, size and slot, a row for each time that the mix takes the row, to the
+    nearest whole number of times, in the order of the slots. Rows of which the mix takes less than
+    half, and rows without words, are left out; rows that share id, source and text are taken equally
+    often."""
+    rows = mix(docs, **how).groupBy("doc_id", "source", "mark").agg(F.sum("taken").alias("taken"), F.sum("size").alias("all"), F.max("size").alias("size"), F.min("first_slot").alias("first_slot"), F.min("starts").alias("starts"))
+    rows = rows.where("taken > 0").withColumn("times", F.floor(F.col("taken") / F.col("all") + 0.5).cast("int")).where("times > 0")
+    each = F.explode(F.sequence(F.lit(0), F.col("times") - 1))
+    rows = rows.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "mark", "size", "first_slot", "starts", each.alias("time"))
+    slot = F.coalesce(F.get("starts", F.col("time")), F.array_max("starts"), "first_slot")
+    rows = rows.select("id", "of", "mark", "size", "time", slot.alias("slot"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("mark"))
+    return docs.select("doc_id", "source", "text").join(rows, same).orderBy("slot", "mark", "doc_id", "time").select("doc_id", "source", "text", "size", "slot")
 
 
 ORACLE_SQL = """
@@ -131,19 +150,20 @@ s3 AS (SELECT *, cap / weight AS fill FROM s2),
 s4 AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY fill, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY fill, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM s3),
 s5 AS (SELECT *, max(CASE WHEN l <= fill THEN l END) OVER () AS level FROM s4),
 by_source AS (SELECT src, source, source_size, CASE WHEN fill <= level THEN cap ELSE level * weight END AS target FROM s5),
-size_of AS (SELECT greatest(1, least(4096, floor(round(sum(target) * 2) / 2 / 65536)))::BIGINT AS block, round(sum(target) * 2) / 2 AS words FROM by_source),
+size_of AS (SELECT 4096::BIGINT AS block),
 c0 AS (SELECT src, source_size, round(target)::BIGINT AS w, ceil(source_size / block)::BIGINT AS parts, round(target)::BIGINT % greatest(source_size, 1) AS rest, block FROM by_source, size_of),
 c AS (SELECT src, parts, (w // greatest(source_size, 1)) * parts + ceil(rest / block)::BIGINT AS n, CASE WHEN rest > 0 THEN rest - (ceil(rest / block)::BIGINT - 1) * block ELSE block END AS cut, block FROM c0),
 slots AS (SELECT unnest(generate_series(1, coalesce((SELECT sum(n)::BIGINT FROM c), 0))) AS slot),
 points AS (SELECT slot, fmod(fmod((slot // 1048576) * fmod(0.6180339887498949::DOUBLE * 1048576, 1), 1) + fmod((slot % 1048576) * 0.6180339887498949::DOUBLE, 1), 1) AS x FROM slots),
 h AS (SELECT *, sum(n) OVER (ORDER BY src) / (sum(n) OVER ())::DOUBLE AS high FROM c WHERE n > 0),
 share AS (SELECT src, lag(high, 1, 0) OVER (ORDER BY src) AS low, CASE WHEN lead(src) OVER (ORDER BY src) IS NULL THEN 1 ELSE high END AS high FROM h),
-named AS (SELECT src, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS k FROM points JOIN share ON x >= low AND x < high),
+named AS (SELECT slot, src, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS k FROM points JOIN share ON x >= low AND x < high),
 got AS (SELECT src, count(*) AS got FROM named GROUP BY src),
-every AS (SELECT * FROM named UNION ALL SELECT src, unnest(generate_series(coalesce(got, 0), n - 1)) FROM c LEFT JOIN got USING (src) WHERE coalesce(got, 0) < n),
-uses AS (SELECT src, k % parts AS part, CASE WHEN k = n - 1 THEN cut ELSE block END AS take, count(*) AS uses FROM every JOIN c USING (src) WHERE k < n GROUP BY ALL),
+short AS (SELECT src, unnest(generate_series(coalesce(got, 0), n - 1)) AS k FROM c LEFT JOIN got USING (src) WHERE coalesce(got, 0) < n),
+every AS (SELECT * FROM named UNION ALL SELECT (SELECT count(*) FROM slots) + row_number() OVER (ORDER BY k, src), src, k FROM short),
+uses AS (SELECT slot, src, k % parts AS part, CASE WHEN k = n - 1 THEN cut ELSE block END AS take FROM every JOIN c USING (src) WHERE k < n),
 placed AS (SELECT rows.*, src, source_size, target, row_number() OVER () AS r, sum(size) OVER (PARTITION BY src ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS a FROM rows JOIN by_source ON rows.source IS NOT DISTINCT FROM by_source.source),
 pieces AS (SELECT r, src, a, size, unnest(generate_series((a // block)::BIGINT, ((a + size - 1) // block)::BIGINT)) AS part FROM placed, size_of WHERE size > 0),
-took AS (SELECT r, sum(greatest(0, least(a + size, part * block + take) - greatest(a, part * block)) * uses) AS taken FROM pieces JOIN uses USING (src, part), size_of GROUP BY r)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, source, mark FROM placed LEFT JOIN took USING (r)
+took AS (SELECT r, sum(words) AS taken, min(slot) AS first_slot FROM (SELECT r, slot, greatest(0, least(a + size, part * block + take) - greatest(a, part * block)) AS words FROM pieces JOIN uses USING (src, part), size_of) WHERE words > 0 GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot::BIGINT AS first_slot, source, mark FROM placed LEFT JOIN took USING (r)
 """

@@ -24,7 +24,7 @@ def op3_quality(spark, sf_dir):
 
 
 def op4_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("starts")
 
 
 def op5_embedding(spark, sf_dir):

@@ -64,6 +64,35 @@ def test_mixing_odd_rows(spark):
     assert len(mixing.mix(same).collect()) == 3
 
 
+def test_the_schedule_orders_the_mix(spark, monkeypatch):
+    """Every prefix of the mix is near the targets' shares, and other points give another order."""
+    data = [(i, " ".join([f"w{i}"] * (1 + i % 30)), ["big", "big", "big", "mid", None][i % 5]) for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    rows = mixing.mixed(df, block=64).collect()
+    share = {r.source: r.target for r in mixing.mix(df, block=64).select("source", "target").distinct().collect()}
+    whole = sum(share.values())
+    seen, done = dict.fromkeys(share, 0), 0
+    assert [r.slot for r in rows] == sorted(r.slot for r in rows)
+    for r in rows:
+        seen[r.source] += r.size
+        done += r.size
+        if done >= 0.05 * whole:
+            for s, n in seen.items():
+                assert abs(n - done * share[s] / whole) <= 0.03 * whole, (s, n, done)
+    assert done == pytest.approx(whole, rel=0.02)
+    plain = mixing.mix(df, block=64).select("doc_id", "taken", "first_slot").collect()
+    inner = mixing.schedule
+
+    def in_turn(spark, by, block, slots):
+        out = inner(spark, by, block, slots)
+        return out.withColumn("slot", F.col("src") * 1_000_000 + F.col("k"))
+
+    monkeypatch.setattr(mixing, "schedule", in_turn)
+    other = mixing.mix(df, block=64).select("doc_id", "taken", "first_slot").collect()
+    assert {(r.doc_id, r.taken) for r in plain} == {(r.doc_id, r.taken) for r in other}
+    assert {(r.doc_id, r.first_slot) for r in plain} != {(r.doc_id, r.first_slot) for r in other}
+
+
 FILLER = " ".join(f"filler{k}" for k in range(400))
 TEXTS = [
     (None, 0, "", ""), ("CC BY-NC 4.0: licensed under CC BY-NC 4.0.", 2, "cc-by", "cc-by,cc-by-nc-4.0"), ("All rights\nreserved", 1, "reserved", "reserved"),
