@@ -121,18 +121,51 @@ def test_license_scan(spark):
     assert (got[6].first_word, got[6].last_word, got[6].n_words) == (0, 2, 4)
 
 
-def plain(text, threshold=0.8):
-    """Labels of every block against every template."""
+def plain(text):
+    """Labels of every run of 2 W words that starts at a template's word, against every template."""
     w, out = licenses.tokens(text), set()
     for label, t, must, never in licenses.TEMPLATES:
         ws, width = set(licenses.tokens(t)), len(licenses.tokens(t))
-        for k in range(max(1, -(-len(w) // width) - 1)):
-            b = set(w[k * width : k * width + 2 * width])
-            if 5 * len(b & ws) >= 4 * len(ws) and set(must.split()) <= b and not set(never.split()) & b:
+        for k in (k for k, x in enumerate(w) if x in ws):
+            b = w[k : k + 2 * width]
+            held = all(any(f" {p} " in f" {' '.join(b)} " for p in g.split("|")) for g in must.split(";"))
+            if 5 * len(set(b) & ws) >= 4 * len(ws) and held and not set(never.split()) & set(w[k : k + 3 * width]):
                 out.add(label)
     return out
 
 
+def test_templates_are_found_at_every_offset(spark):
+    """Each template after any number of other words, up to twice its own, and before others."""
+    rows, want = [], []
+    for label, t, *_ in licenses.TEMPLATES:
+        width = len(licenses.tokens(t))
+        for k in range(0, 2 * width + 1, 1 if width < 20 else 7):
+            rows.append((len(rows), " ".join(f"x{j}" for j in range(k)) + f" {t} " + "of the y " * 30))
+            want.append(label)
+    got = {r.doc_id: r.labels.split(",") for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert [rows[i][1] for i, label in enumerate(want) if label not in got[i]] == []
+    clause = [t for n, t, *_ in licenses.TEMPLATES if n == "bsd-3-clause"][0]
+    assert all("bsd-2-clause" not in got[i] for i, label in enumerate(want) if label == "bsd-3-clause") and clause
+
+
+DECIDED = [
+    ("Licensed under the Apache License, Version 1.1, section 2 of 0 parts", set()),
+    ("The MIT press holds the license under which it was released", set()),
+    ("licensed under the GNU General Public License version 2 or version 3 of this work", {"gpl-2.0", "gpl-3.0"}),
+    ("Open access. This article is licensed under CC BY 3.0 by its authors", {"cc-by-3.0"}),
+    ("It is distributed under the terms of the Creative Commons Attribution 4.0 International License (CC BY 4.0)", {"cc-by-4.0"}),
+    ("Licensed under the Apache License 2.0", {"apache-2.0"}),
+    ("This file is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", {"gpl-2.0"}),
+]
+
+
+def test_deciding_words_stand_together(spark):
+    rows = [(i, " ".join(["lorem"] * k) + " " + t) for i, (t, _) in enumerate(DECIDED) for k in (0, 3, 11)]
+    base = {"cc-by", "gpl", "reserved"}
+    for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id int, text string")).collect():
+        assert {x for x in r.labels.split(",") if x} - base == DECIDED[r.doc_id][1], DECIDED[r.doc_id][0]
+
+
 def test_filters_lose_no_template(spark):
     """Prefix, length and position filters against plain containment, over odd frequencies."""
     r, words = random.Random(4), licenses.vocabulary()
