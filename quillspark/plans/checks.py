@@ -224,6 +224,9 @@ x AS (SELECT k AS pos, source, ref, status, CASE status WHEN 'existing' THEN 'c'
     out["q_candidates"] = "SELECT 'k-' || p_partkey AS cite_key, regexp_replace(trim(regexp_replace(p_name || ' of ' || p_type, '\\s+', ' ', 'g')), '^', '') AS title, p_brand AS authors, (1950 + p_size)::VARCHAR AS year, '10.' || p_partkey || '/x' AS doi, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_type END AS abstract, 'article' AS type, 'local-bib' AS source FROM part"
     out["q_render"] = "SELECT s_suppkey AS pos, '@misc{s' || s_suppkey || ',' || chr(10) || 'title = {' || s_name || '}' || chr(10) || '}' || chr(10) AS value FROM supplier"
     out["q_set_field"] = "SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey::VARCHAR ELSE 'none' END AS cite_order, s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n FROM supplier"
+    out["q_splice_field"] = """SELECT doc_id, '% kept ' || lang || ', by hand' || chr(10) || chr(10) || '@article{' || source || '-1,' || chr(10) || '  Title  =  {A, {B}},   % a note' || chr(10) || '    year = 2001'
+      || CASE doc_id % 4 WHEN 0 THEN ',' || chr(10) || '    cite_order = {' || lang || '},' || chr(10) WHEN 1 THEN ',' || chr(10) || '  cite_order = "' || lang || '",' || chr(10) WHEN 2 THEN ',' || chr(10) ELSE ',' || chr(10) || '  cite_order = "7",' || chr(10) END
+      || '}' || chr(10) || '@misc{other, cite_order={1}}' || chr(10) || '% tail ' || source AS content FROM documents"""
     out["q_legacy_keys"] = "SELECT doc_id, source || '-1|' || lang || ':2' AS keys FROM documents"
     out["q_as_misc"] = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '@misc{' ELSE '@article{' END || source || ', note = {@data{x}}}' AS bibtex FROM documents"
     out["q_split_entries"] = "SELECT doc_id, '@article{' || source || ', a={b}}|@misc{' || lang || ', c={d}}' AS entries FROM documents"

@@ -382,6 +382,21 @@ def q_set_field(spark, sf):
     return L.set_field(rows, "cite_order", new).select("pos", F.coalesce(F.element_at("fields", "cite_order"), F.lit("none")).alias("cite_order"), F.element_at("fields", "title").alias("title"), F.size("fields").cast("long").alias("n"))
 
 
+def laid_out(text: str):
+    return F.expr(f"concat('% kept ', lang, ', by hand\\n\\n@article{{', source, '-1,\\n  Title  =  {{A, {{B}}}},   % a note\\n    year = 2001,\\n{text}}}\\n@misc{{other, cite_order={{1}}}}\\n% tail ', source)")
+
+
+def q_splice_field(spark, sf):
+    """Changed, new and removed fields, and files without the key, with their layout."""
+    docs = table(spark, sf, "documents")
+    text = F.when(F.col("doc_id") % 4 == 0, laid_out("")).otherwise(laid_out('  cite_order = "7",\\n'))
+    files = docs.select(F.col("doc_id").alias("file"), text.alias("content"))
+    key = F.when(F.col("doc_id") % 4 == 3, "absent").otherwise(F.concat("source", F.lit("-1")))
+    value = F.when(F.col("doc_id") % 4 != 2, F.col("lang"))
+    edits = docs.select(F.col("doc_id").alias("file"), key.alias("key"), F.lit("Cite_Order").alias("name"), value.alias("value"))
+    return B.splice_fields(files, edits).select(F.col("file").cast("long").alias("doc_id"), "content")
+
+
 def q_legacy_keys(spark, sf):
     text = F.expr("concat('@article{', source, '-1, x} @misc{', lang, ':2, title={a}} @book{', source, '-1, y}')")
     return table(spark, sf, "documents").select("doc_id", joined(B.legacy_keys(text)).alias("keys"))

@@ -18,12 +18,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.text import strip
 
 HEAD = re.compile(r"@(\w+)\s*([{(])\s*([^,\s{}()]+)\s*,")
+#: The head of an entry at the start of a line.
+NEXT = re.compile(r"^[ \t]*" + HEAD.pattern, re.M)
 NAME = re.compile(r"([A-Za-z][\w-]*)\s*=\s*")
 ENTRY = "file string, pos int, type string, key string, content string, fields map<string,string>"
 
 
 def scan(text: str):
-    """(type, key, content) of each entry, in order."""
+    """(type, key, content) of each entry, in order. An entry that is never closed ends before the next
+    line that starts one."""
+    return ((kind, key, text[body:end].strip()) for kind, key, body, end in spans(text))
+
+
+def spans(text: str):
+    """(type, key, where the body starts, where it ends) of each entry, in order."""
     at = 0
     while m := HEAD.search(text, at):
         line = text.rfind("\n", 0, m.start()) + 1
@@ -31,7 +39,12 @@ def scan(text: str):
             at = (text.find("\n", m.start()) + 1) or len(text)
             continue
         end = closing(text, m.end(), "})"[m[2] == "("])
-        yield m[1].lower(), m[3], text[m.end() : end].strip()
+        if end == len(text) and (after := NEXT.search(text, m.end())):
+            end = after.start()
+            yield m[1].lower(), m[3], m.end(), end
+            at = end
+            continue
+        yield m[1].lower(), m[3], m.end(), end
         at = end + 1
 
 
@@ -55,25 +68,36 @@ def closing(text: str, at: int, last: str) -> int:
 def fields(content: str) -> list[tuple[str, str]]:
     """Names, in lower case, and values: in braces to any depth, in quotes, or bare; white space
     collapsed. Of a name given twice the last value stays."""
-    out, at = {}, 0
+    out = {}
+    for name, _, start, end in field_spans(content):
+        cut = content[start:end]
+        if cut[:1] == "{":
+            cut = cut[1 : closing(cut, 1, "}")]
+        elif cut[:1] == '"':
+            cut = cut[1:].removesuffix('"')
+        out.pop(name, None)
+        out[name] = " ".join(cut.split())
+    return list(out.items())
+
+
+def field_spans(content: str):
+    """(name in lower case, where the name starts, where the value starts, where it ends) of each field,
+    the value with its braces or quotes."""
+    at = 0
     while m := NAME.search(content, at):
         k = m.end()
         if content[k : k + 1] == "{":
-            end = closing(content, k + 1, "}")
-            value, at = content[k + 1 : end], end + 1
+            at = min(closing(content, k + 1, "}") + 1, len(content))
         elif content[k : k + 1] == '"':
             end = k + 1
             depth = 0
             while end < len(content) and (content[end] != '"' or depth):
                 depth += (content[end] == "{") - (content[end] == "}")
                 end += 1
-            value, at = content[k + 1 : end], end + 1
+            at = min(end + 1, len(content))
         else:
-            value = re.match(r"[^,\n]*", content[k:])[0]
-            at = k + len(value)
-        out.pop(m[1].lower(), None)
-        out[m[1].lower()] = " ".join(value.split())
-    return list(out.items())
+            at = k + len(re.match(r"[^,\n]*", content[k:])[0])
+        yield m[1].lower(), m.start(), k, at
 
 
 def parse(files: DataFrame, column: str = "content") -> DataFrame:
@@ -208,6 +232,76 @@ def render(entries: DataFrame) -> DataFrame:
     return entries.withColumn("value", F.when(ok, text).otherwise(F.raise_error(F.lit("an entry needs a type and a key"))))
 
 
+def cuts(body: str, edits: dict[str, str | None]):
+    """(start, end, text): what replaces which parts of an entry's body, so that its fields become as in
+    edits. Of a name given twice the last is set, since readers take that; null removes all."""
+    found = list(field_spans(body))
+    last = {name: k for k, (name, *_) in enumerate(found)}
+    for k, (name, at, start, end) in enumerate(found):
+        if name not in edits:
+            continue
+        value = edits[name]
+        if value is None:
+            stop = re.compile(r"[ \t]*,?[ \t]*").match(body, end).end()
+            line = body.rfind("\n", 0, at) + 1
+            if line and not body[line:at].strip() and body[stop : stop + 1] == "\n":
+                at, stop = line, stop + 1
+            yield at, stop, ""
+        elif k == last[name]:
+            quoted = body[start : start + 1] == '"' and '"' not in value
+            bare = end - len(body[start:end]) + len(body[start:end].rstrip())
+            yield start, bare, f'"{value}"' if quoted else f"{{{value}}}"
+    new = [(name, value) for name, value in sorted(edits.items()) if value is not None and name not in last]
+    if new and found:
+        _, at, start, end = found[-1]
+        line = body.rfind("\n", 0, at) + 1
+        gap = "\n" + body[line:at] if line and not body[line:at].strip() else " "
+        end = start + len(body[start:end].rstrip())
+        kept = edits.get(found[-1][0], "") is not None
+        # Beside a last field that goes, its comma goes too, and the new ones bring their own.
+        yield end, end, "".join(f",{gap}{n} = {{{v}}}" for n, v in new) if kept else "".join(f"{n} = {{{v}}},{gap}" for n, v in new)
+    elif new:
+        yield 0, 0, "".join(f"\n  {n} = {{{v}}}," for n, v in new)
+
+
+def spliced(text: str, edits: dict[str, dict[str, str | None]]) -> str:
+    """The text with the fields of the entries that edits names changed, all else as it is."""
+    out, done = [], 0
+    for _, key, start, end in spans(text):
+        for a, b, new in sorted(cuts(text[start:end], edits[key])) if key in edits else ():
+            a = max(start + a, done)
+            out += [text[done:a], new]
+            done = max(start + b, a)
+    return "".join([*out, text[done:]])
+
+
+def splice_fields(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """files(file, content) with the changes of edits(file, key, name, value) made in place: comments,
+    order, layout and entries that aren't named stay byte for byte. A null value removes the field, a
+    new name goes after the last field in its layout. All entries of a file that share the key are
+    changed; names are the same in any case; of several edits of one field the largest value counts.
+    Edits of files, or keys, that aren't there do nothing; a null content stays null; further columns
+    of either table are not read. A value that would unbalance braces is an error."""
+    one = edits.where("file is not null and key is not null and name is not null").select(F.col("file").cast("string").alias("file"), "key", F.lower("name").alias("name"), F.col("value").cast("string").alias("value"))
+    one = one.groupBy("file", "key", "name").agg(F.max("value").alias("value"))
+    asked = one.groupBy("file").agg(F.collect_list(F.struct("key", "name", "value")).alias("edits"))
+
+    def run(batches):
+        for batch in batches:
+            done = []
+            for text, changes in zip(batch.column("content").to_pylist(), batch.column("edits").to_pylist(), strict=True):
+                by: dict = {}
+                for e in changes or ():
+                    if e["value"] is not None and closing(e["value"] + "}", 0, "}") != len(e["value"]):
+                        raise ValueError(f"unbalanced braces in {e['name']} of {e['key']}")
+                    by.setdefault(e["key"], {})[e["name"]] = e["value"]
+                done.append(spliced(text, by) if text is not None and by else text)
+            yield pa.record_batch({"file": batch.column("file"), "content": pa.array(done, pa.string())})
+
+    rows = files.select(F.col("file").cast("string").alias("file"), F.col("content").cast("string").alias("content"))
+    return rows.join(asked, "file", "left").mapInArrow(run, "file string, content string")
+
+
 def write_bibtex(entries: DataFrame, path: str, order: tuple[str, ...] = ("file", "pos")) -> None:
     """A folder of .bib parts in the given order."""
     render(entries).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
