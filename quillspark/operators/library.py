@@ -20,19 +20,33 @@ def duplicate_marks() -> dict[str, Column]:
     }
 
 
+def marked_entries(entries: DataFrame) -> DataFrame:
+    """(key, doi, title, who): the marks of each key's last entry. A title's mark is its digest, since
+    titles may be whole texts."""
+    marks = duplicate_marks() | {"title": F.sha2(duplicate_marks()["title"], 256)}
+    rows = entries.select("key", "pos", *[v.alias(k) for k, v in marks.items()])
+    one = Window.partitionBy("key").orderBy(F.desc("pos"))
+    return rows.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r", "pos")
+
+
 def duplicate_pairs(entries: DataFrame) -> DataFrame:
     """(key1, key2) with key1 < key2 that share a DOI, a title, or author and year.
 
-    Three equi-joins instead of one join on OR, which would be a Cartesian product. Entries that
-    share many keys cost as many pairs as they form: the result itself."""
-    one = Window.partitionBy("key").orderBy(F.desc("pos"))
-    rows = entries.withColumn("_r", F.row_number().over(one)).where("_r = 1")
-    out = None
-    for value in duplicate_marks().values():
-        side = rows.select("key", value.alias("v")).where("v is not null")
-        pairs = side.alias("x").join(side.alias("y"), F.expr("x.v = y.v and x.key < y.key")).select(F.col("x.key").alias("key1"), F.col("y.key").alias("key2"))
-        out = pairs if out is None else out.union(pairs)
-    return out.distinct()
+    An equi-join of marks instead of a join on OR, which would be a Cartesian product. A pair is given by
+    the first of its marks alone, so no pair comes twice and none is looked for among the others: the
+    pairs are neither dealt anew nor held. Their number is the result's own."""
+    return marked_pairs(marked_entries(entries))
+
+
+def marked_pairs(rows: DataFrame, *keep: str) -> DataFrame:
+    """duplicate_pairs of marked entries, with the columns `keep` of the first entry."""
+    marks = list(duplicate_marks())
+    # A row a mark, with those before it in mind; equal rows on both sides share one exchange.
+    one = lambda n: F.struct(F.lit(n).alias("kind"), F.col(marks[n]).alias("v"), *[(F.col(m) if i < n else F.lit(None).cast("string")).alias(f"_{m}") for i, m in enumerate(marks[:-1])])
+    side = rows.select("key", *keep, F.explode(F.array(*[one(n) for n in range(len(marks))])).alias("m")).select("key", *keep, "m.*").where("v is not null")
+    new = "".join(f" and coalesce(x._{m} <> y._{m}, true)" for m in marks[:-1])
+    pairs = side.alias("x").join(side.alias("y"), F.expr(f"x.kind = y.kind and x.v = y.v and x.key < y.key{new}"))
+    return pairs.select(F.col("x.key").alias("key1"), F.col("y.key").alias("key2"), *[F.col(f"x.{c}") for c in keep])
 
 
 def cited_only(entries: DataFrame, cited: DataFrame) -> DataFrame:

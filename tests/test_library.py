@@ -33,6 +33,20 @@ def test_duplicates_join_by_hash_or_sort(spark):
     assert "Cartesian" not in plan and " OR " not in plan
 
 
+def some_entries(spark):
+    rows = [(i, f"k{i % 53}", ["", None, f"10.1/{i % 7}"][i % 3], f"T {i % 5}" if i % 4 else "", f"A{i % 3}", str(i % 2) if i % 5 else None) for i in range(60)]
+    last = {r[1]: r for r in rows}
+    same = lambda a, b: any(x and x == y for x, y in zip([a[2], a[3], a[5] and (a[4], a[5])], [b[2], b[3], b[5] and (b[4], b[5])], strict=True))
+    return spark.createDataFrame(rows, ENTRY), sorted((a, b) for a in last for b in last if a < b and same(last[a], last[b]))
+
+
+def test_duplicates_come_once_without_being_held(spark):
+    df, wanted = some_entries(spark)
+    got = L.duplicate_pairs(df)
+    assert sorted(tuple(r) for r in got.collect()) == wanted
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_order_of_citations(spark):
     lib = spark.createDataFrame([(0, "k1"), (1, "k2"), (2, "k3"), (3, "big")], "pos int, key string")
     cited = spark.createDataFrame([(1, "k2"), (2, "k1"), (3, "k2"), (10000, "big"), (4, "lost")], "ord int, key string")
