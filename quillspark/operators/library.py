@@ -49,6 +49,24 @@ def marked_pairs(rows: DataFrame, *keep: str) -> DataFrame:
     return pairs.select(F.col("x.key").alias("key1"), F.col("y.key").alias("key2"), *[F.col(f"x.{c}") for c in keep])
 
 
+def shared_marks(rows: DataFrame) -> DataFrame:
+    """key, sign and the marks of each of the seven sets of marks that a marked entry has whole, the
+    others null. By inclusion and exclusion, sums with the sign over those who share a set count those
+    who share any mark once."""
+    marks = list(duplicate_marks())
+    sets = [[m for i, m in enumerate(marks) if k >> i & 1] for k in range(1, 1 << len(marks))]
+    kinds = dict(rows.dtypes)
+    one = lambda s: F.struct(F.lit(1 if len(s) % 2 else -1).alias("sign"), F.lit("".join(s)).alias("set"), *[(F.col(m) if m in s else F.lit(None).cast(kinds[m])).alias(m) for m in marks])
+    each = F.array(*[F.when(F.expr(" and ".join(f"{m} is not null" for m in s)), one(s)) for s in sets])
+    return rows.select("key", F.explode(F.array_compact(each)).alias("s")).select("key", "s.*")
+
+
+def duplicate_count(entries: DataFrame) -> DataFrame:
+    """(n): the number of duplicate_pairs, from the sizes of the groups, without the pairs."""
+    groups = shared_marks(marked_entries(entries)).groupBy("set", "sign", *duplicate_marks()).agg(F.count("*").alias("n"))
+    return groups.agg(F.coalesce(F.sum(F.expr("sign * (n * (n - 1) div 2)")), F.lit(0)).alias("n"))
+
+
 def cited_only(entries: DataFrame, cited: DataFrame) -> DataFrame:
     return entries.join(cited.select("key").distinct(), "key", "left_semi")
 

@@ -47,6 +47,14 @@ def test_duplicates_come_once_without_being_held(spark):
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_duplicates_are_counted_without_pairs(spark):
+    df, wanted = some_entries(spark)
+    got = L.duplicate_count(df)
+    assert got.collect()[0].n == len(wanted) > 100
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert L.duplicate_count(df.limit(0)).collect()[0].n == 0
+
+
 def test_order_of_citations(spark):
     lib = spark.createDataFrame([(0, "k1"), (1, "k2"), (2, "k3"), (3, "big")], "pos int, key string")
     cited = spark.createDataFrame([(1, "k2"), (2, "k1"), (3, "k2"), (10000, "big"), (4, "lost")], "ord int, key string")
