@@ -114,17 +114,23 @@ def range_of(rows: DataFrame, keys: list[str], cuts: list) -> Column:
 
 
 def global_rank(rows: DataFrame, keys: list[str], name: str, ranges: int | None = None) -> DataFrame:
-    """rows with their place, from 1, by keys, which no two rows share and none lacks.
+    """rows with their place, from 1, by keys, which no two rows share and none lacks."""
+    return total_before(rows, keys, F.lit(1), name, ranges).withColumn(name, F.col(name) + 1)
 
-    Rows are ranked inside even ranges of the keys; a range's count, one row each, gives the offset of
+
+def total_before(rows: DataFrame, keys: list[str], amount: Column, name: str, ranges: int | None = None) -> DataFrame:
+    """rows with the sum of amount, a whole number, over the rows before by keys, which no two rows
+    share and none lacks.
+
+    Rows are summed inside even ranges of the keys; a range's sum, one row each, gives the offset of
     those after it. Where the ranges end is read from the rows when the plan is made."""
     spark = rows.sparkSession
     ranges = ranges or max(16, min(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = rows.withColumn("_range", range_of(rows, keys, cut_points(rows, keys, ranges)))
+    rows = rows.withColumn("_range", range_of(rows, keys, cut_points(rows, keys, ranges))).withColumn("_amount", amount.cast("long"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("_range").agg(F.count("*").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
-    inner = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
-    return rows.withColumn("_inner", inner).join(sums, "_range").withColumn(name, F.col("_before") + F.col("_inner")).drop("_range", "_before", "_inner")
+    sums = rows.groupBy("_range").agg(F.sum("_amount").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    inner = F.coalesce(F.sum("_amount").over(Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_inner", inner).join(F.broadcast(sums), "_range").withColumn(name, F.col("_before") + F.col("_inner")).drop("_range", "_before", "_inner", "_amount")
 
 
 def reuse(identifiers: DataFrame, entries: DataFrame) -> DataFrame:
@@ -299,5 +305,14 @@ def duplicate_groups(entries: DataFrame) -> DataFrame:
 
 
 def ordered_duplicates(entries: DataFrame) -> DataFrame:
-    """duplicate_pairs with `place`, from 1 by (key1, key2), as a report lists them."""
-    return global_rank(duplicate_pairs(entries), ["key1", "key2"], "place")
+    """duplicate_pairs with `place`, from 1 by (key1, key2), as a report lists them.
+
+    How many pairs a key begins follows from its place in its groups, so the pairs before it are known
+    without them; the pairs are made once and ordered within their first key."""
+    rows = marked_entries(entries)
+    after = Window.partitionBy("set", *duplicate_marks()).orderBy(F.desc("key"))
+    begun = shared_marks(rows).select("key", (F.col("sign") * (F.row_number().over(after) - 1)).alias("n")).groupBy("key").agg(F.sum("n").alias("_n"))
+    begun = total_before(begun.where("_n > 0"), ["key"], F.col("_n"), "_first").drop("_n")
+    pairs = marked_pairs(rows.join(begun, "key", "left"), "_first")
+    inner = F.row_number().over(Window.partitionBy("key1").orderBy("key2"))
+    return pairs.select("key1", "key2", (F.col("_first") + inner).alias("place"))

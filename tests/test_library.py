@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,13 @@ def test_duplicates_are_counted_without_pairs(spark):
     assert L.duplicate_count(df.limit(0)).collect()[0].n == 0
 
 
+def test_places_of_duplicates_are_known_without_ranking_the_pairs(spark):
+    df, wanted = some_entries(spark)
+    got = L.ordered_duplicates(df)
+    assert sorted((r.key1, r.key2, r.place) for r in got.collect()) == [(*p, n + 1) for n, p in enumerate(wanted)]
+    assert not re.search(r"key1#\d+ ASC", got._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_order_of_citations(spark):
     lib = spark.createDataFrame([(0, "k1"), (1, "k2"), (2, "k3"), (3, "big")], "pos int, key string")
     cited = spark.createDataFrame([(1, "k2"), (2, "k1"), (3, "k2"), (10000, "big"), (4, "lost")], "ord int, key string")
