@@ -126,3 +126,28 @@ def test_inverted_index(spark):
 def test_inline_citation(spark, fields, wanted):
     cols = {k: F.lit(fields.get(k)).cast("string") for k in ("journal", "volume", "pages", "year", "eprint")}
     assert spark.range(1).select(I.inline_citation(cols).alias("y")).collect()[0].y == wanted
+
+
+@pytest.mark.parametrize(
+    ("pattern", "wanted"),
+    [(r"\d+\s*%", ("%",)), (r"\b(Our|we)\s+(propose|show)\b", ("propose", "show")), (r"\bcent(?:er|re)[s]?\b", ("cent",)), (r"colou?r", ("colo",)), (r"a|b", ()), (r"(x|[ab])", ()), (r"(abc)?d*", ())],
+)
+def test_literals_that_a_match_needs(pattern, wanted):
+    assert T.literals(pattern) == wanted
+
+
+def test_gated_rules_find_what_the_rules_find(spark):
+    texts = ["\u017fhows that it is", "THE \u212aELVIN scale", "SH\u0130WN", "We Propose a WELL-KNOWN way", "is a common thing", "50 % of", "via x1", "P-Value", "nothing at all", "\u0131t \u0131s clear", ""]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    rules_ = (*S.rules.NEED, *S.rules.COMMON)
+    plain = F.array_compact(F.array(*[F.when(T.found(F.col("t"), p, True), F.lit(tag)) for p, tag in rules_]))
+    got = df.select(S.tags(F.col("t"), T.folded(F.col("t")), rules_).alias("a"), plain.alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and sum(map(bool, (r.a for r in got))) > 5
+
+
+def test_reports_judge_each_sentence_once(spark):
+    from quillspark.plans import workflows as W
+
+    rows = W.analysed(spark.createDataFrame([(1, "We propose a way better than others here.")], "doc_id int, text string"), "doc_id")
+    for report in (W.text_report, W.json_report):
+        assert report(rows, "doc_id")._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
