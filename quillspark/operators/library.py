@@ -67,6 +67,12 @@ def duplicate_count(entries: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.expr("sign * (n * (n - 1) div 2)")), F.lit(0)).alias("n"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """A join's side that grows with the input: it is dealt by key, since a copy for each executor would
+    pass through the driver, join after join."""
+    return rows.hint("merge")
+
+
 def cited_only(entries: DataFrame, cited: DataFrame) -> DataFrame:
     return entries.join(cited.select("key").distinct(), "key", "left_semi")
 
@@ -145,7 +151,7 @@ def reuse(identifiers: DataFrame, entries: DataFrame) -> DataFrame:
     )
     out = None
     for a, b in ways:
-        got = a.join(b, "v").select("id", "pos", "key")
+        got = a.join(dealt(b), "v").select("id", "pos", "key")
         out = got if out is None else out.union(got)
     return out.groupBy("id").agg(F.min_by("key", "pos").alias("key"))
 
@@ -192,13 +198,13 @@ def citation_keys(rows: DataFrame, existing: DataFrame | None = None) -> DataFra
     # Only places and bases are looked at again and again; the executors keep them, the rest is joined once.
     light = rows.select("pos", base_key(F.col("author"), F.col("year"), F.col("title")).alias("base")).persist()
     groups = meeting_bases(light.select("base").distinct())
-    at = ranked_within(light.join(groups.select("base"), "base", "left_anti").select("base", "pos"), "base", "pos", "_n")
+    at = ranked_within(light.join(dealt(groups.select("base")), "base", "left_anti").select("base", "pos"), "base", "pos", "_n")
     given = None
     if existing is not None:
         given = existing.select("key").distinct().select("key", F.explode(F.array_append(parents(F.col("key")), F.col("key"))).alias("base"))
         at = free_places(at, given)
     alone = at.select("pos", "base", F.concat("base", suffix(F.col("_n"))).alias("citekey"))
-    met = light.join(groups, "base")
+    met = light.join(dealt(groups), "base")
     schema = "pos long, citekey string"
 
     def fold(here, there=None):
@@ -217,11 +223,11 @@ def citation_keys(rows: DataFrame, existing: DataFrame | None = None) -> DataFra
     if given is None:
         folded = asked.applyInPandas(lambda here: fold(here), schema)
     else:
-        taken = given.join(groups, "base").select(F.col("group").alias("g"), "key").distinct()
+        taken = given.join(dealt(groups), "base").select(F.col("group").alias("g"), "key").distinct()
         folded = asked.cogroup(taken.groupBy("g")).applyInPandas(lambda here, there: fold(here, there), schema)
     kind = rows.schema["pos"].dataType
-    folded = met.select("pos", "base").join(folded.withColumn("pos", F.col("pos").cast(kind)), "pos")
-    return rows.join(alone.unionByName(folded), "pos")
+    folded = met.select("pos", "base").join(dealt(folded.withColumn("pos", F.col("pos").cast(kind))), "pos")
+    return rows.join(dealt(alone.unionByName(folded)), "pos")
 
 
 def suffix(place: Column) -> Column:
@@ -236,7 +242,7 @@ def ranked_within(rows: DataFrame, by: str, order: str, name: str, width: int =
     before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(by, "_range").agg(F.count("*").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
     inner = F.row_number().over(Window.partitionBy(by, "_range").orderBy(order)) - 1
-    return rows.withColumn("_inner", inner).join(sums, [by, "_range"]).withColumn(name, F.col("_before") + F.col("_inner")).drop("_range", "_before", "_inner")
+    return rows.withColumn("_inner", inner).join(dealt(sums), [by, "_range"]).withColumn(name, F.col("_before") + F.col("_inner")).drop("_range", "_before", "_inner")
 
 
 def free_places(at: DataFrame, given: DataFrame) -> DataFrame:
@@ -248,7 +254,7 @@ def free_places(at: DataFrame, given: DataFrame) -> DataFrame:
     rest = F.substring("key", F.length("base") + 1, F.length("key"))
     number = F.when(rest.rlike("^[1-9][0-9]{0,17}$"), rest.try_cast("long") + 5)
     letter = F.when(rest.rlike(f"^[{SUFFIXES}]$"), F.instr(F.lit(SUFFIXES), rest).cast("long"))
-    taken = given.join(at.select("base").distinct(), "base", "left_semi").select("base", F.when(rest == "", F.lit(0).cast("long")).otherwise(F.coalesce(letter, number)).alias("t")).where("t is not null").distinct()
+    taken = given.join(dealt(at.select("base").distinct()), "base", "left_semi").select("base", F.when(rest == "", F.lit(0).cast("long")).otherwise(F.coalesce(letter, number)).alias("t")).where("t is not null").distinct()
     gaps = ranked_within(taken, "base", "t", "_j").select("base", F.lit(None).cast(at.schema["pos"].dataType).alias("pos"), ((F.col("t") - F.col("_j")) * 2).alias("v"))
     every = gaps.union(at.select("base", "pos", (F.col("_n") * 2 + 1).alias("v")))
     return ranked_within(every, "base", "v", "_n").where("pos is not null").select("base", "pos", "_n")
@@ -268,7 +274,7 @@ def meeting_bases(bases: DataFrame) -> DataFrame:
     forebears are among its beginnings that only such stand behind."""
     tail = F.length(F.regexp_extract("base", f"([{SUFFIXES}0-9]*)$", 1))
     above = F.transform(F.sequence(F.lit(1), F.greatest(tail, F.lit(1))), lambda n: F.substring("base", F.lit(1), F.length("base") - n))
-    up = bases.where(tail > 0).select("base", F.explode(above).alias("to")).join(bases.select(F.col("base").alias("to")), "to")
+    up = bases.where(tail > 0).select("base", F.explode(above).alias("to")).join(dealt(bases.select(F.col("base").alias("to"))), "to")
     top = up.groupBy("base").agg(F.min_by("to", F.length("to")).alias("group"))
     return top.union(top.select(F.col("group").alias("base"), "group").distinct())
 

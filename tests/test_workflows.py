@@ -95,3 +95,13 @@ def test_extract_statuses(spark):
     assert {r.pos: (r.status, r.key) for r in got.collect()} == {0: ("existing", "old"), 1: ("added", "Doe2020Deeptit"), 2: ("added", "Doe2020Deeptit"), 3: ("failed", None)}
     assert W.batch_counts(got).collect()[0] == (3, 1)
     assert W.with_extracted(got, lib, payloads).select(F.count("*")).collect()[0][0] == 2
+
+
+def test_extraction_sends_no_side_to_the_driver(spark):
+    ids = spark.createDataFrame([(0, "10.1234/a"), (1, "10.1234/b")], "pos long, id string")
+    lib = spark.createDataFrame([(0, "k", "10.1234/a", "", "")], "pos long, key string, doi string, url string, eprint string")
+    pay = spark.createDataFrame([("crossref", "10.1234/B", "Doe, J", "T", "2001")], "source string, id string, author string, title string, year string")
+    got = W.extract(ids, lib, pay)
+    assert {(r.pos, r.status, r.key) for r in got.collect()} == {(0, "existing", "k"), (1, "added", "Doe2001T")}
+    for plan in (got, W.with_extracted(got, lib, pay).where("pos >= 0")):
+        assert plan._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 0
