@@ -270,11 +270,14 @@ def met_counts(left: DataFrame, right: DataFrame, threshold: float, n: int) -> D
     return met.mapInArrow(run, "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
+# Tables of a row a length are broadcast: joined by key, all nodes of a length, with their vectors, would
+# meet in one task and be copied there for all their blocks.
+
 def exact_links(nodes: DataFrame, threshold: float, n: int) -> DataFrame:
     """Forest edges (a, b) from comparing all nodes of a length with all, two blocks of EXACT nodes at
     a time."""
     sizes = nodes.groupBy("d").agg(F.ceil(F.count("*") / EXACT).alias("chunks"))
-    rows = nodes.join(sizes, "d")
+    rows = nodes.join(F.broadcast(sizes), "d")
     met = rows.select("d", "rep", "x", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("o"))
     met = met.select("d", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "x")
 
@@ -304,18 +307,20 @@ def exact_links(nodes: DataFrame, threshold: float, n: int) -> DataFrame:
 
 
 def probes_of(nodes: DataFrame, n: int) -> DataFrame:
-    """The audit's probes: nodes by the hash of their ids, so that reruns take the same."""
-    return nodes.orderBy(F.xxhash64("rep"), "rep").limit(min(PROBES, max(LEAST_PROBES, n // PROBE_EVERY)))
+    """The audit's probes: nodes by the hash of their ids, so that reruns take the same. Only ids, at most
+    PROBES a task, are sorted and sent to one; vectors stay where they are."""
+    first = nodes.select("rep").orderBy(F.xxhash64("rep"), "rep").limit(min(PROBES, max(LEAST_PROBES, n // PROBE_EVERY)))
+    return nodes.join(F.broadcast(first), "rep", "left_semi")
 
 
 def true_links(nodes: DataFrame, probes: DataFrame, threshold: float, parts: int) -> DataFrame:
     """(rep, linked) of the probes by brute force over all nodes of their lengths, in blocks."""
     chunk = F.pmod(F.xxhash64("rep"), F.col("chunks"))
     asked = probes.groupBy("d").agg(F.ceil(F.count("*") / EXACT).alias("asked"))
-    blocks = nodes.join(asked.select("d"), "d", "left_semi").groupBy("d").agg(F.ceil(F.count("*") / EXACT).alias("blocks")).join(asked, "d")
+    blocks = nodes.join(F.broadcast(asked.select("d")), "d", "left_semi").groupBy("d").agg(F.ceil(F.count("*") / EXACT).alias("blocks")).join(asked, "d")
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = probes.join(blocks, "d").withColumn("chunks", F.col("asked")).select(F.col("d").cast("long").alias("key"), chunk.alias("i"), each("blocks").alias("j"), "rep", "many", "x")
-    right = nodes.join(blocks, "d").withColumn("chunks", F.col("blocks")).select(F.col("d").cast("long").alias("key"), each("asked").alias("i"), chunk.alias("j"), "rep", "many", "x")
+    left = probes.join(F.broadcast(blocks), "d").withColumn("chunks", F.col("asked")).select(F.col("d").cast("long").alias("key"), chunk.alias("i"), each("blocks").alias("j"), "rep", "many", "x")
+    right = nodes.join(F.broadcast(blocks), "d").withColumn("chunks", F.col("blocks")).select(F.col("d").cast("long").alias("key"), each("asked").alias("i"), chunk.alias("j"), "rep", "many", "x")
     return met_counts(left, right, threshold, parts).where("linked > 0")
 
 

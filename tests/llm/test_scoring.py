@@ -188,3 +188,17 @@ def test_every_length_of_vectors_is_searched(spark):
         assert got[i][0] == len(near), i
     assert (got[100], got[101], got[102], got[103], got[104], got[105]) == ((1, 100), (1, 100), (0, 102), (1, 103), (1, 103), (0, 105))
     assert got[200] == (300, 106) and got[107] == (0, 107) and got[108] == (0, 108)
+
+
+def test_nodes_never_meet_by_their_length(spark):
+    """Blocks are numbered, and probes drawn, where the nodes are: no join deals vectors by length."""
+    nodes = spark.range(40).select(F.col("id").alias("rep"), F.lit(1).cast("long").alias("many"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("x"), F.lit(2).alias("d"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        probes = embedding.probes_of(nodes, 40)
+        for df in (embedding.exact_links(nodes, 0.9, 4), embedding.true_links(nodes, probes, 0.9, 4), probes):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert probes.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
