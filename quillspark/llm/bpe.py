@@ -7,7 +7,8 @@ last token, and exactly one such pair exists. The transducer reads a byte at a t
 prefixes which a longer token may still continue. Once all of these share their first tokens, it
 emits them: the lookahead is bounded by the vocabulary. What is left to keep is the last emitted
 token and the bytes after it. This pair is the state; states and transitions are made when an input
-first asks for them, and dropped together when the table has grown to its limit.
+first asks for them, and dropped together when the table has grown to its limit. Pieces that leave
+the states made so far go on from their own state through the open places, many pieces at a time.
 
 Results for odd rows: null and empty texts have no ids; repeated rows are encoded row by row; texts
 of any length are encoded piece by piece, in linear time; an empty table gives no rows; a null doc_id
@@ -21,6 +22,8 @@ import gc
 import hashlib
 from contextlib import contextmanager
 from functools import cached_property
+from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,15 @@ from .common import kept, small_batches
 
 #: States of a transducer; bytes that a worker's table of encoded pieces, and that of runs, may take.
 MOST_STATES, MOST_BYTES = 1 << 16, (16 << 20, 96 << 20)
-#: Bytes that run through the open places at most before transitions are made for them.
-MOST_REST = 256
+#: Bytes that run through the open places at most before transitions are made for them, and bytes
+#: that do so together.
+MOST_REST, MOST_TOGETHER = 256, 1 << 20
+#: Requests for a transition until it is made, and the fewest pieces whose rests run together.
+REQUESTS, MANY = 32, 64
+#: Runs that are looked up together, and the longest of them in characters.
+MOST_RUNS, LONGEST_RUN = 1 << 17, 256
+#: Bits of the number of answers that are kept on whether two tokens fit.
+FIT_BITS = 19
 #: Of the pattern's pieces none crosses a space that follows a character other than white space.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -41,6 +51,52 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def words(ids) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return pack(f"<{len(ids)}I", *ids)
+
+
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """A place below 2 ** bits for each of many integers."""
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+
+
+class Lookup:
+    """Integers by integers, none negative and keys distinct, for many keys at a time: an open hash
+    table. Unknown keys give -1."""
+
+    def __init__(self, known: dict[int, int]):
+        keys, values = (np.fromiter(x, np.int64, len(known)) for x in (known.keys(), known.values()))
+        self.bits = (4 * len(keys) + 1).bit_length()
+        self.keys, self.values = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1)
+        at = slots(keys, self.bits)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            here = self.keys[at] == keys
+            self.values[at[here]] = values[here]
+            keys, values, at = keys[~here], values[~here], self.after(at[~here])
+
+    def after(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & ((1 << self.bits) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = slots(keys, self.bits)
+        found, out = self.keys.take(at), self.values.take(at)
+        other = np.flatnonzero(found != keys)
+        out[other] = -1
+        other = other[found[other] >= 0]
+        at = at[other]
+        while len(other):  # the place is another key's
+            at = self.after(at)
+            found = self.keys[at]
+            same = found == keys[other]
+            out[other[same]] = self.values[at[same]]
+            more = ~same & (found >= 0)
+            other, at = other[more], at[more]
+        return out
+
+
 class State:
     """last: the token emitted last, -1 at the start; pending: bytes after it. ends: for each open
     place of pending its node of the token trie and the tokens that lead there, the last place being
@@ -179,22 +235,19 @@ class Transducer:
             out[rank] = len(t)
         return out
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Ids of a piece; a piece that is a token is that token. A transition is made when it is
-        asked for the second time; on the first, the rest of the piece runs through the open places
-        as they are. Where the states reach their limit, all but the current one go, in the middle
-        of a piece too."""
-        known = self.ranks.get(piece)
-        if known is not None:
-            return [known]
+    def walk(self, piece: bytes) -> tuple[list[int], State, int]:
+        """What the transitions emit for a piece, the state they end in and the place where they end:
+        before the piece's own end if the next transition isn't made yet. It is made when it is asked
+        for the REQUESTS-th time, or if too much of the piece is left. Where the states reach their
+        limit, all but the current one go, in the middle of a piece too."""
         s, out, most = self.start, [], self.most
         for at, byte in enumerate(piece):
-            got = s.moves.get(byte)
-            if got is None:
-                if byte not in s.moves:
-                    s.moves[byte] = None
+            got = s.moves.get(byte, 1)
+            if got.__class__ is int:
+                if got < REQUESTS:
+                    s.moves[byte] = got + 1
                     if len(piece) - at <= MOST_REST:
-                        return out + self.rest(s, piece[at:])
+                        return out, s, at
                 if len(self.states) > most:
                     self.clear()
                     s = self.state(s.last, s.pending, s.ends)
@@ -202,9 +255,122 @@ class Transducer:
             emitted, s = got
             if emitted:
                 out += emitted
-        out += s.ends[-1][2]
+        return out, s, len(piece)
+
+    def encode(self, piece: bytes) -> list[int]:
+        """Ids of a piece; a piece that is a token is that token. Where transitions aren't made yet,
+        the rest of the piece runs through the open places as they are."""
+        known = self.ranks.get(piece)
+        if known is not None:
+            return [known]
+        out, s, at = self.walk(piece)
+        return out + (self.rest(s, piece[at:]) if at < len(piece) else list(s.ends[-1][2]))
+
+    def encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, as little-endian words. The rests of many pieces run together."""
+        if len(pieces) < MANY:
+            return [words(self.encode(p)) for p in pieces]
+        out, late, last, data, size, known = [], [], [], [], 0, self.ranks
+        for piece in pieces:
+            if piece in known:
+                out.append(words((known[piece],)))
+                continue
+            ids, s, at = self.walk(piece)
+            if at == len(piece):
+                ids += s.ends[-1][2]
+            else:
+                late.append(len(out))
+                last.append(s.last)
+                data.append(s.pending + piece[at:])
+                size += len(data[-1])
+            out.append(words(ids))
+            if size > MOST_TOGETHER:
+                self.finish(out, late, last, data)
+                late, last, data, size = [], [], [], 0
+        if late:
+            self.finish(out, late, last, data)
         return out
 
+    def finish(self, out: list[bytes], late: list[int], last: list[int], data: list[bytes]) -> None:
+        ids, ends = self.rests(last, data)
+        every, a = ids.astype("<u4").tobytes(), 0
+        for k, b in zip(late, (4 * ends).tolist(), strict=True):
+            out[k] += every[a:b]
+            a = b
+
+    @cached_property
+    def tables(self) -> tuple:
+        """For many bytes at a time: children, tokens and openness of nodes, halves of tokens and
+        tokens of pairs, and answers on which pairs fit."""
+        return Lookup(self.child), np.array(self.token), np.array(self.open), np.array(self.left), np.array(self.right), Lookup(self.pair), np.full(1 << FIT_BITS, -1), np.zeros(1 << FIT_BITS, bool)
+
+    def fits_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """As `fits`, for many pairs; the latest answer of each place is kept."""
+        *_, of_left, of_right, pairs, known, answers = self.tables
+        keys = left * self.size + right
+        at = slots(keys, FIT_BITS)
+        out = answers.take(at)
+        new = np.flatnonzero(known.take(at) != keys)
+        if not len(new):
+            return out
+        out[new] = False
+        k, a, b, before = new, left[new], right[new], np.full(len(new), 1 << 60)
+        while len(k):
+            met = pairs.get(a * self.size + b)
+            ra, rb = np.where(of_left[a] >= 0, a, -1), np.where(of_left[b] >= 0, b, -1)
+            apart = (met < 0) | (met >= before)
+            out[k[apart & (ra < 0) & (rb < 0)]] = True
+            go = apart & ((ra >= 0) | (rb >= 0))
+            k, a, b, ra, rb = k[go], a[go], b[go], ra[go], rb[go]
+            by_left = ra > rb
+            before = np.where(by_left, ra, rb + 1)
+            a, b = np.where(by_left, of_right[a], a), np.where(by_left, b, of_left[b])
+        known[at[new]] = keys[new]
+        # Of several keys in one place the last is kept, with its own answer.
+        kept = known[at[new]] == keys[new]
+        answers[at[new[kept]]] = out[new[kept]]
+        return out
+
+    def rests(self, last: list[int], data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each of many strings, given the token before each (-1: none), one after another,
+        and where each string's ids end. The steps are those of `rest`, a byte of all strings at a
+        time. A prefix that no pair leads to is part of a longer token that began before the
+        string, and stays without a place. A prefix of n bytes has the index of the string's byte n."""
+        children, token, opens, *_ = self.tables
+        every = np.frombuffer(b"\0".join([*data, b""]), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        final = np.zeros(len(every), bool)
+        final[ends] = True
+        by, left = np.full(len(every), -1), np.full(len(every), -1)
+        left[starts] = last
+        at, start, node = starts, starts, np.zeros(len(data), np.int64)
+        while len(at):
+            node = children.get(node << 8 | every.take(at))
+            go = np.flatnonzero(node >= 0)
+            node, at, start = node.take(go), at.take(go) + 1, start.take(go)
+            t = token.take(node)
+            whole = np.flatnonzero(t >= 0)
+            t, end, first = t.take(whole), at.take(whole), start.take(whole)
+            before = left.take(first)
+            fits = before < 0
+            inner = np.flatnonzero(~fits)
+            fits[inner] = self.fits_all(before.take(inner), t.take(inner))
+            end = end[fits]
+            left[end], by[end] = t[fits], first[fits]
+            go = np.flatnonzero(opens.take(node) & ~final.take(at))
+            new = end[~final.take(end)]
+            at, start = np.concatenate((at.take(go), new)), np.concatenate((start.take(go), new))
+            node = np.concatenate((node.take(go), np.zeros(len(new), np.int64)))
+        if (by[ends] < 0).any():
+            raise ValueError("the vocabulary lacks a byte")
+        chosen, at = np.zeros(len(every), bool), ends
+        while len(at):
+            chosen[at] = True
+            at = by[at]
+            at = at[by[at] >= 0]
+        return left[chosen], np.cumsum(np.add.reduceat(chosen, starts, dtype=np.int64))
+
     def rest(self, s: State, data: bytes) -> list[int]:
         """Ids of what is pending in s and of data after it, without new states: the same steps as
         in `move`, with a place kept as its last token and the place where that token starts."""
@@ -252,15 +418,21 @@ class Table(dict):
 
     def __missing__(self, text):
         ids = self.make(text)
+        self.add(text, ids)
+        return ids
+
+    def add(self, text, ids) -> None:
         cost = 200 + 2 * len(text) + len(ids)
         if cost > 4096:
-            return ids
+            return
         if self.size + cost > self.most:
-            self.clear()
-            self.size = 0
+            self.empty()
         self.size += cost
         self[text] = ids
-        return ids
+
+    def empty(self) -> None:
+        self.clear()
+        self.size = 0
 
 
 class Codec:
@@ -284,7 +456,7 @@ class Codec:
         self.bytes_of = np.frombuffer(b"".join(ranks), np.uint8)
 
     def piece(self, text: str) -> bytes:
-        return np.array(self.machine.encode(text.encode()), "<u4").tobytes()
+        return words(self.machine.encode(text.encode()))
 
     def run(self, text: str) -> bytes:
         parts = self.find(" " + text)
@@ -296,11 +468,65 @@ class Codec:
     def whole(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
+    def split(self, text: str) -> list[str]:
+        return self.part(text) if self.odd_space(text) else text.split(" ")
+
     def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts):
+        """Ids of each text. The runs of some texts, or of some of a long one, are looked up together."""
         if self.runs is None:
-            return self.whole(text)
-        parts = self.part(text) if self.odd_space(text) else text.split(" ")
-        return self.whole(parts[0]) + b"".join(map(self.runs.__getitem__, parts[1:]))
+            yield from map(self.whole, texts)
+            return
+        some, n = [], 0
+        for text in texts:
+            parts = self.split(text)
+            if n + len(parts) > MOST_RUNS:
+                yield from self.joined(some)
+                some, n = [], 0
+            if len(parts) > MOST_RUNS:
+                cuts = [self.joined([["", *parts[a : a + MOST_RUNS]]]) for a in range(1, len(parts), MOST_RUNS)]
+                yield self.whole(parts[0]) + b"".join(chain.from_iterable(cuts))
+            else:
+                some.append(parts)
+                n += len(parts)
+        yield from self.joined(some)
+
+    def joined(self, texts: list[list[str]]):
+        self.prepare({r for parts in texts for r in parts[1:]})
+        for parts in texts:
+            yield self.whole(parts[0]) + b"".join(map(self.runs.__getitem__, parts[1:]))
+
+    def prepare(self, every: set[str]) -> None:
+        """Encodes those of the runs that the table lacks, together. It leaves out long ones, which
+        aren't kept, and those with spaces in them or white space at an end: in a string of
+        others, each separated by a space, just the first piece of each run begins with a space."""
+        runs, pieces = self.runs, self.pieces
+        new = [r for r in every if r not in runs]
+        if runs.size + 300 * len(new) > runs.most:
+            runs.empty()
+            new = list(every)
+        new = [r for r in new if r and len(r) <= LONGEST_RUN and " " not in r and r == r.strip()]
+        if not new:
+            return
+        found = self.find(" " + " ".join(new))
+        lacking = [p for p in dict.fromkeys(found) if (p[1:] not in runs if p[0] == " " else p not in pieces)]
+        made = dict(zip(lacking, self.machine.encode_all([p.encode() for p in lacking]), strict=True))
+        for p, ids in made.items():
+            if p[0] == " ":
+                runs.add(p[1:], ids)
+            else:
+                pieces.add(p, ids)
+        of_run = []
+        starts = [k for k, p in enumerate(found) if p[0] == " "]
+        for r, a, b in zip(new, starts, [*starts[1:], len(found)], strict=True):
+            if b - a > 1:
+                first = found[a]
+                ids = made[first] if first in made else runs[first[1:]]
+                of_run.append((r, ids + b"".join([made[p] if p in made else pieces[p] for p in found[a + 1 : b]])))
+        for r, ids in of_run:
+            runs.add(r, ids)
 
     def decode(self, ids: bytes, step: int = 1 << 16):
         """The text's bytes in whole characters, as the ids arrive."""
@@ -396,8 +622,8 @@ def encoded(docs: DataFrame, path: str | None, pattern: str | None, with_ids: bo
         for batch in batches:
             sizes, of_ids, of_text, kept_ids = [], [], [], []
             with without_collector():
-                for text in batch.column("text"):
-                    ids, h = c.encode(text.as_py() or ""), hashlib.sha256()
+                for ids in c.encode_all(text.as_py() or "" for text in batch.column("text")):
+                    h = hashlib.sha256()
                     for part in c.decode(ids):
                         h.update(part)
                     sizes.append(len(ids) // 4)

@@ -127,6 +127,55 @@ def test_pieces_and_runs_agree_with_the_library():
         assert b"".join(codec.decode(ids, 3)) == s.encode()
 
 
+def test_rests_of_many_pieces_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_TOGETHER", 2000)
+    ranks = {bytes([k]): k for k in range(256)} | {m: 256 + k for k, m in enumerate([b"ab", b"ba", b"abab", b"aa", b"bab", b"aab", b"abb", b"aaab"])}
+    r = random.Random(5)
+    pieces = [bytes(r.choice(b"aabc") for _ in range(r.randint(1, 30))) for _ in range(2000)]
+    want = [[ranks[t] for t in ([s] if s in ranks else bpe.Transducer(ranks).merged(s))] for s in pieces[:50]]
+    for requests in (1, 3, 1 << 30):
+        monkeypatch.setattr(bpe, "REQUESTS", requests)
+        machine = bpe.Transducer(ranks, 40)
+        got = [np.frombuffer(x, "<u4").tolist() for x in machine.encode_all(pieces)]
+        assert got[:50] == want and got == [machine.encode(s) for s in pieces]
+
+
+def test_new_words_of_many_texts_run_together(monkeypatch):
+    """The Python steps of a byte are shared by all words that are new, few or many."""
+    r = random.Random(7)
+    texts = ["first " + " ".join("".join(r.choice("bcdfgaeiouéß") for _ in range(r.randint(6, 14))) + r.choice(["", ".", ",\nso"]) for _ in range(100)) for _ in range(60)]
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    alone, together, of_one, of_all = [], [], bpe.Transducer.rest, bpe.Transducer.rests
+    monkeypatch.setattr(bpe.Transducer, "rest", lambda self, s, data: alone.append(data) or of_one(self, s, data))
+    monkeypatch.setattr(bpe.Transducer, "rests", lambda self, last, data: together.append(len(data)) or of_all(self, last, data))
+    codec = bpe.Codec(*bpe.default_vocabulary())
+    got = list(codec.encode_all(texts))
+    assert got == [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    assert len(together) == 1 and together[0] > 5000 and len(alone) < 60
+
+
+@pytest.mark.parametrize("most_runs, most_bytes", [(4, bpe.MOST_BYTES), (1 << 17, (3000, 3000)), (50, (600, 900)), (1 << 17, bpe.MOST_BYTES)])
+def test_groups_of_odd_runs_agree_with_the_library(monkeypatch, most_runs, most_bytes):
+    monkeypatch.setattr(bpe, "MOST_RUNS", most_runs)
+    monkeypatch.setattr(bpe, "MANY", 1)
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, r = bpe.Codec(*bpe.default_vocabulary(), most_bytes), random.Random(9)
+    parts = ["a", "the", "zqxj", " ", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", "\r\n", "é", "'s", "'ll", "1", "23", ".", "!?", "\x00", "\x1c", "\x85", "\xa0", "\u3000", "\u2028", "\u180e", "\u200b", "İ", "́", "日本", "👩‍👩", "--", "_", "w" * 300]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(400)]
+    assert list(codec.encode_all(iter(texts))) == [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    assert codec.runs.size <= most_bytes[1]
+
+
+def test_lookup_of_many_keys():
+    r = random.Random(8)
+    known = {r.randrange(1 << 40): k for k in range(3000)}
+    table, keys = bpe.Lookup(known), np.array([*known, *(r.randrange(1 << 40) for _ in range(3000))])
+    assert table.get(keys).tolist() == [known.get(k, -1) for k in keys.tolist()]
+    assert bpe.Lookup({}).get(keys).max() == -1 and len(table.get(keys[:0])) == 0
+
+
 def test_states_stay_under_their_limit_in_one_long_piece():
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     machine, r = bpe.Transducer(ranks, 500), random.Random(4)
